@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.packing import pack_documents
+from millrace.llm.sentencepiece_codec import encode_documents
 from millrace.llm.sharding import shard_documents
+from millrace.llm.toxicity import score_documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +27,33 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_hilbert_sharding, op7_exact_dedup)}
+    found = (
+        op2_best_fit_packing,
+        op3_hilbert_sharding,
+        op6_sentencepiece_codec,
+        op7_exact_dedup,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP7_SQL = """
