@@ -13,6 +13,7 @@ from millrace.llm.packing import pack_documents
 from millrace.llm.sentencepiece_codec import encode_documents
 from millrace.llm.sharding import shard_documents
 from millrace.llm.toxicity import score_documents
+from millrace.llm.warc import archive_report
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_hilbert_sharding,
         op6_sentencepiece_codec,
         op7_exact_dedup,
+        op8_warc_capture_index,
         op10_toxicity,
     )
     return {f.__name__: f for f in found}
@@ -70,5 +76,15 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+best AS (SELECT payload_digest, max(page_id) AS page FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page <> page_id THEN page END AS refers_to
+FROM p LEFT JOIN best USING (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op8_warc_capture_index": OP8_SQL}
