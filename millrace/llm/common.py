@@ -92,3 +92,26 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salt
     left = rows.withColumn("_salt", salt_of(F.col(spread), salts))
     right = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+class RecentCache:
+    """Values by key for the keys met lately: at most two generations of ``most`` entries each.
+
+    A full young generation becomes the old one; keys met again move back, so frequent ones stay.
+    """
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def covering(self, met: set) -> dict:
+        """A dictionary that has all of ``met``; ``make`` gets the list of keys that are new."""
+        missing = met.difference(self.young)
+        if self.young and len(self.young) + len(missing) > self.most:
+            self.old, self.young, missing = self.young, {}, met
+        again = missing.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in again)
+        new = list(missing.difference(again))
+        self.young.update(zip(new, self.make(new)))
+        return self.young

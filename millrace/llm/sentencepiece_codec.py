@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches
+from millrace.llm.common import RecentCache, bounded_batches
 
 SPACE = "▁"
 NEVER = float("inf")
-CACHED_SEGMENTS, CACHED_PAIRS, CACHED_LENGTH = 150_000, 400_000, 48
+CACHED_SEGMENTS, CACHED_PAIRS, CACHED_LENGTH = 200_000, 400_000, 48  # segments in each of two generations
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -63,7 +63,7 @@ class PieceCodec:
         apart = re.escape("".join(sorted(alone)))
         self.segments = re.compile(f"{SPACE}*[^{SPACE}{apart}]+|{SPACE}+|[{apart}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.recent = RecentCache(lambda new: map(self.segment, new), CACHED_SEGMENTS)
 
     def merge(self, text: str) -> tuple[tuple[str, str, float], ...]:
         """First symbol, last symbol and cost of the next merge, after each merge of ``text``."""
@@ -158,14 +158,10 @@ class PieceCodec:
         if not text:
             return self.bos + self.eos, ""
         segments = self.segments(SPACE + text.replace(" ", SPACE))
-        known = self.known
-        new = set(segments).difference(known)
-        if len(known) + len(new) > CACHED_SEGMENTS:
-            known = self.known = {s: known[s] for s in set(segments).intersection(known)}
-        local = {}
-        for s in new:
-            (known if len(s) <= CACHED_LENGTH else local)[s] = self.segment(s)
-        found = [known.get(s) or local[s] for s in segments]
+        met = set(segments)
+        long = {s: self.segment(s) for s in met if len(s) > CACHED_LENGTH}
+        known = self.recent.covering(met.difference(long))
+        found = [known.get(s) or long[s] for s in segments]
         decoded = "".join([x[1] for x in found])
         return b"".join([self.bos, *[x[0] for x in found], self.eos]), decoded.removeprefix(" ")
 

@@ -30,7 +30,7 @@ from millrace.llm.common import bounded_batches, fresh
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 6, (1, 2, 3)
 CUT = 0.7
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 
 
 def held_out(doc_id: Column) -> Column:
