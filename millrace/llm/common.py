@@ -110,7 +110,7 @@ class RecentCache:
         missing = met.difference(self.young)
         if self.young and len(self.young) + len(missing) > self.most:
             self.old, self.young, missing = self.young, {}, met
-        again = missing.intersection(self.old)
+        again = {k for k in missing if k in self.old}
         self.young.update((k, self.old[k]) for k in again)
         new = list(missing.difference(again))
         self.young.update(zip(new, self.make(new)))
