@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.ann import search
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.html_extraction import extract
 from millrace.llm.packing import pack_documents
@@ -33,6 +34,10 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select(
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op1_html_min_cut,
         op2_best_fit_packing,
         op3_hilbert_sharding,
+        op4_inverted_multi_index,
         op6_sentencepiece_codec,
         op7_exact_dedup,
         op8_warc_capture_index,
