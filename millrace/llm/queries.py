@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.llm.ann import search
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.html_extraction import extract
+from millrace.llm.ngram_join import ngram_components
 from millrace.llm.packing import pack_documents
 from millrace.llm.sentencepiece_codec import encode_documents
 from millrace.llm.sharding import shard_documents
@@ -38,6 +39,10 @@ def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
+def op5_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select(
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_best_fit_packing,
         op3_hilbert_sharding,
         op4_inverted_multi_index,
+        op5_adaptive_prefix_join,
         op6_sentencepiece_codec,
         op7_exact_dedup,
         op8_warc_capture_index,
@@ -88,6 +94,28 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingle
+  FROM w
+), n AS (
+  SELECT doc_id, count(shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)
+), reach AS (
+  SELECT doc_id AS start, doc_id AS reached FROM n
+  UNION
+  SELECT start, b FROM reach JOIN links ON a = reached
+)
+SELECT n.doc_id, n_shingles, min(reached) AS component_id FROM n JOIN reach ON start = n.doc_id GROUP BY ALL
+"""
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 best AS (SELECT payload_digest, max(page_id) AS page FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
@@ -99,4 +127,4 @@ FROM p LEFT JOIN best USING (payload_digest)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op8_warc_capture_index": OP8_SQL}
+    return {"op5_adaptive_prefix_join": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc_capture_index": OP8_SQL}
