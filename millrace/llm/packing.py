@@ -12,21 +12,25 @@ kept. An empty table gives no pieces. Only documents longer than ``capacity`` ar
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from string import punctuation
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, materialize, salted_rank
+from millrace.llm.common import RecentCache, bounded_batches, materialize, salted_rank
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, end_rank long, first_sequence long, in_each long, first_offset long"
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 250_000
+#: Words whose ids a worker remembers, in each of two generations.
+CACHED_WORDS = 400_000
 
 
 class WordCache:
@@ -36,26 +40,56 @@ class WordCache:
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tails: dict[str, bytes] = {}
+        self.recent = RecentCache(self.encode, CACHED_WORDS)
+
+    def alone(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, encoded as one text: each word ends where a token ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):  # a letter that lower-casing takes apart
+            return self.alone(words)
+        data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def encode(self, words: list[bytes]) -> Iterator[bytes]:
+        """Most words are letters with punctuation behind; the tokenizer splits these two apart."""
+        for i in range(0, len(words), 2048):
+            plain, stems, tails, other = [], [], [], []
+            for word in words[i : i + 2048]:
+                text = word.decode()
+                stem = text.rstrip(punctuation)
+                if stem.isalpha() and stem.lower().isalpha():
+                    plain.append(word)
+                    stems.append(stem)
+                    tails.append(text[len(stem) :])
+                else:
+                    other.append(word)
+            found = dict(zip(other, self.alone([w.decode() for w in other])))
+            for tail in set(tails).difference(self.tails):
+                self.tails[tail] = self.alone([tail])[0]
+            if stems:
+                found.update((w, ids + self.tails[t]) for w, ids, t in zip(plain, self.letters(stems), tails))
+            if len(self.tails) > CACHED_WORDS // 10:
+                self.tails = {}
+            yield from map(found.__getitem__, words[i : i + 2048])
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        met = set().union(*split)
-        new = list(met.difference(self.known))
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in met.intersection(self.known)}
-        for i in range(0, len(new), 4096):
-            words = new[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.known.update(zip(words, (b"".join(n.to_bytes(4, "little") for n in x.ids) for x in found)))
+        known = self.recent.covering(set().union(*split))
         for words in split:
-            yield b"".join(map(self.known.__getitem__, words))
+            yield b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
