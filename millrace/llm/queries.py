@@ -15,6 +15,7 @@ from millrace.llm.ngram_join import ngram_components
 from millrace.llm.packing import pack_documents
 from millrace.llm.sentencepiece_codec import encode_documents
 from millrace.llm.sharding import shard_documents
+from millrace.llm.substring_dedup import remove_repeats
 from millrace.llm.toxicity import score_documents
 from millrace.llm.warc import archive_report
 
@@ -61,6 +62,11 @@ def op8_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_sentencepiece_codec,
         op7_exact_dedup,
         op8_warc_capture_index,
+        op9_substring_fm_index,
         op10_toxicity,
     )
     return {f.__name__: f for f in found}
@@ -125,6 +132,25 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN best USING (payload_digest)
 """
 
+OP9_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50
+), hashed AS (
+  SELECT doc_id, i, md5(array_to_string(words[i : i + 49], ' ')) AS h FROM windows
+), firsts AS (
+  SELECT h, min(doc_id) AS first_doc FROM hashed GROUP BY h
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS places
+  FROM hashed JOIN firsts USING (h) WHERE first_doc < doc_id GROUP BY doc_id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN places IS NULL THEN words
+    ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_adaptive_prefix_join": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc_capture_index": OP8_SQL}
+    return {"op5_adaptive_prefix_join": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op8_warc_capture_index": OP8_SQL, "op9_substring_fm_index": OP9_SQL}
