@@ -1,0 +1,70 @@
+import pytest
+
+from millrace.operators import imports as I
+from millrace.sources.imports_csv import load_imports
+
+HEADER = "a,b,c,d,e,country,g,commodity,value\n"
+
+
+def write(tmp_path, *lines):
+    path = tmp_path / "imports.csv"
+    path.write_text(HEADER + "".join(lines), encoding="utf-8")
+    return str(path)
+
+
+def test_csv_quoting_and_rejects(spark, tmp_path):
+    path = write(
+        tmp_path,
+        '1,2,3,4,5,Chile,7,"Ouro, ""puro"" x",10.5\n',
+        '1,2,3,4,5,Chile,7,"line\nbreak",1\n',
+        "1,2,3,4,5,Peru,7,Soja,bad\n",
+        "1,2,3,4,5,Peru,7,Soja,3,99\n",
+        "1,2,3\n",
+    )
+    rows, rejects = load_imports(spark, path)
+    assert sorted(map(tuple, rows.collect())) == [("Chile", 'Ouro, "puro" x', "10.5"), ("Chile", "line\nbreak", "1"), ("Peru", "Soja", "bad")]
+    assert sorted(r.raw for r in rejects.collect()) == ["1,2,3", "1,2,3,4,5,Peru,7,Soja,3,99"]
+    rolled = {r.country: (r.total, r.n_commodities) for r in I.country_rollup(I.valid_imports(rows)).collect()}
+    assert rolled == {"Chile": (11.5, 2)}
+
+
+def test_csv_strict(spark, tmp_path):
+    rows, rejects = load_imports(spark, write(tmp_path, "1,2,3,4,5,Peru,7,Soja,3,99\n"), mode="strict")
+    assert [tuple(r) for r in rows.collect()] == [("Peru", "Soja", "99")] and rejects.isEmpty()
+    rows, _ = load_imports(spark, write(tmp_path, "1,2,3\n"), mode="strict")
+    with pytest.raises(Exception, match="row has only 3 fields"):
+        rows.collect()
+
+
+@pytest.fixture
+def rows(spark):
+    data = [("B", "x", 2.0, 0), ("A", "y", 1.0, 1), ("B", "w", 0.0, 2), ("A", "y", 1.0, 3), ("C", "x", 0.0, 4), ("D", "Footwear (85)", 5.0, 5)]
+    return spark.createDataFrame(data, "country string, commodity string, value double, place int")
+
+
+def test_ranking_ties_and_few_rows(rows):
+    ranked = I.import_ranking(rows, 10).collect()
+    assert [(r["rank"], r.country, r.total, r.n_commodities) for r in ranked] == [(1, "D", 5.0, 1), (2, "A", 2.0, 1), (3, "B", 2.0, 2), (4, "C", 0.0, 1)]
+    assert len(I.import_ranking(rows, 2).collect()) == 2
+    assert I.ranking_lines(I.import_ranking(rows, 1)).first().line == "1º - D: €5.00 mil euros - 1 commodities"
+
+
+def test_lists_and_lookups(rows):
+    assert {r.country: r.commodities for r in I.first_seen_commodities(rows, "place").collect()} == {"A": ["y"], "B": ["x", "w"], "C": ["x"], "D": ["Footwear (85)"]}
+    assert tuple(I.country_lookup(rows, "C").first()) == ("C", True, 0.0, 1)
+    assert tuple(I.country_lookup(rows, "c").first()) == ("c", False, None, None)
+    assert sorted(r.commodity for r in I.country_commodities(rows, "B").collect()) == ["w", "x"]
+    assert sorted(r.country for r in I.countries_by_commodity(rows, "x").collect()) == ["B", "C"]
+    assert I.countries_by_commodity(rows, "Foot").isEmpty()
+
+
+def test_empty_table(spark, rows):
+    none = rows.where("false")
+    assert I.country_rollup(none).isEmpty() and I.import_ranking(none).isEmpty() and not I.country_lookup(none, "A").first().found
+
+
+def test_plan_prunes_and_takes_ordered(rows, tmp_path, spark):
+    path = str(tmp_path / "t")
+    rows.withColumn("unused", rows.value * 2).write.parquet(path)
+    plan = I.import_ranking(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "unused" not in plan
