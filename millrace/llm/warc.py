@@ -132,7 +132,7 @@ def write_records(batches: Iterator[pa.RecordBatch], folder: str, level: int, fi
                         out.close()
                     where.create_dir(at, recursive=True)
                     name, size = f"records-{uuid.uuid4().hex}.warc.gz", 0
-                    out = where.open_output_stream(f"{at}/{name}")
+                    out = where.open_output_stream(f"{at}/{name}", compression=None)
                 url = address(url, page_id)
                 target = None if target_id is None else (target_id, address(target_url, target_id))
                 member = gzip_member(record(page_id, url, payload, digest, target), level)
@@ -166,7 +166,7 @@ def write_index_part(batches: Iterator[pa.RecordBatch], folder: str, lines: int)
         for row in batch.to_pylist():
             if out is None:
                 where.create_dir(at, recursive=True)
-                out, first = where.open_output_stream(f"{at}/{name}.blocks"), row["capture_key"]
+                out, first = where.open_output_stream(f"{at}/{name}.blocks", compression=None), row["capture_key"]
             held.append((row["capture_key"], json.dumps([row["page_id"], row["record_type"], row["file"], row["offset"], row["length"]])))
             last, total = row["capture_key"], total + 1
             if len(held) >= lines:
@@ -175,7 +175,7 @@ def write_index_part(batches: Iterator[pa.RecordBatch], folder: str, lines: int)
         if held:
             flush()
         out.close()
-        with where.open_output_stream(f"{at}/{name}.directory") as f:
+        with where.open_output_stream(f"{at}/{name}.directory", compression=None) as f:
             f.write("\n".join(directory).encode())
         yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_key": first, "last_key": last, "blocks": len(directory), "captures": total}])
 
@@ -226,7 +226,7 @@ def find_captures(batches: Iterator[pa.RecordBatch], parts: list[tuple[str, str,
 def members(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The gzip members of a file, one at a time."""
     where, at = store(path)
-    with where.open_input_stream(at) as f:
+    with where.open_input_stream(at, compression=None) as f:
         inflate, out, data = zlib.decompressobj(31), [], b""
         while data or (data := f.read(chunk)):
             out.append(inflate.decompress(data))
