@@ -60,16 +60,19 @@ class Model:
         return np.hstack([self.embedding[buckets].sum(axis=1), self.language_odds[buckets[:, 0]]]).astype(np.float32)
 
     def pooled(self, x: np.ndarray, starts: np.ndarray, at: bool = False):
-        """Maximum of each filter over each text of ``x`` (texts end in two zero rows); with ``at`` also where."""
-        maxima, where = [], []
+        """Maximum of each filter over each text of ``x``; with ``at`` also where.
+
+        A text is its words, one zero row at least, and two zero rows that complete the last windows but begin none.
+        """
+        maxima, where, ends = [], [], np.append(starts[1:], len(x))
         for width in WIDTHS:
             y = x[:, :DIM] @ self.filters[width][:DIM]
             for k in range(1, width):
                 y[:-k] += x[k:, :DIM] @ self.filters[width][k * DIM : (k + 1) * DIM]
+            y[ends - 1] = y[ends - 2] = -np.inf
             top = np.maximum.reduceat(y, starts, axis=0)
             maxima.append(np.tanh(top + self.bias[width]))
             if at:
-                ends = np.append(starts[1:], len(x))
                 where.append(np.array([y[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)]))
         return (np.hstack(maxima), where) if at else np.hstack(maxima)
 
@@ -110,7 +113,7 @@ class Reader:
             self.table[self.used : self.used + len(new)] = vectors
             self.row.update(zip(new, range(self.used, self.used + len(new))))
             self.used += len(new)
-        lengths = np.array([len(w) + 2 for w in split])
+        lengths = np.array([max(1, len(w)) + 2 for w in split])
         starts = np.cumsum(lengths) - lengths
         index = np.zeros(int(lengths.sum()), np.int64)
         for start, words in zip(starts, split):
@@ -176,9 +179,9 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str], epochs: int =
     start_from_odds(model, [docs[i] for i in rows], labels[rows], language[rows])
 
     def matrix(which):
-        blank = np.zeros((2, DIM + len(names)), np.float32)
-        parts = [p for i in which for p in (model.words(docs[i]), blank)]
-        lengths = np.array([len(docs[i]) + 2 for i in which])
+        blank = np.zeros((3, DIM + len(names)), np.float32)
+        parts = [p for i in which for p in (model.words(docs[i]), blank[: 2 + (len(docs[i]) == 0)])]
+        lengths = np.array([max(1, len(docs[i])) + 2 for i in which])
         return np.vstack(parts), np.cumsum(lengths) - lengths
 
     grown = {"e": np.full((BUCKETS, DIM), 1e-6), "w": np.full(len(model.weights), 1e-6), "b": 1e-6} | {w: np.full((w * DIM, FILTERS), 1e-6) for w in WIDTHS}
@@ -198,7 +201,7 @@ def train(texts: list[str], labels: np.ndarray, langs: list[str], epochs: int =
             model.weights = step("w", model.weights, pooled.T @ error + 1e-5 * model.weights)
             model.intercept = float(step("b", model.intercept, error.sum()))
             owner = np.repeat(np.arange(len(chunk)), np.diff(np.append(starts, len(x))))
-            flat = np.concatenate([np.vstack([docs[i], np.full((2, 3), -1)]) for i in chunk])
+            flat = np.concatenate([np.vstack([docs[i], np.full((2 + (len(docs[i]) == 0), 3), -1)]) for i in chunk])
             change: dict[int, np.ndarray] = {}
             moved = np.zeros((len(x), DIM))
             for n, width in enumerate(WIDTHS):
