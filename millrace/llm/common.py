@@ -120,20 +120,20 @@ class RecentCache:
 BITMAP_BITS = 1 << 26
 
 
-def may_be_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """``rows`` plus a column ``may_be_in``: false only if ``key`` is surely not among the wanted keys.
+def may_be_in(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str, flag: str = "may_be_in") -> DataFrame:
+    """``rows`` plus a column ``flag``: false only if ``key`` is surely not among the wanted keys.
 
     The wanted keys set bits of a bitmap of fixed size (8 MB in all, cut into rows of 4 KB), which is broadcast.
     It spares the shuffle of rows that no join needs; when it is full, rows are only shuffled in vain.
     """
-    place = F.pmod(F.xxhash64(F.col(wanted_key)), F.lit(BITMAP_BITS))
+    place, bucket, bits = (fresh(rows, n) for n in ("_place", "_bucket", "_bitmap"))
     bitmap = (
-        wanted.select(place.alias("_place"))
-        .groupBy(F.expr("bitmap_bucket_number(_place)").alias("_bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_place))").alias("_bitmap"))
+        wanted.select(F.pmod(F.xxhash64(F.col(wanted_key)), F.lit(BITMAP_BITS)).alias(place))
+        .groupBy(F.expr(f"bitmap_bucket_number({place})").alias(bucket))
+        .agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({place}))").alias(bits))
     )
-    placed = rows.withColumn("_place", F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))).withColumn("_bucket", F.expr("bitmap_bucket_number(_place)"))
-    bit = "bitmap_bit_position(_place)"
-    byte = f"cast(conv(hex(substring(_bitmap, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int)"
-    found = placed.join(F.broadcast(bitmap), "_bucket", "left")
-    return found.withColumn("may_be_in", F.expr(f"coalesce((shiftright({byte}, cast({bit} % 8 as int)) & 1) = 1, false)")).drop("_place", "_bucket", "_bitmap")
+    placed = rows.withColumn(place, F.pmod(F.xxhash64(F.col(key)), F.lit(BITMAP_BITS))).withColumn(bucket, F.expr(f"bitmap_bucket_number({place})"))
+    bit = f"bitmap_bit_position({place})"
+    byte = f"cast(conv(hex(substring({bits}, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int)"
+    found = placed.join(F.broadcast(bitmap), bucket, "left")
+    return found.withColumn(flag, F.expr(f"coalesce((shiftright({byte}, cast({bit} % 8 as int)) & 1) = 1, false)")).drop(place, bucket, bits)

@@ -27,7 +27,6 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in
 from millrace.llm.shingles import P1, P2, mix, split_words, window_hashes, word_hashes
@@ -237,14 +236,10 @@ def repeated_runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     )
     likely = may_be_in(found, "anchor", repeated, "anchor").where("may_be_in").drop("may_be_in")
     places = materialize(likely.join(repeated, "anchor", "left_semi"), "places")
-    distinct = (
-        places.groupBy("segment")
-        .agg(F.min(F.struct("doc_id", "row", "start", "count", "anchor")).alias("s"))
-        .select("segment", "s.*")
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
-        .withColumn("splits", F.expr(f"cast(n div {SHARD_SEGMENTS} + 1 as int)"))
-    )
-    by_row = materialize(distinct.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "start", "count", "splits")).alias("wanted")), "wanted")
+    first = F.min(F.struct("doc_id", "row", "start", "count", "anchor")).alias("s")
+    distinct = materialize(places.groupBy("segment").agg(first).select("segment", "s.*"), "distinct-segments")
+    splits = distinct.groupBy("anchor").agg(F.expr(f"cast(count(1) div {SHARD_SEGMENTS} + 1 as int)").alias("splits"))
+    by_row = materialize(distinct.join(splits, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "start", "count", "splits")).alias("wanted")), "wanted")
     texts = may_be_in(rows, "row", by_row, "row").where("may_be_in").drop("may_be_in").dropDuplicates(["row"])
     pieces = texts.join(by_row, "row").select("doc_id", "text", "wanted").mapInArrow(partial(cut_segments, window=window), PIECES)
     sharded = pieces.repartition("shard").sortWithinPartitions("shard")
@@ -267,11 +262,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 15, id_col:
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
     """``docs`` with repeated windows taken out of the text; texts that lose nothing stay as they are."""
-    id_col, key = options.get("id_col", "doc_id"), fresh(docs, "row")
-    changed = remove_repeats(docs, text_col=text_col, **options).where("n_removed > 0").select(F.col("row").alias("_row"), "kept").dropDuplicates(["_row"])
+    id_col, key, new = options.get("id_col", "doc_id"), fresh(docs, "row_key"), fresh(docs, "new_text")
+    changed = remove_repeats(docs, text_col=text_col, **options).where("n_removed > 0").select(F.col("row").alias(key), F.col("kept").alias(new)).dropDuplicates([key])
     changed = materialize(changed, "changed-texts")
-    keyed = may_be_in(docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))), key, changed, "_row")
-    touched = keyed.where("may_be_in").join(changed, F.col(key) == F.col("_row"), "left").withColumn(text_col, F.coalesce("kept", text_col))
+    flag = fresh(docs, "may_be_in")
+    keyed = may_be_in(docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))), key, changed, key, flag)
+    touched = keyed.where(flag).join(changed, key, "left").withColumn(text_col, F.coalesce(new, text_col))
     if length_col in docs.columns:
-        touched = touched.withColumn(length_col, F.when(F.col("kept").isNull(), F.col(length_col)).otherwise(F.length("kept")).cast(docs.schema[length_col].dataType))
-    return touched.select(docs.columns).unionByName(keyed.where("not may_be_in").select(docs.columns))
+        touched = touched.withColumn(length_col, F.when(F.col(new).isNull(), F.col(length_col)).otherwise(F.length(new)).cast(docs.schema[length_col].dataType))
+    return touched.select(docs.columns).unionByName(keyed.where(f"not {flag}").select(docs.columns))
