@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import fresh, materialize
+from millrace.llm.common import fresh, materialize, may_be_in
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,15 +71,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns."""
-    groups = materialize(exact_groups(docs, id_col, text_col, **options), "groups")
-    digest = fresh(docs, "text_sha256")
-    stay = groups.where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_digest"))
-    kept = docs.withColumn(digest, text_digest(F.col(text_col)))
-    kept = kept.join(stay, kept[id_col].eqNullSafe(F.col("_keep_id")) & (kept[digest] == F.col("_keep_digest")), "left_semi")
-    repeated = groups.groupBy("doc_id", "text_sha256").count().where("count > 1")
-    if not repeated.isEmpty():  # rows that repeat id and text: one of them stays
-        again = repeated.select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_digest"))
-        same = kept[id_col].eqNullSafe(F.col("_keep_id")) & (kept[digest] == F.col("_keep_digest"))
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, digest]))
-    return kept.drop(digest)
+    """The rows of ``docs`` that stay, with their own columns. Only texts that may have to go are shuffled."""
+    groups = exact_groups(docs, id_col, text_col, **options)
+    key, flag = fresh(docs, "row_key"), fresh(docs, "may_go")
+    keys = materialize(groups.select(F.xxhash64("doc_id", "text_sha256").alias(key), "kept"), "groups")
+    found = keys.groupBy(key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = materialize(found.where("not kept or n > 1").select(key, "kept"), "gone")  # of rows that repeat id and text one stays
+    keyed = may_be_in(docs.withColumn(key, F.xxhash64(F.col(id_col), text_digest(F.col(text_col)))), key, gone, key, flag)
+    doubtful = keyed.where(flag).join(gone.where("not kept").select(key), key, "left_anti").dropDuplicates([key])
+    return keyed.where(f"not {flag}").select(docs.columns).unionByName(doubtful.select(docs.columns))
