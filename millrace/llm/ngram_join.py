@@ -30,15 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import bounded_batches, materialize, salted_lookup
+from millrace.llm.common import bounded_batches, materialize, may_be_in, salted_lookup
 from millrace.llm.shingles import mix, shingle_set, split_words
 
 BUCKET_BITS, CHUNKS = 21, 64
 #: The share of a set by which its prefix may be lengthened, in steps; and the cost of verifying a pair against listing it.
 STEPS, VERIFY_COST = (0.0, 0.02, 0.05, 0.1), 20.0
+#: Members of a shingle's group whose pairs one task enumerates at a time.
+GROUP_ROWS = 2_000
+#: Groups up to this size are listed by sizes alone; members of larger ones bring their bitmaps.
+FEW = 48
 FIRST_PASS = "doc_id long, n_shingles long, node long, bitmap binary, chunk int, slot int, counts binary"
 SIGNED = np.int64
-UPPER_TO_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -48,7 +51,7 @@ def needed(n: np.ndarray | int, percent: int):
 
 def sets_of(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     for text in texts:
-        yield shingle_set(split_words(text and text.translate(UPPER_TO_LOWER)), width)
+        yield shingle_set(split_words(text, lower=True), width)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -178,6 +181,127 @@ def near_enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         yield batch.select(["a", "b"]).filter(kept) if len(batch) else batch.select(["a", "b"])
 
 
+class Group:
+    """Members of a shingle's group, or of two blocks of it, whose pairs are enumerated."""
+
+    def __init__(self, rows: list[tuple], percent: int, across: bool):
+        rows.sort(key=lambda r: (r[1], r[0]))  # by size, then node: the same order in every group
+        self.node, self.n, self.m, self.root, self.block, self.bitmap = zip(*rows)
+        self.percent, self.across = percent, across
+
+    def small(self, i: int) -> list[int]:
+        """Larger members that sizes and components allow."""
+        most, found = 100 * self.n[i], []
+        for j in range(i + 1, len(self.node)):
+            if most < self.percent * self.n[j]:
+                break
+            if self.root[i] != self.root[j]:
+                found.append(j)
+        return found
+
+    def arrays(self) -> None:
+        self.sizes, self.roots, self.blocks = np.array(self.n), np.array(self.root), np.array(self.block)
+        widths = [len(b) for b in self.bitmap]
+        self.own = {k: np.frombuffer(b"".join(b for b in self.bitmap if len(b) == k), np.uint64).reshape(-1, k // 8) for k in set(widths)}
+        self.folded = {k: x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for k, x in self.own.items()}
+        self.first = {k: int(np.searchsorted(widths, k)) for k in self.own}  # bitmaps grow with sizes
+
+    def large(self, i: int) -> list[int]:
+        """Larger members that sizes, components and bitmaps allow. Their bitmaps have this one's length or twice that."""
+        k, end = len(self.bitmap[i]), int(np.searchsorted(self.sizes, 100 * self.n[i] // self.percent, side="right"))
+        mine, found = self.own[k][i - self.first[k]], []
+        for width, matrix in ((k, self.own[k]), (2 * k, self.folded.get(2 * k))):
+            if matrix is None:
+                continue
+            low, high = max(i + 1, self.first[width]), min(end, self.first[width] + len(matrix))
+            if low >= high:
+                continue
+            distance = np.bitwise_count(matrix[low - self.first[width] : high - self.first[width]] ^ mine).sum(axis=1, dtype=np.int64)
+            both = self.sizes[low:high] + self.n[i]
+            good = (100 * (both - distance) >= self.percent * (both + distance)) & (self.roots[low:high] != self.root[i])
+            if self.across:
+                good &= self.blocks[low:high] != self.block[i]
+            found += (low + np.flatnonzero(good)).tolist()
+        return found
+
+    def partners(self) -> Iterator[tuple[int, list[int], list[int]]]:
+        """A member, others it may link with, and how many shingles each pair must share."""
+        if many := self.bitmap[0] is not None:
+            self.arrays()
+        for i in range(len(self.node) - 1):
+            found = self.large(i) if many else self.small(i)
+            if found:
+                yield self.node[i], [self.node[j] for j in found], [min(self.m[i], self.m[j]) for j in found]
+
+
+def lists(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 3
+    types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "others", "needed"])
+
+
+def group_partners(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidate lists of each group. Rows come sorted by group."""
+    key, held, out, size = None, [], [], 0
+    for batch in batches:
+        token, low, high, *rest = (c.to_pylist() for c in batch.columns)
+        for at, row in zip(zip(token, low, high), zip(*rest)):
+            if at != key:
+                if len(held) > 1:
+                    found = list(Group(held, percent, key[1] != key[2]).partners())
+                    out, size = out + found, size + sum(len(f[1]) for f in found)
+                    if size >= 100_000:
+                        yield lists(out)
+                        out, size = [], 0
+                key, held = at, []
+            held.append(row)
+    if len(held) > 1:
+        out += Group(held, percent, key[1] != key[2]).partners()
+    yield lists(out)
+
+
+def enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that occur in as many lists as they must share shingles. Rows come sorted by ``a``."""
+
+    def pairs(a, others, needed):
+        b, at, count = np.unique(np.concatenate(others), return_index=True, return_counts=True)
+        b = b[count >= np.concatenate(needed)[at]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b)], ["a", "b"])
+
+    key, others, needed = None, [], []
+    for batch in batches:
+        for a, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+            if a != key:
+                if others:
+                    yield pairs(key, others, needed)
+                key, others, needed = a, [], []
+            others.append(np.array(x, np.int64))
+            needed.append(np.array(y, np.int64))
+    if others:
+        yield pairs(key, others, needed)
+
+
+def open_pairs(open_rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b, n_a, n_b of all pairs of different components that share the smaller of their two numbers of prefix shingles.
+
+    A group of more than GROUP_ROWS members is cut into blocks and each pair of blocks is a group of its own. Members of groups
+    larger than FEW bring their bitmaps along, so that only pairs that these allow leave the group. The smaller set of a pair is ``a``
+    in every list of it.
+    """
+    sized = open_rows.join(open_rows.groupBy("token").agg(F.count(F.lit(1)).alias("_size")), "token")
+    blocks = F.expr(f"cast((_size - 1) div {GROUP_ROWS} + 1 as int)")
+    few = sized.where(f"_size <= {FEW}").withColumn("bitmap", F.lit(None).cast("binary"))
+    many = sized.where(f"_size > {FEW}").join(nodes.select("node", "bitmap"), "node")
+    rows = few.unionByName(many).withColumn("_blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node, token), _blocks) as int)"))
+    dealt = rows.withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    columns = ["token", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "n", "m", "root", "block", "bitmap"]
+    grouped = dealt.select(columns).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
+    found = grouped.mapInArrow(partial(group_partners, percent=percent), "a long, others array<long>, needed array<int>")
+    pairs = found.repartition("a").sortWithinPartitions("a").mapInArrow(enough_matches, "a long, b long")
+    sizes = [nodes.select(F.col("node").alias(x), F.col("n").cast("int").alias(f"n_{x}")) for x in "ab"]
+    return pairs.join(sizes[0], "a").join(sizes[1], "b")
+
+
 def linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Verified pairs. Rows come sorted by the first node, with the text of both; its set is made once."""
     last, first = None, None
@@ -194,30 +318,36 @@ def linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
 
+def own_texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the node's set: an id may occur with several texts."""
+    for batch in batches:
+        nodes, texts = (c.to_pylist() for c in batch.columns)
+        keep = [len(s) > 0 and node_of(s) == node for node, s in zip(nodes, sets_of(texts, width))]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 class Verifier:
     """Tests pairs of nodes against the texts of one document of each node."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b, n_a, n_b with a < b and compatible sizes. The pairs that link."""
-        side = self.nodes.select("node", "bitmap", "doc_id")
-        marked = pairs.join(side.select(F.col("node").alias("a"), F.col("bitmap").alias("bits_a")), "a").join(
-            side.select(F.col("node").alias("b"), F.col("bitmap").alias("bits_b")), "b"
-        )
-        near = materialize(
-            marked.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(partial(near_enough, percent=self.percent), "a long, b long"), "near-pairs"
-        )
-        wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(side.select("node", "doc_id"), "node")
-        texts = materialize(
-            self.docs.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).select("node", "text").dropDuplicates(["node"]), "near-texts"
-        )
-        both = near.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
-            texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
-        )
-        check = both.select("a", "b", "text_a", "text_b").mapInArrow(partial(linked, width=self.width, percent=self.percent), "a long, b long")
-        return materialize(check, "links")
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs a, b, n_a, n_b those that the bitmaps allow."""
+        bits = [self.nodes.select(F.col("node").alias(x), F.col("bitmap").alias(f"bits_{x}")) for x in "ab"]
+        marked = pairs.join(bits[0], "a").join(bits[1], "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        return marked.mapInArrow(partial(near_enough, percent=self.percent), "a long, b long")
+
+    def links(self, near: DataFrame) -> DataFrame:
+        """The pairs a, b whose sets are similar, by the texts of one document each. Only those texts are shuffled."""
+        near = materialize(near, "near-pairs")
+        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        wanted = materialize(self.nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("n").alias("_n")), "near-nodes")
+        likely = may_be_in(self.docs, "doc_id", wanted, "_id").where("may_be_in").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+        texts = materialize(likely.select("node", "text").mapInArrow(partial(own_texts, width=self.width), "node long, text string").dropDuplicates(["node"]), "near-texts")
+        sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
+        both = near.join(sides[1], "b").join(sides[0], "a").select("a", "b", "text_a", "text_b")
+        return materialize(both.mapInArrow(partial(linked, width=self.width, percent=self.percent), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,7 +394,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     )
     verifier = Verifier(docs, nodes, width, percent)
     stars = shared.select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("n_a"), F.col("n").alias("n_b"))
-    found = verifier.links(stars.where("a <> b").where(similar_sizes("n_a", "n_b", percent)).distinct())
+    found = verifier.links(verifier.near(stars.where("a <> b").where(similar_sizes("n_a", "n_b", percent)).distinct()))
     shared = shared.drop("low")
     for step in range(1, rounds):
         open_rows = still_open(shared, components(found))
@@ -272,19 +402,10 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
         stars = open_rows.withColumn("pick", pick).where("root <> pick.root")
         stars = stars.select(F.least("node", "pick.node").alias("a"), F.greatest("node", "pick.node").alias("b"), "node", "n", "pick")
         sized = stars.select("a", "b", F.expr("if(a = node, n, pick.n)").alias("n_a"), F.expr("if(a = node, pick.n, n)").alias("n_b"))
-        more = verifier.links(sized.where(similar_sizes("n_a", "n_b", percent)).distinct())
+        more = verifier.links(verifier.near(sized.where(similar_sizes("n_a", "n_b", percent)).distinct()))
         found = materialize(found.unionByName(more), "links")
     open_rows = materialize(still_open(shared, components(found)), "open-prefixes")
-    left, right = (open_rows.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "m", "root"))) for s in "ab")
-    pairs = (
-        left.join(right, "token")
-        .where("node_a < node_b and root_a <> root_b")
-        .where(similar_sizes("n_a", "n_b", percent))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b", F.least("m_a", "m_b").alias("least_shared"))
-        .count()
-        .where("count >= least_shared")
-    )
-    found = materialize(found.unionByName(verifier.links(pairs.select("a", "b", "n_a", "n_b"))), "links")
+    found = materialize(found.unionByName(verifier.links(verifier.near(open_pairs(open_rows, nodes, percent)))), "links")
     roots = materialize(nodes.select("node", "doc_id").join(components(found), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = salted_lookup(roots.select("node", "root"), smallest, "root", "node").select("node", "component_id")

@@ -15,9 +15,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def split_words(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def split_words(text: str | None, lower: bool = False) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8; ``lower`` turns A-Z, and nothing else, to lower case."""
+    data = text.encode("utf-8", "surrogatepass") if text else b""
+    return data.lower().split() if lower else data.split()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -53,6 +53,23 @@ def test_chains_and_borders(spark):
     assert found(spark, rows, rounds=1) == brute(rows)
 
 
+def test_large_groups_and_blocks(spark, monkeypatch):
+    """Near copies whose pairs lie on both sides of the threshold, enumerated by bitmaps and in blocks."""
+    rng = random.Random(12)
+    base, rows = sentence(rng, 90).split(), []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(90)] = f"u{rng.randrange(99999)}"
+        rows.append((i, " ".join(words[: rng.randrange(80, 91)]), "en", "a", 0))
+    wanted = brute(rows)
+    assert len({c for _, c in wanted.values()}) > 5
+    for few, block in ((48, 2000), (4, 30), (1000, 2000)):
+        monkeypatch.setattr(J, "FEW", few)
+        monkeypatch.setattr(J, "GROUP_ROWS", block)
+        assert found(spark, rows, rounds=1) == wanted
+
+
 def test_clash_nulls_and_empty(spark):
     rows = [(None, "a b c d e f", None, None, 0), (5, "a b c d e f", None, None, 0), (None, None, None, None, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_components(spark.createDataFrame(rows, DOCS)).collect()), key=str)
