@@ -30,11 +30,11 @@ def import_rows(spark: SparkSession, sf_dir: str, commodity: str = "p_type") ->
     buyers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     parts = table(spark, sf_dir, "part").select("p_partkey", commodity)
-    origin = buyers.join(nations, buyers.c_nationkey == nations.n_nationkey).select("c_custkey", "n_name")
+    buyers = buyers.join(nations, buyers.c_nationkey == nations.n_nationkey).select("c_custkey", "n_name")
+    origin = orders.join(buyers, orders.o_custkey == buyers.c_custkey).select("o_orderkey", "n_name")  # so that lines move once at most
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
-        .join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(origin, orders.o_custkey == origin.c_custkey)
+        .join(origin, lines.l_orderkey == origin.o_orderkey)
         .select(F.col("n_name").alias("country"), F.col(commodity).alias("commodity"), F.col("l_extendedprice").alias("value"))
     )
 
