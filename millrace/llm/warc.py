@@ -223,7 +223,7 @@ def find_captures(batches: Iterator[pa.RecordBatch], parts: list[tuple[str, str,
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in FOUND.split(", ")])
 
 
-def members(path: str, chunk: int = 1 << 20) -> Iterator[bytes]:
+def members(path: str, chunk: int = 1 << 16) -> Iterator[bytes]:
     """The gzip members of a file, one at a time."""
     where, at = store(path)
     with where.open_input_stream(at, compression=None) as f:
