@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import bounded_batches, materialize, may_be_in, salted_lookup
+from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in, salted_lookup
 from millrace.llm.shingles import mix, shingle_set, split_words
 
 BUCKET_BITS, CHUNKS = 21, 64
@@ -429,5 +429,8 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     id_col = options.get("id_col", "doc_id")
     groups = ngram_components(docs, **options)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    key, flag = fresh(docs, "gone_id"), fresh(docs, "may_go")
+    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    keyed = may_be_in(docs.withColumn(key, F.col(id_col).cast("long")), key, gone, key, flag)
+    doubtful = keyed.where(flag).join(gone, key, "left_anti")
+    return keyed.where(f"not {flag}").select(docs.columns).unionByName(doubtful.select(docs.columns))
