@@ -30,7 +30,7 @@ from millrace.llm.common import bounded_batches, fresh
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 6, (1, 2, 3)
 CUT = 0.7
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -261,11 +261,12 @@ def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     chosen = known.where("toxic = 1").orderBy(*order).limit(max_rows // 3)
     chosen = chosen.unionByName(known.where("toxic = 0").orderBy(*order).limit(max_rows - max_rows // 3))
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return rows.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), "toxic")
+    # of rows that repeat an id one is taken, the same each time
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.coalesce(F.min("lang"), F.lit("")).alias("lang"), F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 5000) -> Model:
-    rows = learning_rows(docs, labels, max_rows).toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rows = learning_rows(docs, labels, max_rows).toPandas().sort_values("doc_id", kind="stable")
     return train(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64), rows["lang"].tolist())
 
 
