@@ -105,6 +105,11 @@ class RecentCache:
         self.young: dict = {}
         self.old: dict = {}
 
+    def peek(self, key):
+        """The value of a key met lately, or None."""
+        value = self.young.get(key)
+        return self.old.get(key) if value is None else value
+
     def covering(self, met: set) -> dict:
         """A dictionary that has all of ``met``; ``make`` gets the list of keys that are new."""
         missing = met.difference(self.young)

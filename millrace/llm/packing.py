@@ -30,7 +30,7 @@ from millrace.llm.common import RecentCache, bounded_batches, materialize, salte
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, end_rank long, first_sequence long, in_each long, first_offset long"
 #: Words whose ids a worker remembers, in each of two generations.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 
 class WordCache:
@@ -44,6 +44,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)  # words come here once
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -64,26 +65,32 @@ class WordCache:
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, words: list[bytes]) -> Iterator[bytes]:
-        """Most words are letters with punctuation behind; the tokenizer splits these two apart."""
-        for i in range(0, len(words), 2048):
-            plain, stems, tails, other = [], [], [], []
-            for word in words[i : i + 2048]:
+        """Most words are letters with punctuation behind; the tokenizer splits these two apart and lower-cases both."""
+        for i in range(0, len(words), 256):
+            found, plain, stems, tails, other = {}, [], [], [], []
+            for word in words[i : i + 256]:
                 text = word.decode()
                 stem = text.rstrip(punctuation)
-                if stem.isalpha() and stem.lower().isalpha():
+                if not (stem.isalpha() and stem.lower().isalpha()):
+                    other.append(word)
+                    continue
+                tail = text[len(stem) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self.alone([tail])[0] if tail else b""
+                known = self.recent.peek(stem.lower().encode()) if stem.isascii() else None
+                if known is not None:
+                    found[word] = known + self.tails[tail]
+                else:
                     plain.append(word)
                     stems.append(stem)
-                    tails.append(text[len(stem) :])
-                else:
-                    other.append(word)
-            found = dict(zip(other, self.alone([w.decode() for w in other])))
-            for tail in set(tails).difference(self.tails):
-                self.tails[tail] = self.alone([tail])[0]
+                    tails.append(tail)
+            if other:
+                found.update(zip(other, self.alone([w.decode() for w in other])))
             if stems:
                 found.update((w, ids + self.tails[t]) for w, ids, t in zip(plain, self.letters(stems), tails))
             if len(self.tails) > CACHED_WORDS // 10:
                 self.tails = {}
-            yield from map(found.__getitem__, words[i : i + 2048])
+            yield from map(found.__getitem__, words[i : i + 256])
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
