@@ -32,7 +32,7 @@ from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in
 from millrace.llm.shingles import P1, P2, mix, split_words, window_hashes, word_hashes
 
 #: Words of an index; distinct segments of a shard before it is split.
-INDEX_WORDS, SHARD_SEGMENTS = 400_000, 4_000
+INDEX_WORDS, SHARD_SEGMENTS = 250_000, 4_000
 ANCHORS = "anchor long, segment long, row long, doc_id long, start int, count int"
 PIECES = "shard long, segment long, first int, count int, doc_id long, words binary"
 RUNS = "segment long, first int, count int, earliest long"
