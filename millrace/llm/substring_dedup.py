@@ -11,7 +11,8 @@ search extends the match by a word, and once it is longer than ``window`` words
 (matching statistics capped at the threshold). Where it has the full length, the interval of the index holds all
 occurrences of the window, and the smallest document id in it decides.
 
-An anchor with very many distinct segments is split by window hash into several shards, so no shard grows with the data.
+An anchor with very many distinct segments is split by window hash into several shards. The pieces that this makes of its
+segments are made distinct before they are indexed, so no shard grows with the number of documents that share a window.
 Words are ``[^\\x20\\x09-\\x0D]+``, compared by 64-bit hashes. A null or empty text has no words. Documents
 with the same id, repeated rows included, are not earlier than one another; a null id is never earlier and loses nothing.
 An empty table gives no rows.
@@ -28,23 +29,29 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in
+from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in, salted_lookup
 from millrace.llm.shingles import P1, P2, mix, split_words, window_hashes, word_hashes
 
 #: Words of an index; distinct segments of a shard before it is split.
 INDEX_WORDS, SHARD_SEGMENTS = 250_000, 4_000
+PIECES_AT_ONCE = 20_000
 ANCHORS = "anchor long, segment long, row long, doc_id long, start int, count int"
-PIECES = "shard long, segment long, first int, count int, doc_id long, words binary"
-RUNS = "segment long, first int, count int, earliest long"
+PIECES = "shard long, piece long, split boolean, segment long, place int, count int, doc_id long, words binary"
+RUNS = "piece long, split boolean, first int, count int, earliest long"
 KEPT = "row long, doc_id long, n_words long, n_removed long, kept string"
 
 
 def batch_of(columns: list, schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
     fields = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [name for name, _ in fields])
 
 
+def run_hashes(whole: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run [start, end) of windows: its first and last window overlap, so they and the count determine it."""
+    return mix(whole[start] * P1 + whole[end - 1] * P2 + (end - start).astype(np.uint64)).view(np.int64)
+
+
 def segments_of(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Anchor, segment hash, first window and number of windows of each run of windows with one anchor occurrence."""
     runs = mix(window_hashes(words, anchor))
@@ -53,10 +60,7 @@ def segments_of(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray
     cuts = np.flatnonzero(np.diff(at)) + 1
     start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [n]])
     count = end - start
-    whole = window_hashes(words, window)
-    # the first and the last window overlap, so they and the count determine the segment
-    segment = mix(whole[start] * P1 + whole[end - 1] * P2 + count.astype(np.uint64))
-    return runs[at[start]].view(np.int64), segment.view(np.int64), start, count
+    return runs[at[start]].view(np.int64), run_hashes(window_hashes(words, window), start, end), start, count
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -73,7 +77,7 @@ def find_anchors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) ->
 
 
 def cut_segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted segment; windows of split anchors are dealt by their hash."""
+    """The words of each wanted segment, a piece of its own; windows of split anchors are dealt by their hash, and runs of them are pieces."""
     for batch in batches:
         out = []
         for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
@@ -81,14 +85,19 @@ def cut_segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             for w in wanted:
                 start, count = w["start"], w["count"]
                 if w["splits"] == 1:
-                    out.append((w["anchor"], w["segment"], 0, count, doc_id, b" ".join(words[start : start + count + window - 1])))
+                    out.append((w["anchor"], w["segment"], False, w["segment"], 0, count, doc_id, b" ".join(words[start : start + count + window - 1])))
                     continue
-                kind = window_hashes(word_hashes(words[start : start + count + window - 1]), window) % np.uint64(w["splits"])
+                whole = window_hashes(word_hashes(words[start : start + count + window - 1]), window)
+                kind = whole % np.uint64(w["splits"])
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1, [count]])
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    shard = mix(np.array([w["anchor"]], np.int64).view(np.uint64) + kind[a] * P2).view(np.int64)[0]
-                    out.append((int(shard), w["segment"], a, b - a, doc_id, b" ".join(words[start + a : start + b + window - 1])))
-        yield batch_of(list(zip(*out)) or [[]] * 6, PIECES)
+                shard = mix(np.array([w["anchor"]], np.int64).view(np.uint64) + kind[cuts[:-1]] * P2).view(np.int64).tolist()
+                piece = run_hashes(whole, cuts[:-1], cuts[1:]).tolist()
+                for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                    out.append((shard[k], piece[k], True, w["segment"], a, b - a, doc_id, b" ".join(words[start + a : start + b + window - 1])))
+                if len(out) >= PIECES_AT_ONCE:
+                    yield batch_of(list(zip(*out)), PIECES)
+                    out = []
+        yield batch_of(list(zip(*out)) or [[]] * 8, PIECES)
 
 
 class WaveletMatrix:
@@ -189,16 +198,16 @@ class ShardIndex:
 
 
 def search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with their earliest document. Rows come sorted by shard; an index takes whole shards."""
+    """Runs of windows with their earliest document, of rows (shard, piece, split, count, doc_id, words) sorted by shard; an index takes whole shards."""
     held, size, last = [], 0, None
 
     def results():
         sequences = [word_hashes(x[5].split()) for x in held]
         index = ShardIndex(sequences, np.array([x[4] for x in held], np.int64), window)
         out = []
-        for (_, segment, first, _, _, _), earliest in zip(held, index.earliest_documents()):
+        for (_, piece, split, _, _, _), earliest in zip(held, index.earliest_documents()):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(earliest)) + 1, [len(earliest)]])
-            out += [(segment, first + a, b - a, int(earliest[a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            out += [(piece, split, a, b - a, int(earliest[a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return batch_of(list(zip(*out)), RUNS)
 
     for batch in batches:
@@ -238,12 +247,20 @@ def repeated_runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     places = materialize(likely.join(repeated, "anchor", "left_semi"), "places")
     first = F.min(F.struct("doc_id", "row", "start", "count", "anchor")).alias("s")
     distinct = materialize(places.groupBy("segment").agg(first).select("segment", "s.*"), "distinct-segments")
-    splits = distinct.groupBy("anchor").agg(F.expr(f"cast(count(1) div {SHARD_SEGMENTS} + 1 as int)").alias("splits"))
+    # a piece of a split anchor may be a single window
+    shards = f"if(count(1) < {SHARD_SEGMENTS}, 1, cast(1 + greatest(count(1) div {SHARD_SEGMENTS}, sum(count) * {window} div {INDEX_WORDS}) as int))"
+    splits = distinct.groupBy("anchor").agg(F.expr(shards).alias("splits"))
     by_row = materialize(distinct.join(splits, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "start", "count", "splits")).alias("wanted")), "wanted")
     texts = may_be_in(rows, "row", by_row, "row").where("may_be_in").drop("may_be_in").dropDuplicates(["row"])
-    pieces = texts.join(by_row, "row").select("doc_id", "text", "wanted").mapInArrow(partial(cut_segments, window=window), PIECES)
-    sharded = pieces.repartition("shard").sortWithinPartitions("shard")
-    runs = materialize(sharded.mapInArrow(partial(search_shards, window=window), RUNS), "runs")
+    pieces = materialize(texts.join(by_row, "row").select("doc_id", "text", "wanted").mapInArrow(partial(cut_segments, window=window), PIECES), "pieces")
+    columns = ["shard", "piece", "split", "count", "doc_id", "words"]
+    parts = pieces.where("split").groupBy("shard", "piece", "split").agg(F.first("count").alias("count"), F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
+    indexed = pieces.where("not split").select(columns).unionByName(parts.select(columns))
+    found = materialize(indexed.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(search_shards, window=window), RUNS), "found-runs")
+    runs = found.where("not split").select(F.col("piece").alias("segment"), "first", "count", "earliest")
+    # a piece may lie in very many segments
+    inside = salted_lookup(pieces.where("split").select("piece", "segment", "place"), found.where("split").drop("split"), "piece", "segment", how="inner")
+    runs = runs.unionByName(inside.select("segment", (F.col("place") + F.col("first")).alias("first"), "count", "earliest"))
     earlier = places.select("segment", "row", "doc_id", "start").join(runs, "segment").where("earliest < doc_id")
     return earlier.select("row", (F.col("start") + F.col("first")).alias("start"), "count")
 

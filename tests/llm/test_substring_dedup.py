@@ -54,6 +54,29 @@ def test_split_anchor(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, DOCS), window=20, anchor=6) == brute(rows, 20)
 
 
+def test_window_in_many_segments_is_indexed_once(spark, monkeypatch):
+    """Windows that many different segments share reach a shard as one piece, and the result is the same."""
+    rng = random.Random(4)
+    core = sentence(rng, 24)
+    rows = [(i, f"{sentence(rng, 12)} {core} {sentence(rng, 12)}", "", "", 0) for i in range(80)]
+    monkeypatch.setattr(S, "SHARD_SEGMENTS", 5)
+    monkeypatch.setattr(S, "INDEX_WORDS", 400)
+    seen, plain = [], S.materialize
+
+    def spy(df, label):
+        out = plain(df, label)
+        if label in ("pieces", "found-runs"):
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(S, "materialize", spy)
+    assert found(spark.createDataFrame(rows, DOCS), window=20, anchor=6) == brute(rows, 20)
+    pieces, runs = seen
+    hottest = pieces.where("split").groupBy("shard", "piece").count().orderBy("count", ascending=False).first()
+    assert hottest["count"] >= 60
+    assert runs.where("split").where(f"piece = {hottest['piece']}").count() == 1
+
+
 def test_backward_search_finds_all_windows():
     rng = random.Random(1)
     texts = [[rng.choice("abc").encode() for _ in range(rng.randrange(12, 60))] for _ in range(40)]
