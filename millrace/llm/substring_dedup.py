@@ -249,8 +249,9 @@ def repeated_runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     distinct = materialize(places.groupBy("segment").agg(first).select("segment", "s.*"), "distinct-segments")
     # a piece of a split anchor may be a single window
     shards = f"if(count(1) < {SHARD_SEGMENTS}, 1, cast(1 + greatest(count(1) div {SHARD_SEGMENTS}, sum(count) * {window} div {INDEX_WORDS}) as int))"
-    splits = distinct.groupBy("anchor").agg(F.expr(shards).alias("splits"))
-    by_row = materialize(distinct.join(splits, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "start", "count", "splits")).alias("wanted")), "wanted")
+    split_anchors = distinct.groupBy("anchor").agg(F.expr(shards).alias("splits")).where("splits > 1")
+    marked = salted_lookup(distinct, split_anchors, "anchor", "segment").withColumn("splits", F.coalesce("splits", F.lit(1)))
+    by_row = materialize(marked.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "start", "count", "splits")).alias("wanted")), "wanted")
     texts = may_be_in(rows, "row", by_row, "row").where("may_be_in").drop("may_be_in").dropDuplicates(["row"])
     pieces = materialize(texts.join(by_row, "row").select("doc_id", "text", "wanted").mapInArrow(partial(cut_segments, window=window), PIECES), "pieces")
     columns = ["shard", "piece", "split", "count", "doc_id", "words"]
