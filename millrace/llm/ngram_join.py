@@ -7,10 +7,10 @@ counts foretell many candidates the prefix is lengthened, and a pair must then s
 sets. Pairs that share enough pass two exact upper bounds (sizes, and the Hamming distance of
 parity bitmaps) before the sets themselves are compared.
 
-Only the components of the links are wanted, so pairs already joined by other links needn't be tested. A few
-rounds first compare the members of each shingle's group with one of them, a linear number of pairs, and join what
-links. The last round enumerates all pairs that share enough and are still in different components, so
-no link is lost: a large group of near copies costs a star, not its square.
+All pairs that share enough are enumerated and verified, so the join gives every link between distinct sets; components are derived
+from the links. Rows of frequent shingles carry their set's frequent shingles along: a pair leaves such a group only at the first one it
+shares, once, with its number of shared shingles counted. Pairs are verified in blocks of sets, near copies together, so that a large group of
+near copies costs its square in comparisons and rows, but not in texts moved.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles are 64-bit hashes of ``width`` words, and a text of fewer words is
 one shingle. A null text or one without words has an empty set, links with nothing and is its own component. Rows that
@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,11 @@ STEPS, VERIFY_COST = (0.0, 0.02, 0.05, 0.1), 20.0
 GROUP_ROWS = 2_000
 #: Groups up to this size are listed by sizes alone; members of larger ones bring their bitmaps.
 FEW = 48
-FIRST_PASS = "doc_id long, n_shingles long, node long, bitmap binary, chunk int, slot int, counts binary"
+#: Sets of a verification block, and shingles in it.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
+#: Shingles that a block's matrices hold at a time.
+MATRIX_COLUMNS = 4_096
+FIRST_PASS = "doc_id long, n_shingles long, node long, lead long, bitmap binary, chunk int, slot int, counts binary"
 SIGNED = np.int64
 
 
@@ -87,11 +92,11 @@ def first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     """A row for each document, then this task's bucket counts in compressed chunks."""
     counts = np.zeros(1 << BUCKET_BITS, np.uint32)
     names = [c.split()[0] for c in FIRST_PASS.split(", ")]
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    types = (*[pa.int64()] * 4, pa.binary(), pa.int32(), pa.int32(), pa.binary())
     slot = 0
 
     def rows(found):
-        columns = list(zip(*found)) or [[]] * 7
+        columns = list(zip(*found)) or [[]] * 8
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
     for batch in batches:
@@ -99,9 +104,9 @@ def first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         for doc_id, shingles in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist(), width)):
             if len(shingles):
                 every.append(buckets(shingles))
-                found.append((doc_id, len(shingles), node_of(shingles), parity_bitmap(shingles), None, None, None))
+                found.append((doc_id, len(shingles), node_of(shingles), int(shingles[:1].view(SIGNED)[0]), parity_bitmap(shingles), None, None, None))
             else:
-                found.append((doc_id, 0, None, None, None, None, None))
+                found.append((doc_id, 0, *[None] * 6))
             slot = (slot * 31 + (doc_id or 0)) % 251
         if every:
             at, times = np.unique(np.concatenate(every), return_counts=True)
@@ -109,7 +114,7 @@ def first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
         yield rows(found)
     for chunk, part in enumerate(np.split(counts, CHUNKS)):
         if part.any():
-            yield rows([(None, None, None, None, chunk, slot, zlib.compress(part.tobytes(), 1))])
+            yield rows([(*[None] * 5, chunk, slot, zlib.compress(part.tobytes(), 1))])
 
 
 def add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -184,30 +189,29 @@ def near_enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 class Group:
     """Members of a shingle's group, or of two blocks of it, whose pairs are enumerated."""
 
-    def __init__(self, rows: list[tuple], percent: int, across: bool):
+    def __init__(self, token: int, rows: list[tuple], percent: int, across: bool):
         rows.sort(key=lambda r: (r[1], r[0]))  # by size, then node: the same order in every group
-        self.node, self.n, self.m, self.root, self.block, self.bitmap = zip(*rows)
-        self.percent, self.across = percent, across
+        self.node, self.n, self.m, self.block, self.bitmap, self.hot, self.rare = zip(*rows)
+        self.token, self.percent, self.across, self.bits = token, percent, across, None
 
     def small(self, i: int) -> list[int]:
-        """Larger members that sizes and components allow."""
+        """Larger members that sizes allow."""
         most, found = 100 * self.n[i], []
         for j in range(i + 1, len(self.node)):
             if most < self.percent * self.n[j]:
                 break
-            if self.root[i] != self.root[j]:
-                found.append(j)
+            found.append(j)
         return found
 
     def arrays(self) -> None:
-        self.sizes, self.roots, self.blocks = np.array(self.n), np.array(self.root), np.array(self.block)
+        self.sizes, self.matches, self.blocks = np.array(self.n), np.array(self.m), np.array(self.block)
         widths = [len(b) for b in self.bitmap]
         self.own = {k: np.frombuffer(b"".join(b for b in self.bitmap if len(b) == k), np.uint64).reshape(-1, k // 8) for k in set(widths)}
         self.folded = {k: x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for k, x in self.own.items()}
         self.first = {k: int(np.searchsorted(widths, k)) for k in self.own}  # bitmaps grow with sizes
 
     def large(self, i: int) -> list[int]:
-        """Larger members that sizes, components and bitmaps allow. Their bitmaps have this one's length or twice that."""
+        """Larger members that sizes and bitmaps allow. Their bitmaps have this one's length or twice that."""
         k, end = len(self.bitmap[i]), int(np.searchsorted(self.sizes, 100 * self.n[i] // self.percent, side="right"))
         mine, found = self.own[k][i - self.first[k]], []
         for width, matrix in ((k, self.own[k]), (2 * k, self.folded.get(2 * k))):
@@ -218,20 +222,45 @@ class Group:
                 continue
             distance = np.bitwise_count(matrix[low - self.first[width] : high - self.first[width]] ^ mine).sum(axis=1, dtype=np.int64)
             both = self.sizes[low:high] + self.n[i]
-            good = (100 * (both - distance) >= self.percent * (both + distance)) & (self.roots[low:high] != self.root[i])
+            good = 100 * (both - distance) >= self.percent * (both + distance)
             if self.across:
                 good &= self.blocks[low:high] != self.block[i]
             found += (low + np.flatnonzero(good)).tolist()
-        return found
+        return self.firsts(i, np.array(found)) if found else found
+
+    def hot_bits(self) -> None:
+        """A bit for each frequent shingle that members share, in order, and a mask of those before this group's own."""
+        tokens, at, count = np.unique(np.concatenate(self.hot), return_inverse=True, return_counts=True)
+        kept, place = count > 1, np.cumsum(count > 1) - 1
+        use = kept[at]
+        member, column = np.repeat(np.arange(len(self.hot)), [len(h) for h in self.hot])[use], place[at[use]]
+        words = -(-int(kept.sum()) // 64)
+        self.bits, self.before = np.zeros((len(self.hot), words), np.uint64), np.zeros(words, np.uint64)
+        np.bitwise_or.at(self.bits, (member, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+        own = int(place[np.searchsorted(tokens, self.token)])
+        self.before[: own >> 6] = ~np.uint64(0)
+        self.before[own >> 6] = np.uint64((1 << (own & 63)) - 1)
+
+    def firsts(self, i: int, found: np.ndarray) -> list[int]:
+        """Of ``found`` those that share no earlier frequent shingle with ``i``, and enough prefix shingles in all."""
+        if self.bits is None:
+            self.hot_bits()
+        shared = self.bits[found] & self.bits[i]
+        new = ~(shared & self.before).any(axis=1)
+        found, count = found[new], np.bitwise_count(shared[new]).sum(axis=1, dtype=np.int64)
+        lacking = np.minimum(self.matches[found], self.m[i]) - count
+        for x in np.flatnonzero(lacking > 0):
+            lacking[x] -= len(np.intersect1d(self.rare[i], self.rare[found[x]], assume_unique=True))
+        return found[lacking <= 0].tolist()
 
     def partners(self) -> Iterator[tuple[int, list[int], list[int]]]:
-        """A member, others it may link with, and how many shingles each pair must share."""
+        """A member, others it may link with, and in how many lists each pair must be: none more than this one if it has been counted here."""
         if many := self.bitmap[0] is not None:
             self.arrays()
         for i in range(len(self.node) - 1):
             found = self.large(i) if many else self.small(i)
             if found:
-                yield self.node[i], [self.node[j] for j in found], [min(self.m[i], self.m[j]) for j in found]
+                yield self.node[i], [self.node[j] for j in found], [0 if many else min(self.m[i], self.m[j]) for j in found]
 
 
 def lists(rows: list[tuple]) -> pa.RecordBatch:
@@ -240,33 +269,41 @@ def lists(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "others", "needed"])
 
 
+def numbers(column: pa.Array) -> list[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def group_partners(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Candidate lists of each group. Rows come sorted by group."""
     key, held, out, size = None, [], [], 0
     for batch in batches:
-        token, low, high, *rest = (c.to_pylist() for c in batch.columns)
-        for at, row in zip(zip(token, low, high), zip(*rest)):
+        token, low, high, *rest = (c.to_pylist() for c in batch.columns[:-2])
+        for at, row in zip(zip(token, low, high), zip(*rest, numbers(batch.column("hot")), numbers(batch.column("rare")))):
             if at != key:
                 if len(held) > 1:
-                    found = list(Group(held, percent, key[1] != key[2]).partners())
-                    out, size = out + found, size + sum(len(f[1]) for f in found)
-                    if size >= 100_000:
-                        yield lists(out)
-                        out, size = [], 0
+                    for found in Group(key[0], held, percent, key[1] != key[2]).partners():
+                        out.append(found)
+                        size += len(found[1])
+                        if size >= 100_000:
+                            yield lists(out)
+                            out, size = [], 0
                 key, held = at, []
             held.append(row)
     if len(held) > 1:
-        out += Group(held, percent, key[1] != key[2]).partners()
+        out += Group(key[0], held, percent, key[1] != key[2]).partners()
     yield lists(out)
 
 
 def enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that occur in as many lists as they must share shingles. Rows come sorted by ``a``."""
+    """Lists of pairs that occur in as many lists as they must share shingles; ``tested`` if their bitmaps have been. Rows come sorted by ``a``."""
 
     def pairs(a, others, needed):
-        b, at, count = np.unique(np.concatenate(others), return_index=True, return_counts=True)
-        b = b[count >= np.concatenate(needed)[at]]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b)], ["a", "b"])
+        b, at, count = np.unique(np.concatenate(others), return_inverse=True, return_counts=True)
+        least = np.full(len(b), np.iinfo(np.int32).max, np.int32)
+        np.minimum.at(least, at, np.concatenate(needed))
+        kept = [b[least == 0], b[(least > 0) & (count >= least)]]
+        return pa.RecordBatch.from_arrays([pa.array([a, a], pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array([True, False])], ["a", "others", "tested"])
 
     key, others, needed = None, [], []
     for batch in batches:
@@ -281,49 +318,92 @@ def enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pairs(key, others, needed)
 
 
-def open_pairs(open_rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b, n_a, n_b of all pairs of different components that share the smaller of their two numbers of prefix shingles.
+def candidate_lists(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, others, tested: all pairs that share the smaller of their two numbers of prefix shingles.
 
     A group of more than GROUP_ROWS members is cut into blocks and each pair of blocks is a group of its own. Members of groups
-    larger than FEW bring their bitmaps along, so that only pairs that these allow leave the group. The smaller set of a pair is ``a``
-    in every list of it.
+    larger than FEW bring their bitmaps and shared shingles along, so that only pairs that these allow leave the group, and each from one
+    group. The smaller set of a pair is ``a`` in every list of it.
     """
-    sized = open_rows.join(open_rows.groupBy("token").agg(F.count(F.lit(1)).alias("_size")), "token")
+    sized = materialize(shared.join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("_size")), "token"), "sized-prefixes")
     blocks = F.expr(f"cast((_size - 1) div {GROUP_ROWS} + 1 as int)")
-    few = sized.where(f"_size <= {FEW}").withColumn("bitmap", F.lit(None).cast("binary"))
-    many = sized.where(f"_size > {FEW}").join(nodes.select("node", "bitmap"), "node")
+    few = sized.where(f"_size <= {FEW}").withColumns({"bitmap": F.lit(None).cast("binary"), **{x: F.lit(None).cast("array<bigint>") for x in ("hot", "rare")}})
+    both = sized.groupBy("node").agg(*(F.expr(f"collect_list(if(_size {over} {FEW}, token, null))").alias(x) for x, over in (("hot", ">"), ("rare", "<="))))
+    brought = both.where("size(hot) > 0").join(nodes.select("node", "bitmap"), "node")
+    many = sized.where(f"_size > {FEW}").join(brought, "node")
     rows = few.unionByName(many).withColumn("_blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node, token), _blocks) as int)"))
     dealt = rows.withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    columns = ["token", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "n", "m", "root", "block", "bitmap"]
+    columns = ["token", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "n", "m", "block", "bitmap", "hot", "rare"]
     grouped = dealt.select(columns).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     found = grouped.mapInArrow(partial(group_partners, percent=percent), "a long, others array<long>, needed array<int>")
-    pairs = found.repartition("a").sortWithinPartitions("a").mapInArrow(enough_matches, "a long, b long")
-    sizes = [nodes.select(F.col("node").alias(x), F.col("n").cast("int").alias(f"n_{x}")) for x in "ab"]
-    return pairs.join(sizes[0], "a").join(sizes[1], "b")
+    counted = found.repartition("a").sortWithinPartitions("a").mapInArrow(enough_matches, "a long, others array<long>, tested boolean")
+    return materialize(counted.where("size(others) > 0"), "candidates")
+
+
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each pair of places in ``sets`` shares; by products of 0/1 matrices where pairs are many."""
+    if len(a) <= 8 * len(sets):
+        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = count > 1
+    use = kept[column]
+    row, column = row[use], (np.cumsum(kept) - 1)[column[use]]
+    order = np.argsort(column)
+    row, column, total = row[order], column[order], np.zeros((len(sets), len(sets)), np.float64)
+    for low in range(0, int(kept.sum()), MATRIX_COLUMNS):
+        i, j = np.searchsorted(column, (low, low + MATRIX_COLUMNS))
+        present = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
+        present[row[i:j], column[i:j] - low] = 1
+        total += present @ present.T
+    return total[a, b].astype(np.int64)
+
+
+def block_links(sets: dict[int, np.ndarray], pairs: set[tuple[int, int]], percent: int) -> pa.RecordBatch:
+    """The links among a block's pairs; ``tree`` marks enough of them to hold its components together."""
+    place = {node: i for i, node in enumerate(sets)}
+    a, b = np.array([(place[x], place[y]) for x, y in sorted(pairs)], np.int64).T if pairs else np.zeros((2, 0), np.int64)
+    names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.int64)
+    shared = shared_counts(list(sets.values()), a, b)
+    good = 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
+    a, b, shared, root, tree = a[good], b[good], shared[good], list(range(len(sets))), []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = find(x), find(y)
+        tree.append(x != y)
+        root[x] = y
+    return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(shared, pa.int64()), pa.array(tree, pa.bool_())], ["a", "b", "shared", "tree"])
+
+
+def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Verified pairs. Rows come sorted by pair of blocks, sets before pairs."""
+    key, sets, pairs = None, {}, set()
+    for batch in batches:
+        for low, high, a, b, data in zip(*(c.to_pylist() for c in batch.columns)):
+            if (low, high) != key:
+                if pairs:
+                    yield block_links(sets, pairs, percent)
+                key, sets, pairs = (low, high), {}, set()
+            if data is not None:
+                sets[a] = np.frombuffer(data, np.uint64)
+            else:
+                pairs.add((a, b))
+    if pairs:
+        yield block_links(sets, pairs, percent)
 
 
-def linked(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Verified pairs. Rows come sorted by the first node, with the text of both; its set is made once."""
-    last, first = None, None
-    for batch in batches:
-        a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
-        out = []
-        for x, y, s, t in zip(a, b, text_a, text_b):
-            if x != last:
-                last, first = x, next(sets_of([s], width))
-            second = next(sets_of([t], width))
-            shared = len(np.intersect1d(first, second, assume_unique=True))
-            if 100 * shared >= percent * (len(first) + len(second) - shared):
-                out.append((x, y))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
-
-
-def own_texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the node's set: an id may occur with several texts."""
+def own_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the rows whose text has the node's set: an id may occur with several texts."""
     for batch in batches:
         nodes, texts = (c.to_pylist() for c in batch.columns)
-        keep = [len(s) > 0 and node_of(s) == node for node, s in zip(nodes, sets_of(texts, width))]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        found = [(node, s.tobytes()) for node, s in zip(nodes, sets_of(texts, width)) if len(s) > 0 and node_of(s) == node]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"])
 
 
 class Verifier:
@@ -333,21 +413,33 @@ class Verifier:
         self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
 
     def near(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs a, b, n_a, n_b those that the bitmaps allow."""
-        bits = [self.nodes.select(F.col("node").alias(x), F.col("bitmap").alias(f"bits_{x}")) for x in "ab"]
+        """Of pairs a, b those that the bitmaps allow."""
+        bits = [self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}")) for x in "ab"]
         marked = pairs.join(bits[0], "a").join(bits[1], "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
         return marked.mapInArrow(partial(near_enough, percent=self.percent), "a long, b long")
 
     def links(self, near: DataFrame) -> DataFrame:
-        """The pairs a, b whose sets are similar, by the texts of one document each. Only those texts are shuffled."""
+        """a, b, shared, tree of the pairs whose sets are similar, by the texts of one document each.
+
+        A block holds sets with the same smallest shingle (near copies mostly have it in common) and each pair of blocks is compared in
+        one place: a set goes there once however many pairs it has.
+        """
         near = materialize(near, "near-pairs")
         ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        wanted = materialize(self.nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("n").alias("_n")), "near-nodes")
+        wanted = materialize(self.nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("n").alias("_n"), "lead"), "near-nodes")
+        parts = wanted.groupBy("lead").agg(F.expr(f"greatest(count(1) div {BLOCK_SETS}, sum(_n) div {BLOCK_SHINGLES}) + 1").alias("_parts"))
+        block = F.expr("xxhash64(lead, pmod(xxhash64(node), _parts))")
+        blocks = materialize(wanted.join(parts, "lead").select("node", block.alias("block")), "near-blocks")
         likely = may_be_in(self.docs, "doc_id", wanted, "_id").where("may_be_in").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-        texts = materialize(likely.select("node", "text").mapInArrow(partial(own_texts, width=self.width), "node long, text string").dropDuplicates(["node"]), "near-texts")
-        sides = [texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-        both = near.join(sides[1], "b").join(sides[0], "a").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(partial(linked, width=self.width, percent=self.percent), "a long, b long"), "links")
+        sets = likely.select("node", "text").mapInArrow(partial(own_sets, width=self.width), "node long, shingles binary").dropDuplicates(["node"])
+        sides = [blocks.select(F.col("node").alias(x), F.col("block").alias(f"block_{x}")) for x in "ab"]
+        met = near.join(sides[0], "a").join(sides[1], "b")
+        pairs = met.select(F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
+        places = pairs.select("low", "high", F.col("a").alias("node")).union(pairs.select("low", "high", "b")).distinct()
+        rows = places.join(materialize(sets, "near-sets"), "node").select("low", "high", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+        rows = rows.unionByName(pairs.withColumn("shingles", F.lit(None).cast("binary")))
+        both = rows.repartition("low", "high").sortWithinPartitions("low", "high", F.col("b").asc_nulls_first())
+        return materialize(both.mapInArrow(partial(linked, percent=self.percent), "a long, b long, shared long, tree boolean"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -371,12 +463,22 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def similar_sizes(a: str, b: str, percent: int):
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+class Join(NamedTuple):
+    """``links``: a, b, shared, tree; every pair of classes (distinct sets) that is similar, and how many shingles they share.
+    ``classes``: node, doc_id (its smallest id), n (shingles). ``members``: doc_id, n_shingles, node of every document; node is null without words."""
 
+    links: DataFrame
+    classes: DataFrame
+    members: DataFrame
 
-def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    def by_id(self) -> DataFrame:
+        """id_a, id_b, n_a, n_b, shared: the links between the smallest ids of the classes."""
+        sides = [self.classes.select(F.col("node").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"]
+        return self.links.join(sides[0], "a").join(sides[1], "b").select("id_a", "id_b", "n_a", "n_b", "shared")
+
+
+def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> Join:
+    """All links between distinct sets, with the membership of the documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -384,29 +486,24 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     members = passed.where("chunk is null").select("doc_id", "n_shingles", "node")
     table = spark.sparkContext.broadcast(bucket_table(passed.where("chunk is not null").select("chunk", "slot", "counts")))
     nodes = materialize(
-        passed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap"), F.first("n_shingles").alias("n")), "nodes"
+        passed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap"), F.first("n_shingles").alias("n"), F.first("lead").alias("lead")),
+        "nodes",
     )
     rows = docs.select("text").mapInArrow(partial(prefixes, width=width, percent=percent, shared=table), "token long, node long, n int, m int")
     group = Window.partitionBy("token")
-    shared = materialize(
-        rows.withColumn("low", F.min(F.struct("node", "n")).over(group)).withColumn("high", F.max("node").over(group)).where("low.node <> high").select("token", "node", "n", "m", "low").distinct(),
-        "shared-prefixes",
-    )
+    spread = rows.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group)).where("low <> high")
+    shared = materialize(spread.select("token", "node", "n", "m").distinct(), "shared-prefixes")
+    candidates = candidate_lists(shared, nodes, percent)
+    tested, untested = (candidates.where(x).select("a", F.explode("others").alias("b")) for x in ("tested", "not tested"))
     verifier = Verifier(docs, nodes, width, percent)
-    stars = shared.select(F.col("low.node").alias("a"), F.col("node").alias("b"), F.col("low.n").alias("n_a"), F.col("n").alias("n_b"))
-    found = verifier.links(verifier.near(stars.where("a <> b").where(similar_sizes("n_a", "n_b", percent)).distinct()))
-    shared = shared.drop("low")
-    for step in range(1, rounds):
-        open_rows = still_open(shared, components(found))
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(step)), "node", "n", "root")).over(group)
-        stars = open_rows.withColumn("pick", pick).where("root <> pick.root")
-        stars = stars.select(F.least("node", "pick.node").alias("a"), F.greatest("node", "pick.node").alias("b"), "node", "n", "pick")
-        sized = stars.select("a", "b", F.expr("if(a = node, n, pick.n)").alias("n_a"), F.expr("if(a = node, pick.n, n)").alias("n_b"))
-        more = verifier.links(verifier.near(sized.where(similar_sizes("n_a", "n_b", percent)).distinct()))
-        found = materialize(found.unionByName(more), "links")
-    open_rows = materialize(still_open(shared, components(found)), "open-prefixes")
-    found = materialize(found.unionByName(verifier.links(verifier.near(open_pairs(open_rows, nodes, percent)))), "links")
-    roots = materialize(nodes.select("node", "doc_id").join(components(found), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
+    return Join(verifier.links(tested.unionByName(verifier.near(untested))), nodes.select("node", "doc_id", "n"), members)
+
+
+def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included). ``rounds`` has no effect: no rounds are needed."""
+    links, nodes, members = ngram_join(docs, width, percent, id_col, text_col)
+    roots = nodes.select("node", "doc_id").join(components(links.where("tree")), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    roots = materialize(roots, "roots")
     smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = salted_lookup(roots.select("node", "root"), smallest, "root", "node").select("node", "component_id")
     labelled = salted_lookup(members.where("node is not null"), labels, "node", "doc_id").select("doc_id", "n_shingles", "component_id")
@@ -414,14 +511,6 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     return labelled.unionByName(alone)
 
 
-def still_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Prefix rows, with the root of their node, of the shingles whose groups still span several components."""
-    group = Window.partitionBy("token")
-    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = rooted.withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group))
-    return spread.where("low <> high").drop("low", "high")
-
-
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its component; rows without words all stay.
 

@@ -70,6 +70,34 @@ def test_large_groups_and_blocks(spark, monkeypatch):
         assert found(spark, rows, rounds=1) == wanted
 
 
+def test_every_link_is_given(spark, monkeypatch):
+    """All pairs of a large group of near copies, not only enough for its component; once each, also in blocks and by matrices."""
+    rng = random.Random(5)
+    base, rows = sentence(rng, 300).split(), []
+    for i in range(130):
+        words = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(300)] = f"u{rng.randrange(99999)}"
+        rows.append((i, " ".join(words), "en", "a", 0))
+    rows += [(1000 + i, text, *rest) for i, (_, text, *rest) in enumerate(hard_documents())]
+    by_set = {}
+    for doc_id, text, *_ in rows:
+        key = tuple(shingle_set(split_words(text, lower=True), 5).tolist())
+        by_set[key] = min(doc_id, by_set.get(key, doc_id))
+    sets, wanted = sorted((i, set(k)) for k, i in by_set.items() if k), {}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            if 100 * len(a & b) >= 80 * len(a | b):
+                wanted[i, j] = len(a & b)
+    assert len(wanted) > 3000
+    for few, block, held in ((48, 2000, 256), (4, 30, 20), (1000, 2000, 256)):
+        monkeypatch.setattr(J, "FEW", few)
+        monkeypatch.setattr(J, "GROUP_ROWS", block)
+        monkeypatch.setattr(J, "BLOCK_SETS", held)
+        got = [(*sorted((r.id_a, r.id_b)), r.shared) for r in J.ngram_join(spark.createDataFrame(rows, DOCS)).by_id().collect()]
+        assert len(got) == len(wanted) and {(a, b): n for a, b, n in got} == wanted
+
+
 def test_clash_nulls_and_empty(spark):
     rows = [(None, "a b c d e f", None, None, 0), (5, "a b c d e f", None, None, 0), (None, None, None, None, None)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.ngram_components(spark.createDataFrame(rows, DOCS)).collect()), key=str)
