@@ -13,7 +13,6 @@ kept. An empty table gives no pieces. Only documents longer than ``capacity`` ar
 from __future__ import annotations
 
 import os
-import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import RecentCache, bounded_batches, materialize, salted_rank
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
+SEQUENCES = "sequence_id long, length long, ids binary, pieces array<struct<offset: long, doc_id: long, piece: int, start: long, length: long>>"
 PLAN = "length long, first_rank long, end_rank long, first_sequence long, in_each long, first_offset long"
 #: Words whose ids a worker remembers, in each of two generations.
 CACHED_WORDS = 300_000
@@ -104,18 +104,24 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+def id_type(path: str, separator: int) -> str:
+    """The type of a piece's ids: two bytes where all ids fit, as pieces are moved twice."""
+    return "<u2" if max(len(word_cache(path).ends_word) - 1, separator) < 1 << 16 else "<u4"
+
+
 def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int) -> Iterator[pa.RecordBatch]:
     cache, end = word_cache(path), separator.to_bytes(4, "little")
+    kept = id_type(path, separator)
     for batch in batches:
         rows = []
         for doc_id, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1).to_pylist())):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+                rows.append((doc_id, piece, at // 4, len(part) // 4, np.frombuffer(part, "<u4").astype(kept).tobytes()))
         columns = list(zip(*rows)) or [[]] * 5
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids"])
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -180,7 +186,35 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     return rows.mapInArrow(partial(cut_pieces, path=tokenizer_path, capacity=capacity, separator=separator), PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, **columns) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset. Tokenises each document once."""
+def assemble(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> Iterator[pa.RecordBatch]:
+    """A row of SEQUENCES for each sequence and its parts in order of offset."""
+    kept = id_type(path, separator)
+    for batch in batches:
+        parts = batch.column("parts")
+        each, ends = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        ids = each.field("ids").to_pylist()
+        whole = [np.frombuffer(b"".join(ids[a:b]), kept).astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
+        names = ["offset", "doc_id", "piece", "start", "length"]
+        pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([each.field(n) for n in names], names))
+        lengths = pa.array([len(w) // 4 for w in whole], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), lengths, pa.array(whole, pa.binary()), pieces], ["sequence_id", "length", "ids", "pieces"])
+
+
+def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, **columns) -> DataFrame:
+    """sequence_id, length, ids (of all pieces in order of offset, little-endian unsigned 32-bit), pieces (offset, doc_id, piece, start, length)."""
     pieces = materialize(tokenize_pieces(docs, tokenizer_path, capacity, separator, **columns), "pieces")
-    return pack_pieces(pieces, capacity)
+    part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
+    packed = pack_pieces(pieces, capacity).groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return packed.mapInArrow(partial(assemble, path=tokenizer_path, separator=separator), SEQUENCES)
+
+
+def piece_digests(sequences: DataFrame) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of the pieces of packed sequences."""
+    each = sequences.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    own = F.expr("substring(ids, cast(4 * p.offset + 1 as int), cast(4 * p.length as int))")
+    return each.select("p.doc_id", "p.piece", "p.start", "p.length", F.crc32(own).alias("ids_crc32"), "sequence_id", "p.offset")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, **columns) -> DataFrame:
+    """The digests of the packed sequences. Tokenises each document once."""
+    return piece_digests(packed_sequences(docs, tokenizer_path, capacity, separator, **columns))

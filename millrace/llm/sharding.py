@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import salted_rank
+from millrace.llm.common import fresh, new_folder, salted_rank
 
 
 def hashed_step(value: Column, bits: int) -> Column:
@@ -82,17 +82,34 @@ def hilbert_shards(rows: DataFrame, steps: list[Column], bits: int, shards: int,
     )
 
 
+def shard_rows(docs: DataFrame, shards: int = 8, bits: int = 4) -> DataFrame:
+    """document (all columns of the row), curve, shard, slot."""
+    rows = docs.select("doc_id", "lang", "source", "n_chars", F.struct(*docs.columns).alias("document"))
+    steps = [hashed_step(F.col("lang"), bits), hashed_step(F.col("source"), bits), log_step(F.col("n_chars"), bits)]
+    return hilbert_shards(rows, steps, bits, shards, ["doc_id"]).select("document", "curve", "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = 4) -> DataFrame:
+    """Write the rows of ``docs`` with shard, slot and curve as Parquet, a folder a shard, and read them back.
+
+    Files hold runs of the curve in its order, so a filter on any dimension skips most of them.
+    """
+    shard, slot, curve = (fresh(docs, n) for n in ("shard", "slot", "curve"))
+    rows = shard_rows(docs, shards, bits).select("document.*", F.col("slot").alias(slot), F.col("curve").alias(curve), F.col("shard").alias(shard))
+    rows.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, bits: int = 4) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law, shard, slot, grown_shard, curve."""
-    rows = docs.select(
+    """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, law, shard, slot, grown_shard, curve of the shards, which are written first."""
+    documents = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return write_shards(documents, new_folder(docs.sparkSession, "shards"), shards, bits).select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        "lang",
-        "source",
-        "n_chars",
-    )
-    steps = [hashed_step(F.col("lang"), bits), hashed_step(F.col("source"), bits), log_step(F.col("n_chars"), bits)]
-    return hilbert_shards(rows, steps, bits, shards, ["doc_id"]).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
     )

@@ -68,5 +68,20 @@ def test_plan_places_every_rank():
         assert len(used) == len(spaces)
 
 
+def test_sequences_hold_the_tokens(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    wanted = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for d, t, *_ in hard_documents()}
+    seen = defaultdict(int)
+    for r in P.packed_sequences(documents(spark), PATH, capacity=256).collect():
+        ids, at = np.frombuffer(r.ids, "<u4"), 0
+        assert len(ids) == r.length <= 256
+        for p in r.pieces:
+            assert p.offset == at and (ids[at : at + p.length] == wanted[p.doc_id][p.start : p.start + p.length]).all()
+            at, seen[p.doc_id] = at + p.length, seen[p.doc_id] + p.length
+        assert at == r.length
+    rows = [d for d, *_ in hard_documents()]
+    assert seen == {d: len(wanted[d]) * rows.count(d) for d in rows}
+
+
 def test_empty_table(spark):
     assert P.pack_documents(documents(spark).where("false"), PATH).collect() == []

@@ -32,6 +32,17 @@ def test_shards(spark, build):
     assert all(max(a) <= min(b) for a, b in zip(runs, runs[1:]))
 
 
+def test_written_shards_keep_the_rows(spark, tmp_path):
+    docs = clashing(documents(spark)).selectExpr("*", "1 as shard")
+    rows = S.write_shards(docs, f"{tmp_path}/shards")
+    assert rows.columns == [*docs.columns, "slot", "curve", "shard_"]
+    assert sorted(map(str, rows.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard_=*")) == [f"shard_={i}" for i in range(8)]
+    for path in (tmp_path / "shards").glob("shard_=*/*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(path)).collect()]
+        assert slots == sorted(slots)
+
+
 def test_few_and_no_rows(spark):
     assert S.shard_documents(documents(spark).where("false")).count() == 0
     assert S.shard_documents(documents(spark, hard_documents()[:3])).count() == 3
