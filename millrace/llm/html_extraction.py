@@ -56,42 +56,88 @@ ADJACENT, SIBLING, ACROSS = 1.2, 0.8, 0.1
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 NAMED = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+#: Names that tell of another element or of its absence.
+OTHER_PARTS = re.compile(r"(?<![^\s])(?:has|no|with|without)[-_]\S*", re.I)
+#: Elements whose id is made from their text.
+NAMED_BY_TEXT = frozenset("article h1 h2 h3 h4 h5 h6".split())
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "odds", "section", "link", "block")
+    __slots__ = ("tag", "parent", "depth", "odds", "section", "link", "block", "change", "hidden")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
-        self.odds, self.section = (parent.odds, parent.section) if parent else (0.0, self)
         self.block = self if tag in BLOCK_TAGS or not parent else parent.block
-        change = TAG_ODDS.get(tag, 0.0)
-        if tag == "header" and self.odds >= 3:  # of the article, not of the page
-            change = 0.0
+        self.change, self.hidden = TAG_ODDS.get(tag, 0.0), False
         if attributes.strip() and tag not in ("html", "body"):
-            change += name_odds(attributes)
+            named, self.hidden = name_odds(attributes, tag in NAMED_BY_TEXT)
+            self.change += named
+        self.settle()
+
+    def settle(self) -> None:
+        """Odds and section, from the parent's."""
+        parent, change = self.parent, self.change
+        self.odds, self.section = (parent.odds, parent.section) if parent else (0.0, self)
+        if self.tag == "header" and self.odds >= 3:  # of the article, not of the page
+            change -= TAG_ODDS["header"] if change < 0 else 0.0
         if change < 0:
             self.odds, self.section = min(self.odds, 0.0) + change, self
         elif change > 0:
             self.odds, self.section = self.odds + (change if self.odds > -2 else 0.0), self
 
 
-def name_odds(attributes: str) -> float:
-    noise = plain = False
+def name_odds(attributes: str, skip_id: bool) -> tuple[float, bool]:
+    """Odds by class, id and role, and whether the element is hidden. A compound such as has-sidebar says what else the page has."""
+    noise = plain = hidden = False
     for name, *values in NAMED.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "style":
-            noise |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif name == "hidden" or name == "aria-hidden":
-            noise |= name == "hidden" or value == "true"
-        else:
-            parts = {p.lower() for p in NAME_PARTS.findall(value)}
+            hidden |= name == "hidden" or value == "true"
+        elif not (skip_id and name == "id"):
+            parts = {p.lower() for p in NAME_PARTS.findall(OTHER_PARTS.sub(" ", value))}
             noise |= not parts.isdisjoint(NOISE_NAMES) or bool(parts & {"contentinfo", "complementary", "alert"})
             plain |= not parts.isdisjoint(PLAIN_NAMES)
-    return -6.0 if noise else 2.5 if plain else 0.0
+    return -6.0 if noise or hidden else 2.5 if plain else 0.0, hidden
+
+
+def clear_wrappers(blocks: list[tuple[str, Element, float]]) -> None:
+    """An element that holds most of the page's unlinked text and its main part is a wrapper: its tag and names are no noise.
+
+    The main part is known by a main or h1 or a single article; a form that holds nearly everything needs none.
+    """
+    held: dict[Element, float] = {}
+    noisy: dict[Element, list[Element]] = {}  # element: the noisy ones among it and its ancestors
+    parts: dict[Element, set[Element]] = {}
+    total = 0.0
+    for text, owner, link_share in blocks:
+        path, node = [], owner
+        while node is not None and node not in noisy:
+            path.append(node)
+            node = node.parent
+        for node in reversed(path):
+            above = noisy[node.parent] if node.parent else []
+            noisy[node] = [*above, node] if node.change < 0 and not node.hidden else above
+            if node.tag in ("main", "h1", "article") and node.change >= 0:
+                for e in above:
+                    parts.setdefault(e, set()).add(node)
+        size = len(text) * (1 - link_share)
+        total += size
+        for e in noisy[owner]:
+            held[e] = held.get(e, 0.0) + size
+    cleared = False
+    for e, size in held.items():
+        tags = [p.tag for p in parts.get(e, ())]
+        main = "main" in tags or "h1" in tags or tags.count("article") == 1
+        if main and size > 0.6 * total or e.tag == "form" and size > 0.9 * total:
+            e.change, cleared = 0.0, True
+    if cleared:
+        for e in sorted(noisy, key=lambda e: e.depth):
+            e.settle()
 
 
 def text_blocks(page: str) -> list[tuple[str, Element, float]]:
@@ -302,6 +348,7 @@ def main_text(page: str | None) -> str:
     blocks = text_blocks(page) if page else []
     if not blocks:
         return ""
+    clear_wrappers(blocks)
     odds = [content_odds(*b) for b in blocks]
     labels = minimum_cut(odds, smoothness([b[1] for b in blocks]))
     return "\n".join(b[0] for b, content in zip(blocks, labels) if content)

@@ -36,6 +36,23 @@ def test_noise_goes(noise):
         assert H.main_text(f"<html><body>{body}</body></html>") == wanted
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content has-sidebar"><article>{}</article></div>',
+        '<form action="x"><article>{}</article></form>',
+        '<form action="x"><div>{}</div></form>',
+        '<div class="widget page"><main>{}</main></div>',
+        '<article id="share-prices-fall">{}</article>',
+    ],
+)
+def test_wrappers_keep_the_article(page):
+    text = "The first paragraph tells what this is about, in plain words that go on for some time.\nPrivacy\nThe last paragraph ends it, and it has enough words to be one."
+    first, head, last = text.split("\n")
+    body = page.format(f'<p>{first}</p><h2 id="privacy">{head}</h2><p>{last}</p>')
+    assert H.main_text(f'<html><body><nav><a href="/">Home</a></nav>{body}<footer>About us</footer></body></html>') == text
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<div", "</p></div>", "<!-- open", "<script>x", "<p class='a", "<>", "&amp;"])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(H.main_text(page), str)
