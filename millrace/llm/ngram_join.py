@@ -1,20 +1,25 @@
 """Jaccard self-join of documents on word shingles, by adaptive multi-match prefixes.
 
-Documents with equal shingle sets are one node. All shingles are ordered from rare to frequent (by a table of
+Documents with equal shingle sets are one class (node). All shingles are ordered from rare to frequent (by a table of
 bucket counts over all documents). Two sets of Jaccard similarity t share at least ``m`` shingles among
 their first n - ceil(t*n) + m ones, for every m up to ceil(t*n). Each set picks its own m: where the
 counts foretell many candidates the prefix is lengthened, and a pair must then share the smaller m of its two
-sets. Pairs that share enough pass two exact upper bounds (sizes, and the Hamming distance of
+sets before anything else is looked at. Pairs that share enough pass two exact upper bounds (sizes, and the Hamming distance of
 parity bitmaps) before the sets themselves are compared.
 
-All pairs that share enough are enumerated and verified, so the join gives every link between distinct sets; components are derived
-from the links. Rows of frequent shingles carry their set's frequent shingles along: a pair leaves such a group only at the first one it
-shares, once, with its number of shared shingles counted. Pairs are verified in blocks of sets, near copies together, so that a large group of
-near copies costs its square in comparisons and rows, but not in texts moved.
+Sets that meet are kept together: each set belongs to a block, named by the prefix shingle that it shares with the
+most others and a part of that name's sets, of a bounded number of sets and shingles. A prefix shingle is dealt to every pair of
+blocks in which it occurs, so a pair of sets is counted, tested and verified in one place only, and a set goes to a pair of blocks once
+however many of its pairs lie there. A large group of near copies costs its square in comparisons, spread over pairs of blocks, but
+only a row for each set and pair of blocks: pairs themselves stay lists inside these rows.
+
+Every link between distinct sets is found and verified. Components are derived from the links.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles are 64-bit hashes of ``width`` words, and a text of fewer words is
-one shingle. A null text or one without words has an empty set, links with nothing and is its own component. Rows that
-repeat an id and text are alike; a null id gets its class's component. An empty table gives no rows.
+one shingle. A null text or one without words has an empty set, links with nothing and is its own component. A very long text is read
+whole; its set stands in a block of its own. Rows that repeat an id and text are alike; rows that repeat an id with other texts are
+other documents; a null id gets its class's component. Only the id and text columns are read, so other columns may have any name. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,23 +34,21 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in, salted_lookup
+from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in
 from millrace.llm.shingles import mix, shingle_set, split_words
 
 BUCKET_BITS, CHUNKS = 21, 64
 #: The share of a set by which its prefix may be lengthened, in steps; and the cost of verifying a pair against listing it.
 STEPS, VERIFY_COST = (0.0, 0.02, 0.05, 0.1), 20.0
-#: Members of a shingle's group whose pairs one task enumerates at a time.
-GROUP_ROWS = 2_000
-#: Groups up to this size are listed by sizes alone; members of larger ones bring their bitmaps.
-FEW = 48
-#: Sets of a verification block, and shingles in it.
+#: Sets of a block, and shingles in it.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
-#: Shingles that a block's matrices hold at a time.
-MATRIX_COLUMNS = 4_096
-FIRST_PASS = "doc_id long, n_shingles long, node long, lead long, bitmap binary, chunk int, slot int, counts binary"
+#: Cells of a block's 0/1 matrices, and words of compared bitmaps, that are held at a time.
+MATRIX_CELLS, BITMAP_WORDS = 1 << 20, 1 << 19
+COUNTS = "chunk int, slot int, counts binary"
+PASSED = "doc_id long, key long, n int, node long, m int, bitmap binary, token long"
+MATCHED = "low long, high long, node long, others array<bigint>"
+LINKED = "node long, n_links long, root long, others array<bigint>, shared array<int>"
 SIGNED = np.int64
 
 
@@ -74,51 +77,29 @@ def parity_bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(hits.astype(np.uint8), bitorder="little").tobytes()
 
 
-def distance_at_least(a: bytes, b: bytes) -> int:
-    """A lower bound of the size of the symmetric difference: the Hamming distance of the parities, folded to equal length."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def buckets(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, then this task's bucket counts in compressed chunks."""
-    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
-    names = [c.split()[0] for c in FIRST_PASS.split(", ")]
-    types = (*[pa.int64()] * 4, pa.binary(), pa.int32(), pa.int32(), pa.binary())
-    slot = 0
-
-    def rows(found):
-        columns = list(zip(*found)) or [[]] * 8
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
-
+def count_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """This task's number of sets for each bucket of shingles, in compressed chunks."""
+    counts, slot = np.zeros(1 << BUCKET_BITS, np.uint32), 0
     for batch in batches:
-        found, every = [], []
-        for doc_id, shingles in zip(batch.column(0).to_pylist(), sets_of(batch.column(1).to_pylist(), width)):
-            if len(shingles):
-                every.append(buckets(shingles))
-                found.append((doc_id, len(shingles), node_of(shingles), int(shingles[:1].view(SIGNED)[0]), parity_bitmap(shingles), None, None, None))
-            else:
-                found.append((doc_id, 0, *[None] * 6))
-            slot = (slot * 31 + (doc_id or 0)) % 251
-        if every:
-            at, times = np.unique(np.concatenate(every), return_counts=True)
+        found = [buckets(s) for s in sets_of(batch.column(0).to_pylist(), width)]
+        if found:
+            at, times = np.unique(np.concatenate(found), return_counts=True)
             counts[at] += times.astype(np.uint32)
-        yield rows(found)
-    for chunk, part in enumerate(np.split(counts, CHUNKS)):
-        if part.any():
-            yield rows([(*[None] * 5, chunk, slot, zlib.compress(part.tobytes(), 1))])
+            slot = (slot * 31 + int(at.sum()) + len(at)) % 251
+    rows = [(k, slot, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(np.split(counts, CHUNKS)) if part.any()]
+    columns = list(zip(*rows)) or [[]] * 3
+    types = (pa.int32(), pa.int32(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["chunk", "slot", "counts"])
 
 
 def add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64) for c in pdf["counts"])
+    total = np.zeros((1 << BUCKET_BITS) // CHUNKS, np.uint64)
+    for packed in pdf["counts"]:
+        total += np.frombuffer(zlib.decompress(packed), np.uint32)
     packed = zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1)
     return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [packed]})
 
@@ -152,121 +133,36 @@ def prefix(shingles: np.ndarray, table: np.ndarray, noise: float, percent: int)
 
 
 def prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, shared) -> Iterator[pa.RecordBatch]:
+    """A row of PASSED for each document, and one for each prefix shingle of its set; a set met lately gives only the former."""
     table = shared.value
     noise = float(np.median(table[:: max(1, len(table) >> 16)])) * 1.5 + 2
     recent: set[int] = set()
+    fields = [c.split() for c in PASSED.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     for batch in batches:
-        tokens, nodes, sizes, matches = [], [], [], []
-        for shingles in sets_of(batch.column(0).to_pylist(), width):
+        docs, tokens, nodes = [], [], []
+        for doc_id, key, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2).to_pylist(), width)):
             if not len(shingles):
+                docs.append((doc_id, key, 0, None, None, None))
                 continue
             node = node_of(shingles)
-            if node in recent:  # the same set again: its rows are there
+            if node in recent:
+                docs.append((doc_id, key, len(shingles), node, None, None))
                 continue
             if len(recent) >= 100_000:
                 recent.clear()
             recent.add(node)
             first, m = prefix(shingles, table, noise, percent)
+            docs.append((doc_id, key, len(shingles), node, m, parity_bitmap(shingles)))
             tokens.append(first)
             nodes.append(np.full(len(first), node, SIGNED))
-            sizes.append(np.full(len(first), len(shingles), np.int32))
-            matches.append(np.full(len(first), m, np.int32))
+        if docs:
+            columns = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*docs), fields)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(docs), pa.int64())], [name for name, _ in fields])
         if tokens:
-            columns = [np.concatenate(tokens).view(SIGNED), *(np.concatenate(x) for x in (nodes, sizes, matches))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "m"])
-
-
-def near_enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bitmaps leave enough room: |a & b| <= (n_a + n_b - distance) / 2."""
-    for batch in batches:
-        a, b, n_a, n_b, bits_a, bits_b = (c.to_pylist() for c in batch.columns)
-        room = ((p + q, distance_at_least(u, v)) for p, q, u, v in zip(n_a, n_b, bits_a, bits_b))
-        keep = [100 * (both - apart) >= percent * (both + apart) for both, apart in room]
-        kept = pa.array(keep, pa.bool_())
-        yield batch.select(["a", "b"]).filter(kept) if len(batch) else batch.select(["a", "b"])
-
-
-class Group:
-    """Members of a shingle's group, or of two blocks of it, whose pairs are enumerated."""
-
-    def __init__(self, token: int, rows: list[tuple], percent: int, across: bool):
-        rows.sort(key=lambda r: (r[1], r[0]))  # by size, then node: the same order in every group
-        self.node, self.n, self.m, self.block, self.bitmap, self.hot, self.rare = zip(*rows)
-        self.token, self.percent, self.across, self.bits = token, percent, across, None
-
-    def small(self, i: int) -> list[int]:
-        """Larger members that sizes allow."""
-        most, found = 100 * self.n[i], []
-        for j in range(i + 1, len(self.node)):
-            if most < self.percent * self.n[j]:
-                break
-            found.append(j)
-        return found
-
-    def arrays(self) -> None:
-        self.sizes, self.matches, self.blocks = np.array(self.n), np.array(self.m), np.array(self.block)
-        widths = [len(b) for b in self.bitmap]
-        self.own = {k: np.frombuffer(b"".join(b for b in self.bitmap if len(b) == k), np.uint64).reshape(-1, k // 8) for k in set(widths)}
-        self.folded = {k: x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for k, x in self.own.items()}
-        self.first = {k: int(np.searchsorted(widths, k)) for k in self.own}  # bitmaps grow with sizes
-
-    def large(self, i: int) -> list[int]:
-        """Larger members that sizes and bitmaps allow. Their bitmaps have this one's length or twice that."""
-        k, end = len(self.bitmap[i]), int(np.searchsorted(self.sizes, 100 * self.n[i] // self.percent, side="right"))
-        mine, found = self.own[k][i - self.first[k]], []
-        for width, matrix in ((k, self.own[k]), (2 * k, self.folded.get(2 * k))):
-            if matrix is None:
-                continue
-            low, high = max(i + 1, self.first[width]), min(end, self.first[width] + len(matrix))
-            if low >= high:
-                continue
-            distance = np.bitwise_count(matrix[low - self.first[width] : high - self.first[width]] ^ mine).sum(axis=1, dtype=np.int64)
-            both = self.sizes[low:high] + self.n[i]
-            good = 100 * (both - distance) >= self.percent * (both + distance)
-            if self.across:
-                good &= self.blocks[low:high] != self.block[i]
-            found += (low + np.flatnonzero(good)).tolist()
-        return self.firsts(i, np.array(found)) if found else found
-
-    def hot_bits(self) -> None:
-        """A bit for each frequent shingle that members share, in order, and a mask of those before this group's own."""
-        tokens, at, count = np.unique(np.concatenate(self.hot), return_inverse=True, return_counts=True)
-        kept, place = count > 1, np.cumsum(count > 1) - 1
-        use = kept[at]
-        member, column = np.repeat(np.arange(len(self.hot)), [len(h) for h in self.hot])[use], place[at[use]]
-        words = -(-int(kept.sum()) // 64)
-        self.bits, self.before = np.zeros((len(self.hot), words), np.uint64), np.zeros(words, np.uint64)
-        np.bitwise_or.at(self.bits, (member, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
-        own = int(place[np.searchsorted(tokens, self.token)])
-        self.before[: own >> 6] = ~np.uint64(0)
-        self.before[own >> 6] = np.uint64((1 << (own & 63)) - 1)
-
-    def firsts(self, i: int, found: np.ndarray) -> list[int]:
-        """Of ``found`` those that share no earlier frequent shingle with ``i``, and enough prefix shingles in all."""
-        if self.bits is None:
-            self.hot_bits()
-        shared = self.bits[found] & self.bits[i]
-        new = ~(shared & self.before).any(axis=1)
-        found, count = found[new], np.bitwise_count(shared[new]).sum(axis=1, dtype=np.int64)
-        lacking = np.minimum(self.matches[found], self.m[i]) - count
-        for x in np.flatnonzero(lacking > 0):
-            lacking[x] -= len(np.intersect1d(self.rare[i], self.rare[found[x]], assume_unique=True))
-        return found[lacking <= 0].tolist()
-
-    def partners(self) -> Iterator[tuple[int, list[int], list[int]]]:
-        """A member, others it may link with, and in how many lists each pair must be: none more than this one if it has been counted here."""
-        if many := self.bitmap[0] is not None:
-            self.arrays()
-        for i in range(len(self.node) - 1):
-            found = self.large(i) if many else self.small(i)
-            if found:
-                yield self.node[i], [self.node[j] for j in found], [0 if many else min(self.m[i], self.m[j]) for j in found]
-
-
-def lists(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [[]] * 3
-    types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "others", "needed"])
+            token, node = np.concatenate(tokens).view(SIGNED), np.concatenate(nodes)
+            given = {"node": pa.array(node), "token": pa.array(token)}
+            yield pa.RecordBatch.from_arrays([given[name] if name in given else pa.nulls(len(token), kinds[k]) for name, k in fields], [name for name, _ in fields])
 
 
 def numbers(column: pa.Array) -> list[np.ndarray]:
@@ -274,252 +170,266 @@ def numbers(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def group_partners(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Candidate lists of each group. Rows come sorted by group."""
-    key, held, out, size = None, [], [], 0
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
+    """low, high and rows of each pair of blocks. Rows come sorted by these two columns; lists come as arrays."""
+    key, held = None, []
     for batch in batches:
-        token, low, high, *rest = (c.to_pylist() for c in batch.columns[:-2])
-        for at, row in zip(zip(token, low, high), zip(*rest, numbers(batch.column("hot")), numbers(batch.column("rare")))):
+        low, high, *rest = (numbers(c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns)
+        for at, row in zip(zip(low, high), zip(*rest)):
             if at != key:
                 if len(held) > 1:
-                    for found in Group(key[0], held, percent, key[1] != key[2]).partners():
-                        out.append(found)
-                        size += len(found[1])
-                        if size >= 100_000:
-                            yield lists(out)
-                            out, size = [], 0
+                    yield *key, held
                 key, held = at, []
             held.append(row)
     if len(held) > 1:
-        out += Group(key[0], held, percent, key[1] != key[2]).partners()
-    yield lists(out)
-
+        yield *key, held
 
-def enough_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of pairs that occur in as many lists as they must share shingles; ``tested`` if their bitmaps have been. Rows come sorted by ``a``."""
 
-    def pairs(a, others, needed):
-        b, at, count = np.unique(np.concatenate(others), return_inverse=True, return_counts=True)
-        least = np.full(len(b), np.iinfo(np.int32).max, np.int32)
-        np.minimum.at(least, at, np.concatenate(needed))
-        kept = [b[least == 0], b[(least > 0) & (count >= least)]]
-        return pa.RecordBatch.from_arrays([pa.array([a, a], pa.int64()), pa.array(kept, pa.list_(pa.int64())), pa.array([True, False])], ["a", "others", "tested"])
-
-    key, others, needed = None, [], []
-    for batch in batches:
-        for a, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-            if a != key:
-                if others:
-                    yield pairs(key, others, needed)
-                key, others, needed = a, [], []
-            others.append(np.array(x, np.int64))
-            needed.append(np.array(y, np.int64))
-    if others:
-        yield pairs(key, others, needed)
-
-
-def candidate_lists(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, others, tested: all pairs that share the smaller of their two numbers of prefix shingles.
-
-    A group of more than GROUP_ROWS members is cut into blocks and each pair of blocks is a group of its own. Members of groups
-    larger than FEW bring their bitmaps and shared shingles along, so that only pairs that these allow leave the group, and each from one
-    group. The smaller set of a pair is ``a`` in every list of it.
-    """
-    sized = materialize(shared.join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("_size")), "token"), "sized-prefixes")
-    blocks = F.expr(f"cast((_size - 1) div {GROUP_ROWS} + 1 as int)")
-    few = sized.where(f"_size <= {FEW}").withColumns({"bitmap": F.lit(None).cast("binary"), **{x: F.lit(None).cast("array<bigint>") for x in ("hot", "rare")}})
-    both = sized.groupBy("node").agg(*(F.expr(f"collect_list(if(_size {over} {FEW}, token, null))").alias(x) for x, over in (("hot", ">"), ("rare", "<="))))
-    brought = both.where("size(hot) > 0").join(nodes.select("node", "bitmap"), "node")
-    many = sized.where(f"_size > {FEW}").join(brought, "node")
-    rows = few.unionByName(many).withColumn("_blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node, token), _blocks) as int)"))
-    dealt = rows.withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    columns = ["token", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "n", "m", "block", "bitmap", "hot", "rare"]
-    grouped = dealt.select(columns).repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
-    found = grouped.mapInArrow(partial(group_partners, percent=percent), "a long, others array<long>, needed array<int>")
-    counted = found.repartition("a").sortWithinPartitions("a").mapInArrow(enough_matches, "a long, others array<long>, tested boolean")
-    return materialize(counted.where("size(others) > 0"), "candidates")
-
-
-def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many shingles each pair of places in ``sets`` shares; by products of 0/1 matrices where pairs are many."""
-    if len(a) <= 8 * len(sets):
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(a, b)], np.int64)
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two of the sets share, as a square of counts."""
+    if len(sets) == 2:
+        n = len(np.intersect1d(*sets, assume_unique=True))
+        return np.array([[0, n], [n, 0]])
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     kept = count > 1
     use = kept[column]
     row, column = row[use], (np.cumsum(kept) - 1)[column[use]]
-    order = np.argsort(column)
-    row, column, total = row[order], column[order], np.zeros((len(sets), len(sets)), np.float64)
-    for low in range(0, int(kept.sum()), MATRIX_COLUMNS):
-        i, j = np.searchsorted(column, (low, low + MATRIX_COLUMNS))
-        present = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column, total = row[order], column[order], np.zeros((len(sets), len(sets)), np.int64)
+    step = max(1, MATRIX_CELLS // len(sets))
+    for low in range(0, int(kept.sum()), step):
+        i, j = np.searchsorted(column, (low, low + step))
+        present = np.zeros((len(sets), step), np.float32)
         present[row[i:j], column[i:j] - low] = 1
-        total += present @ present.T
-    return total[a, b].astype(np.int64)
-
-
-def block_links(sets: dict[int, np.ndarray], pairs: set[tuple[int, int]], percent: int) -> pa.RecordBatch:
-    """The links among a block's pairs; ``tree`` marks enough of them to hold its components together."""
-    place = {node: i for i, node in enumerate(sets)}
-    a, b = np.array([(place[x], place[y]) for x, y in sorted(pairs)], np.int64).T if pairs else np.zeros((2, 0), np.int64)
-    names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(s) for s in sets.values()], np.int64)
-    shared = shared_counts(list(sets.values()), a, b)
-    good = 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
-    a, b, shared, root, tree = a[good], b[good], shared[good], list(range(len(sets))), []
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x, y in zip(a.tolist(), b.tolist()):
-        x, y = find(x), find(y)
-        tree.append(x != y)
-        root[x] = y
-    return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), pa.array(shared, pa.int64()), pa.array(tree, pa.bool_())], ["a", "b", "shared", "tree"])
-
-
-def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Verified pairs. Rows come sorted by pair of blocks, sets before pairs."""
-    key, sets, pairs = None, {}, set()
-    for batch in batches:
-        for low, high, a, b, data in zip(*(c.to_pylist() for c in batch.columns)):
-            if (low, high) != key:
-                if pairs:
-                    yield block_links(sets, pairs, percent)
-                key, sets, pairs = (low, high), {}, set()
-            if data is not None:
-                sets[a] = np.frombuffer(data, np.uint64)
-            else:
-                pairs.add((a, b))
-    if pairs:
-        yield block_links(sets, pairs, percent)
+        total += (present @ present.T).astype(np.int64)
+    return total
+
+
+def distances(bitmaps: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lower bounds of the symmetric differences: Hamming distances of the parities, the longer one folded to the other's length."""
+    words, out = np.array([len(x) // 8 for x in bitmaps]), np.zeros(len(a), np.int64)
+    least = np.minimum(words[a], words[b])
+    for width in np.unique(least):
+        which = np.flatnonzero(least == width)
+        used, place = np.unique(np.concatenate([a[which], b[which]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bitmaps[i], np.uint64).reshape(-1, width), axis=0) for i in used])
+        x, y = place[: len(which)], place[len(which) :]
+        for at in range(0, len(which), step := max(1, BITMAP_WORDS // int(width))):
+            part = slice(at, at + step)
+            out[which[part]] = np.bitwise_count(folded[x[part]] ^ folded[y[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def match(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of MATCHED: of each pair of blocks the sets that have candidates there, and their later candidates.
+
+    A candidate pair shares the smaller m of its two sets, and sizes and bitmaps leave room for the similarity.
+    """
+    out, size = [], 0
+    for low, high, rows in meetings(batches):
+        rows.sort(key=lambda r: r[0])
+        node, block, n, m, bitmap, tokens = zip(*rows)
+        counts = shared_counts(list(tokens))
+        sizes, wanted, own = np.array(n), np.array(m), np.array(block)
+        good = np.triu(counts >= np.minimum(wanted[:, None], wanted[None, :]), 1)
+        good &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+        if low != high:
+            good &= own[:, None] != own[None, :]
+        a, b = np.nonzero(good)
+        if not len(a):
+            continue
+        both, apart = sizes[a] + sizes[b], distances(list(bitmap), a, b)
+        kept = 100 * (both - apart) >= percent * (both + apart)
+        a, b = a[kept], b[kept]
+        names, cuts = np.array(node, SIGNED), np.searchsorted(a, np.arange(len(node) + 1))
+        for i in np.union1d(a, b).tolist():
+            out.append((low, high, node[i], names[b[cuts[i] : cuts[i + 1]]]))
+            size += 8 + int(cuts[i + 1] - cuts[i])
+        if size >= 1 << 18:
+            yield table_of(out, MATCHED)
+            out, size = [], 0
+    yield table_of(out, MATCHED)
+
+
+def table_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [name for name, _ in fields])
+
+
+def verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of LINKED: of each pair of blocks the sets that have links there, how many, their smallest node within reach, and their later partners."""
+    out, size = [], 0
+    for _, _, rows in meetings(batches):
+        rows.sort(key=lambda r: r[0])
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        names, sizes = np.array([r[0] for r in rows], SIGNED), np.array([len(s) for s in sets])
+        a = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        b = np.searchsorted(names, np.concatenate([r[1] for r in rows]))
+        shared = shared_counts(sets)[a, b]
+        good = 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
+        a, b, shared = a[good], b[good], shared[good]
+        held = np.bincount(np.concatenate([a, b]), minlength=len(rows))
+        root = smallest_reached(len(rows), a, b)
+        order = np.argsort(a, kind="stable")
+        a, b, shared = a[order], b[order], shared[order]
+        cuts = np.searchsorted(a, np.arange(len(rows) + 1))
+        for i in np.flatnonzero(held).tolist():
+            own = slice(cuts[i], cuts[i + 1])
+            out.append((int(names[i]), int(held[i]), int(names[root[i]]), names[b[own]], shared[own].astype(np.int32)))
+            size += 8 + int(cuts[i + 1] - cuts[i])
+        if size >= 1 << 18:
+            yield table_of(out, LINKED)
+            out, size = [], 0
+    yield table_of(out, LINKED)
+
+
+def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each of ``n`` places reaches over the pairs a, b."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if np.array_equal(root, before):
+            return root
 
 
 def own_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the rows whose text has the node's set: an id may occur with several texts."""
+    """Sets of the rows whose text has the node's set: keys of texts are hashes, too."""
     for batch in batches:
         nodes, texts = (c.to_pylist() for c in batch.columns)
         found = [(node, s.tobytes()) for node, s in zip(nodes, sets_of(texts, width)) if len(s) > 0 and node_of(s) == node]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"])
 
 
-class Verifier:
-    """Tests pairs of nodes against the texts of one document of each node."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int):
-        self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs a, b those that the bitmaps allow."""
-        bits = [self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bits_{x}")) for x in "ab"]
-        marked = pairs.join(bits[0], "a").join(bits[1], "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-        return marked.mapInArrow(partial(near_enough, percent=self.percent), "a long, b long")
-
-    def links(self, near: DataFrame) -> DataFrame:
-        """a, b, shared, tree of the pairs whose sets are similar, by the texts of one document each.
-
-        A block holds sets with the same smallest shingle (near copies mostly have it in common) and each pair of blocks is compared in
-        one place: a set goes there once however many pairs it has.
-        """
-        near = materialize(near, "near-pairs")
-        ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        wanted = materialize(self.nodes.join(ends, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("n").alias("_n"), "lead"), "near-nodes")
-        parts = wanted.groupBy("lead").agg(F.expr(f"greatest(count(1) div {BLOCK_SETS}, sum(_n) div {BLOCK_SHINGLES}) + 1").alias("_parts"))
-        block = F.expr("xxhash64(lead, pmod(xxhash64(node), _parts))")
-        blocks = materialize(wanted.join(parts, "lead").select("node", block.alias("block")), "near-blocks")
-        likely = may_be_in(self.docs, "doc_id", wanted, "_id").where("may_be_in").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-        sets = likely.select("node", "text").mapInArrow(partial(own_sets, width=self.width), "node long, shingles binary").dropDuplicates(["node"])
-        sides = [blocks.select(F.col("node").alias(x), F.col("block").alias(f"block_{x}")) for x in "ab"]
-        met = near.join(sides[0], "a").join(sides[1], "b")
-        pairs = met.select(F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
-        places = pairs.select("low", "high", F.col("a").alias("node")).union(pairs.select("low", "high", "b")).distinct()
-        rows = places.join(materialize(sets, "near-sets"), "node").select("low", "high", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-        rows = rows.unionByName(pairs.withColumn("shingles", F.lit(None).cast("binary")))
-        both = rows.repartition("low", "high").sortWithinPartitions("low", "high", F.col("b").asc_nulls_first())
-        return materialize(both.mapInArrow(partial(linked, percent=self.percent), "a long, b long, shared long, tree boolean"), "links")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, root (smallest node of its component) of the nodes that have links.
+def by_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("low", "high").sortWithinPartitions("low", "high")
+
+
+def candidates(tokens: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """MATCHED rows from the prefix rows (token, node). Only shingles that two sets have are looked at further."""
+    repeated = tokens.groupBy("token").agg(F.min("node").alias("_low"), F.max("node").alias("_high")).where("_low < _high").select("token")
+    shared = materialize(tokens.join(repeated, "token", "left_semi").distinct(), "shared-prefixes")
+    sized = shared.join(shared.groupBy("token").agg(F.count(F.lit(1)).alias("_held")), "token")
+    leads = sized.groupBy("node").agg(F.max(F.struct("_held", "token")).alias("_top")).join(nodes, "node")
+    leads = materialize(leads.select("node", F.col("_top.token").alias("lead"), "n", "m"), "leads")
+    parts = leads.groupBy("lead").agg(F.expr(f"greatest(count(1) div {BLOCK_SETS}, sum(n) div {BLOCK_SHINGLES}) + 1").alias("_parts"))
+    blocks = leads.join(parts, "lead").select("node", F.expr("xxhash64(lead, pmod(xxhash64(node), _parts))").alias("block"))
+    placed = materialize(shared.join(blocks, "node"), "placed-prefixes")
+    there = placed.groupBy("token", "block").agg(F.count(F.lit(1)).alias("_held")).withColumnRenamed("block", "_other")
+    dealt = placed.join(there, "token").where("block <> _other or _held > 1")
+    dealt = dealt.select(F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "node", "block", "token")
+    listed = dealt.groupBy("low", "high", "node", "block").agg(F.collect_list("token").alias("tokens"))
+    known = listed.join(nodes.select("node", "n", "m", "bitmap"), "node").select("low", "high", "node", "block", "n", "m", "bitmap", "tokens")
+    return materialize(by_blocks(known).mapInArrow(partial(match, percent=percent), MATCHED), "candidates")
+
+
+def links_of(found: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """LINKED rows of the candidates whose sets are similar, by the text of one document of each set."""
+    wanted = materialize(nodes.join(found.select("node").distinct(), "node", "left_semi").select("node", F.col("best.key").alias("_key")), "candidate-nodes")
+    likely = may_be_in(docs, "key", wanted, "_key").where("may_be_in").join(wanted, F.col("key") == F.col("_key"))
+    sets = materialize(likely.select("node", "text").mapInArrow(partial(own_sets, width=width), "node long, shingles binary").dropDuplicates(["node"]), "candidate-sets")
+    rows = found.join(sets, "node").select("low", "high", "node", "others", "shingles")
+    return materialize(by_blocks(rows).mapInArrow(partial(verify, percent=percent), LINKED), "links")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest that it reaches) of the nodes of ``edges`` (u, v).
 
     Large-star and small-star steps in turn: each node's neighbours move to its smallest one until only
     stars are left. A step costs a few shuffles of the edges, and the number of steps grows as the logarithm of the size.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    while True:
+
+    def seen(edges):
+        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % F.lit(1 << 31))).first())
+
+    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    before = seen(edges)
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.distinct(), "large-star")
+        large = materialize(large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        moved = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
-        if moved.count() == edges.count() and moved.join(edges, ["u", "v"], "left_anti").isEmpty():
+        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-star")
+        before, after = seen(edges), before
+        if before == after:
             break
-        edges = moved
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 class Join(NamedTuple):
-    """``links``: a, b, shared, tree; every pair of classes (distinct sets) that is similar, and how many shingles they share.
-    ``classes``: node, doc_id (its smallest id), n (shingles). ``members``: doc_id, n_shingles, node of every document; node is null without words."""
+    """``links``: rows of LINKED, each link once, in the list of its smaller node; a node may have several rows.
+    ``classes``: node, doc_id (its smallest id), n (shingles). ``members``: doc_id, key, n, node of every document; node is null without words."""
 
     links: DataFrame
     classes: DataFrame
     members: DataFrame
 
     def by_id(self) -> DataFrame:
-        """id_a, id_b, n_a, n_b, shared: the links between the smallest ids of the classes."""
+        """id_a, id_b, n_a, n_b, shared: the links between the smallest ids of the classes, a row each."""
+        pairs = self.links.select(F.col("node").alias("a"), F.explode(F.arrays_zip("others", "shared")).alias("p")).select("a", F.col("p.others").alias("b"), F.col("p.shared").alias("shared"))
         sides = [self.classes.select(F.col("node").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"]
-        return self.links.join(sides[0], "a").join(sides[1], "b").select("id_a", "id_b", "n_a", "n_b", "shared")
+        return pairs.join(sides[0], "a").join(sides[1], "b").select("id_a", "id_b", "n_a", "n_b", "shared")
+
+    def by_document(self) -> DataFrame:
+        """doc_id, key, n_shingles, n_links (classes that this one links with), component_id of every document."""
+        roots = components(self.links.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        held = self.links.groupBy("node").agg(F.sum("n_links").alias("n_links")).join(roots, "node")
+        linked = materialize(self.classes.select("node", "doc_id").join(held, "node"), "linked-classes")
+        smallest = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        marked = linked.join(smallest, "root").select("node", "n_links", "component_id")
+        labels = self.classes.select("node", "doc_id").join(marked, "node", "left")
+        labels = labels.select("node", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        # a class may hold a large share of the documents: nothing needs its rows together, so the join can split it
+        known = self.members.where("node is not null").join(labels, "node", "left")
+        alone = self.members.where("node is null").select("*", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        columns = ["doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "n_links", "component_id"]
+        return known.select(columns).unionByName(alone.select(columns))
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> Join:
     """All links between distinct sets, with the membership of the documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    passed = materialize(docs.mapInArrow(partial(first_pass, width=width), FIRST_PASS), "first-pass")
-    members = passed.where("chunk is null").select("doc_id", "n_shingles", "node")
-    table = spark.sparkContext.broadcast(bucket_table(passed.where("chunk is not null").select("chunk", "slot", "counts")))
-    nodes = materialize(
-        passed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap"), F.first("n_shingles").alias("n"), F.first("lead").alias("lead")),
-        "nodes",
-    )
-    rows = docs.select("text").mapInArrow(partial(prefixes, width=width, percent=percent, shared=table), "token long, node long, n int, m int")
-    group = Window.partitionBy("token")
-    spread = rows.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group)).where("low <> high")
-    shared = materialize(spread.select("token", "node", "n", "m").distinct(), "shared-prefixes")
-    candidates = candidate_lists(shared, nodes, percent)
-    tested, untested = (candidates.where(x).select("a", F.explode("others").alias("b")) for x in ("tested", "not tested"))
-    verifier = Verifier(docs, nodes, width, percent)
-    return Join(verifier.links(tested.unionByName(verifier.near(untested))), nodes.select("node", "doc_id", "n"), members)
-
-
-def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included). ``rounds`` has no effect: no rounds are needed."""
-    links, nodes, members = ngram_join(docs, width, percent, id_col, text_col)
-    roots = nodes.select("node", "doc_id").join(components(links.where("tree")), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    roots = materialize(roots, "roots")
-    smallest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = salted_lookup(roots.select("node", "root"), smallest, "root", "node").select("node", "component_id")
-    labelled = salted_lookup(members.where("node is not null"), labels, "node", "doc_id").select("doc_id", "n_shingles", "component_id")
-    alone = members.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return labelled.unionByName(alone)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    table = spark.sparkContext.broadcast(bucket_table(docs.select("text").mapInArrow(partial(count_buckets, width=width), COUNTS)))
+    passed = materialize(docs.mapInArrow(partial(prefixes, width=width, percent=percent, shared=table), PASSED), "passed")
+    table.unpersist()
+    members = passed.where("token is null").select("doc_id", "key", "n", "node")
+    best = F.min(F.struct("doc_id", "key")).alias("best")  # a null id comes first
+    named = F.min("doc_id").alias("doc_id")
+    nodes = passed.where("token is null and node is not null").groupBy("node").agg(best, named, F.max("n").alias("n"), F.max("m").alias("m"), F.max("bitmap").alias("bitmap"))
+    nodes = materialize(nodes, "nodes")
+    found = candidates(passed.where("token is not null").select("token", "node"), nodes, percent)
+    return Join(links_of(found, docs, nodes, width, percent), nodes.select("node", "doc_id", "n"), members)
+
+
+def text_key(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id (smallest id reachable by links, itself included)."""
+    return ngram_join(docs, width, percent, id_col, text_col).by_document().drop("key")
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its component; rows without words all stay.
 
-    Rows that repeat an id and text stay together or go together; exact deduplication comes first.
+    Rows that repeat an id and text stay together or go together; exact deduplication comes first. Rows go by id and text, so another
+    text with the same id stays.
     """
-    id_col = options.get("id_col", "doc_id")
-    groups = ngram_components(docs, **options)
-    key, flag = fresh(docs, "gone_id"), fresh(docs, "may_go")
-    gone = materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
-    keyed = may_be_in(docs.withColumn(key, F.col(id_col).cast("long")), key, gone, key, flag)
-    doubtful = keyed.where(flag).join(gone, key, "left_anti")
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    groups = ngram_join(docs, **options).by_document()
+    key, gone_id, flag = (fresh(docs, x) for x in ("text_key", "gone_id", "may_go"))
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_id), F.col("key").alias(key))
+    gone = materialize(gone.distinct(), "gone")
+    keyed = may_be_in(docs.withColumn(key, text_key(id_col, text_col)), key, gone, key, flag)
+    doubtful = keyed.where(flag).withColumn(gone_id, F.col(id_col).cast("long")).join(gone, [key, gone_id], "left_anti")
     return keyed.where(f"not {flag}").select(docs.columns).unionByName(doubtful.select(docs.columns))

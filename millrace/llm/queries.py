@@ -114,13 +114,19 @@ WITH RECURSIVE w AS (
 ), pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
 ), links AS (
-  SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)
+  SELECT a, b, shared = x.n_shingles AND shared = y.n_shingles AS same
+  FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)
+), classes AS (
+  SELECT doc_id, least(doc_id, min(b) FILTER (same)) AS class FROM n LEFT JOIN links ON a = doc_id GROUP BY doc_id
+), others AS (
+  SELECT a AS doc_id, count(DISTINCT class) AS n_links FROM links JOIN classes ON doc_id = b WHERE NOT same GROUP BY a
 ), reach AS (
   SELECT doc_id AS start, doc_id AS reached FROM n
   UNION
   SELECT start, b FROM reach JOIN links ON a = reached
 )
-SELECT n.doc_id, n_shingles, min(reached) AS component_id FROM n JOIN reach ON start = n.doc_id GROUP BY ALL
+SELECT n.doc_id, n_shingles, coalesce(n_links, 0) AS n_links, min(reached) AS component_id
+FROM n JOIN reach ON start = n.doc_id LEFT JOIN others ON others.doc_id = n.doc_id GROUP BY ALL
 """
 
 OP8_SQL = """
