@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -62,6 +63,76 @@ def test_training_repeats(labelled):
     assert np.array_equal(a.embedding, b.embedding) and np.array_equal(a.thresholds, b.thresholds)
 
 
+def plain_forward(model, words):
+    """Raw logit of a text by plain loops over windows and filters."""
+    vectors = [sum((model.embedding[b] for b in T.word_buckets(w)), np.zeros(T.DIM)) for w in words] or [np.zeros(T.DIM)]
+    vectors += [np.zeros(T.DIM)] * 2
+    total = model.intercept
+    for n, width in enumerate(T.WIDTHS):
+        for f in range(T.FILTERS):
+            windows = [sum(float(vectors[i + k] @ model.filters[width][k * T.DIM : (k + 1) * T.DIM, f]) for k in range(width)) for i in range(len(vectors) - 2)]
+            total += model.weights[n * T.FILTERS + f] * np.tanh(max(windows) + model.bias[width][f])
+    return total
+
+
+def random_model(seed):
+    rng, model = np.random.default_rng(seed), T.blank_model(["de", "en"])
+    model.embedding = rng.normal(0, 0.5, model.embedding.shape)
+    model.filters = {w: rng.normal(0, 0.5, f.shape) for w, f in model.filters.items()}
+    model.bias = {w: rng.normal(0, 0.1, b.shape) for w, b in model.bias.items()}
+    model.weights, model.language_odds = rng.normal(0, 1, model.weights.shape), rng.normal(0, 1, model.language_odds.shape)
+    return model
+
+
+def test_forward_pass_and_pieces(monkeypatch):
+    model, rng = random_model(1), random.Random(2)
+    texts = [sentence(rng, n) for n in (0, 1, 2, 3, 7, 40, 41, 42, 43, 333)] + [None]
+    whole, language = T.Reader(model).features(texts)
+    assert model.logits(whole) == pytest.approx([plain_forward(model, (t or "").encode().split()) for t in texts], abs=1e-4)
+    for piece, matrix, split in ((40, 60, 64), (1, 3, 8), (3, 1000, 30)):
+        for name, value in (("PIECE_WORDS", piece), ("MATRIX_WORDS", matrix), ("SPLIT_BYTES", split), ("CACHED_WORDS", 90)):
+            monkeypatch.setattr(T, name, value)
+        again, spoken = T.Reader(model).features(texts)
+        assert again == pytest.approx(whole, abs=1e-6) and (spoken == language)[:-1].all()
+
+
+def test_gradients():
+    """Against differences of the loss."""
+    model, rng = random_model(3), random.Random(4)
+    docs = T.hashed([sentence(rng, n, 30) for n in (1, 2, 5, 30, 0)])
+    labels, weight = np.array([1, 0, 1, 0, 1]), np.array([1.0, 0.5, 1.0, 0.5, 1.0])
+
+    def loss():
+        p = 1 / (1 + np.exp(-(model.pooled(*T.matrix_of(model, docs)) @ model.weights + model.intercept)))
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).mean()
+
+    model.words = lambda b: np.hstack([model.embedding[b].sum(axis=1), model.language_odds[b[:, 0]]])  # in double precision
+    weights, _, filters, bias, met, embedding = T.gradients(model, docs, labels, weight)
+    places = [(model.weights, (3,), weights[3]), (model.bias[2], (1,), bias[2][1])]
+    places += [(model.filters[w], (i, f), filters[w][i, f]) for w in T.WIDTHS for i, f in ((0, 0), (w * T.DIM - 1, 5), (4, 2))]
+    places += [(model.embedding, (int(met[k]), d), embedding[k, d]) for k, d in ((0, 0), (5, 3), (len(met) - 1, 11))]
+    for array, at, found in places:
+        kept, losses = array[at], []
+        for sign in (1, -1):
+            array[at] = kept + sign * 1e-5
+            losses.append(loss())
+        array[at] = kept
+        assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(found, abs=1e-5)
+
+
+def test_held_out_quality(spark):
+    """Of the labelled documents of the test tables; some of the toxic ones hold nothing that tells."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = T.score_documents(docs, labels).join(labels, "doc_id").where("held_out and toxic is not null").select("predicted", "toxic").collect()
+    both = sum(r.predicted and r.toxic for r in rows)
+    precision, recall = both / sum(r.predicted for r in rows), both / sum(r.toxic for r in rows)
+    print(f"held out: precision {precision:.3f}, recall {recall:.3f}")
+    assert precision >= 0.93 and recall >= 0.88
+
+
 def test_no_labels_and_no_rows(spark, labelled):
     docs, none = documents(spark), spark.createDataFrame([], LABELS)
     one_class = spark.createDataFrame([(d, 0, 1) for d in range(50)] + [(None, 0, 0), (3, 0, None)], LABELS)
