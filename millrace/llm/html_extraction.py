@@ -1,16 +1,20 @@
 """Main text of web pages by minimum-cut labelling of their text blocks.
 
-A page's text blocks (runs of text between block-level tags) are the nodes of a flow network. A linear
-classifier over tag, class, link and length features gives each block log-odds of being content; the costs
-of either label become its terminal capacities. Smoothness edges join blocks that are adjacent on the page
-and blocks that are neighbours under the same element, weaker the longer the DOM path between them. The
-minimum cut is the cheapest labelling, and the blocks on the source side are the content.
+The nodes of a flow network are a page's text blocks (runs of text between block-level tags) and the elements whose tag or names
+promise content (article, main, post-body and the like). A linear classifier over tag, class, link and length features gives each block
+log-odds of being content, by itself and by the noise around it; an element's odds are those of its tag and names. The costs
+of either label become terminal capacities. Smoothness edges join blocks that are adjacent on the page, blocks that are neighbours under
+the same element, and a block with the nearest promising element around it, weaker the longer the DOM path between them. The
+minimum cut is the cheapest labelling, and the blocks on the source side are the content: short paragraphs, list items and headings
+say little by themselves and go with what surrounds them.
 
-Blocks whose own cost outweighs all their edges are labelled first (they keep that label in every
-minimum cut), which leaves little or nothing for the flow search.
+Nodes whose own cost outweighs all their edges are labelled first (they keep that label in every minimum cut); the others are left to the
+flow search. Tokens, elements and blocks are handled in time linear in the page, also where markup is broken, unclosed or nested deeply.
+
+The classifier's weights are set by hand: there are no labelled pages to learn them from.
 
 A null or empty html, or a page without content, gives an empty text. Text is never cut short. Rows are
-treated alone, so repeated rows, null ids and other columns make no difference; an empty table gives no rows.
+treated alone, so repeated rows, null ids and other columns (of any name) make no difference; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style title noscript template svg math iframe object canvas audio video select textarea head".split())
 RAW_TAGS = frozenset("script style title noscript template svg iframe textarea".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSES_ITSELF = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
 TAG_ODDS = {
     "article": 4.0, "main": 3.0, "nav": -6.0, "footer": -5.0, "aside": -5.0, "form": -5.0, "header": -4.0, "button": -5.0,
@@ -51,20 +54,23 @@ NOISE_NAMES = frozenset(
     "recommended recommendations related remark remarks replies reply respond search share sharing side sidebar signin signup skip social "
     "sponsor sponsored subscribe subscription tags teaser toolbar topbar trending warning widget widgets".split()
 )
-ADJACENT, SIBLING, ACROSS = 1.2, 0.8, 0.1
+#: What any block has against it, and the capacities of edges before they weaken with the DOM path.
+BIAS, ADJACENT, SIBLING, AROUND, ACROSS = -1.4, 1.2, 0.8, 1.6, 0.1
+BARRIERS = frozenset("table article main body".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"=\s*[\"']|>")
 NAMED = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Names that tell of another element or of its absence.
 OTHER_PARTS = re.compile(r"(?<![^\s])(?:has|no|with|without)[-_]\S*", re.I)
 #: Elements whose id is made from their text.
 NAMED_BY_TEXT = frozenset("article h1 h2 h3 h4 h5 h6".split())
-RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW_TAGS}
+RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW_TAGS}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "odds", "section", "link", "block", "change", "hidden")
+    __slots__ = ("tag", "parent", "depth", "odds", "section", "promise", "link", "block", "change", "hidden")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -80,13 +86,14 @@ class Element:
     def settle(self) -> None:
         """Odds and section, from the parent's."""
         parent, change = self.parent, self.change
-        self.odds, self.section = (parent.odds, parent.section) if parent else (0.0, self)
+        self.odds, self.section, self.promise = (parent.odds, parent.section, parent.promise) if parent else (0.0, self, None)
         if self.tag == "header" and self.odds >= 3:  # of the article, not of the page
             change -= TAG_ODDS["header"] if change < 0 else 0.0
         if change < 0:
-            self.odds, self.section = min(self.odds, 0.0) + change, self
+            self.odds, self.section, self.promise = min(self.odds, 0.0) + change, self, None
         elif change > 0:
             self.odds, self.section = self.odds + (change if self.odds > -2 else 0.0), self
+            self.promise = self if self.odds > 0 else None
 
 
 def name_odds(attributes: str, skip_id: bool) -> tuple[float, bool]:
@@ -111,40 +118,88 @@ def clear_wrappers(blocks: list[tuple[str, Element, float]]) -> None:
     The main part is known by a main or h1 or a single article; a form that holds nearly everything needs none.
     """
     held: dict[Element, float] = {}
-    noisy: dict[Element, list[Element]] = {}  # element: the noisy ones among it and its ancestors
-    parts: dict[Element, set[Element]] = {}
-    total = 0.0
+    parts: dict[Element, list[int]] = {}  # numbers of mains and h1s, and of articles, in each element
     for text, owner, link_share in blocks:
-        path, node = [], owner
-        while node is not None and node not in noisy:
-            path.append(node)
+        node = owner
+        while node is not None and node not in held:
+            held[node], parts[node] = 0.0, [0, 0]
             node = node.parent
-        for node in reversed(path):
-            above = noisy[node.parent] if node.parent else []
-            noisy[node] = [*above, node] if node.change < 0 and not node.hidden else above
-            if node.tag in ("main", "h1", "article") and node.change >= 0:
-                for e in above:
-                    parts.setdefault(e, set()).add(node)
-        size = len(text) * (1 - link_share)
-        total += size
-        for e in noisy[owner]:
-            held[e] = held.get(e, 0.0) + size
-    cleared = False
-    for e, size in held.items():
-        tags = [p.tag for p in parts.get(e, ())]
-        main = "main" in tags or "h1" in tags or tags.count("article") == 1
-        if main and size > 0.6 * total or e.tag == "form" and size > 0.9 * total:
+        held[owner] += len(text) * (1 - link_share)
+    order = sorted(held, key=lambda e: -e.depth)
+    total, cleared = sum(held.values()), False
+    for e in order:
+        main, size = parts[e], held[e]
+        if e.change < 0 and not e.hidden and ((main[0] or main[1] == 1) and size > 0.6 * total or e.tag == "form" and size > 0.9 * total):
             e.change, cleared = 0.0, True
+        if e.parent is not None:
+            held[e.parent] += size
+            above = parts[e.parent]
+            above[0] += main[0] + (e.tag in ("main", "h1") and e.change >= 0)
+            above[1] += main[1] + (e.tag == "article" and e.change >= 0)
     if cleared:
-        for e in sorted(noisy, key=lambda e: e.depth):
+        for e in reversed(order):
             e.settle()
 
 
+class Tags:
+    """The markup of a page in order: text before it, slash, name, attributes; name is empty for comments and at the end."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.quotes = page, 0, True
+
+    def end_of(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` is closed; -1 if nowhere. Once a quoted value has no end, quotes mean nothing on this page."""
+        start = at
+        while self.quotes:
+            found = QUOTE_OR_END.search(self.page, at)
+            if not found:
+                self.quotes = False
+                break
+            if found[0] == ">":
+                return found.start()
+            at = self.page.find(found[0][-1], found.end()) + 1
+            self.quotes = at > 0
+        return self.page.find(">", start)
+
+    def skip_raw(self, tag: str) -> None:
+        end = RAW_END[tag].search(self.page, self.at)
+        close = self.page.find(">", end.end()) if end else -1
+        self.at = close + 1 if close >= 0 else len(self.page)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, str]]:
+        page = self.page
+        text_from = at = 0
+        while True:
+            at = page.find("<", at)
+            name = TAG.match(page, at + 1) if at >= 0 else None
+            if at < 0:
+                yield page[text_from:], "", "", ""
+                return
+            if name:
+                close = self.end_of(name.end())
+                attributes = page[name.end() : close]
+            elif page.startswith("<!--", at):
+                close = page.find("-->", at + 4)
+                close += 2 * (close >= 0)
+            elif page[at + 1 : at + 2] in ("!", "?"):
+                close = page.find(">", at)
+            else:
+                at += 1
+                continue
+            self.at = close + 1 if close >= 0 else len(page)
+            if name and close >= 0:
+                yield page[text_from:at], name[1], name[2].lower(), attributes
+            else:
+                yield page[text_from:at], "", "", ""
+            text_from = at = self.at
+
+
 def text_blocks(page: str) -> list[tuple[str, Element, float]]:
     """Text, nearest block element and share of link characters of each block, in page order."""
     root = Element("", None, "")
-    here, owner, held, linked = root, root, [], 0
-    blocks, at = [], 0
+    stack, places, barriers = [root], {}, []  # open elements; depths of each tag that is open; depths of barriers
+    owner, held, linked, silent = root, [], 0, 0  # silent: elements below which text is dropped
+    blocks = []
 
     def close():
         nonlocal held, linked
@@ -160,85 +215,69 @@ def text_blocks(page: str) -> list[tuple[str, Element, float]]:
         if not held:
             if text.isspace():
                 return
-            owner = here.block
+            owner = stack[-1].block
         held.append(text)
-        if here.link:
+        if stack[-1].link:
             linked += len(text)
 
-    silent = 0  # elements below which text is dropped
-    n = len(page)
-    while at < n:
-        found = MARKUP.search(page, at)
-        stop = found.start() if found else n
-        if stop > at and not silent:
-            add(page[at:stop])
-        if not found:
-            break
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+    def push(tag, attributes):
+        nonlocal silent
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BARRIERS:
+            barriers.append(len(stack))
+        silent += tag in SILENT_TAGS
+        stack.append(Element(tag, stack[-1], attributes))
+
+    def pop_to(depth):
+        """Close the elements at ``depth`` and above."""
+        nonlocal silent
+        while len(stack) > depth:
+            tag = stack[-1].tag
+            if tag in BLOCK_TAGS:
+                close()
+            silent -= tag in SILENT_TAGS
+            places[tag].pop()
+            if tag in BARRIERS:
+                barriers.pop()
+            stack.pop()
+
+    tags = Tags(page)
+    for text, slash, tag, attributes in tags:
+        if text and not silent:
+            add(text)
+        if not tag:
             continue
-        tag = tag.lower()
-        if found[1]:
-            if tag == "p" and not silent and tag not in open_tags(here):
+        if slash:
+            depth, barrier = (places.get(tag) or [0])[-1], (barriers or [0])[-1]
+            if depth and (tag in BLOCK_TAGS and tag != "p" or barrier <= depth):
+                pop_to(depth)
+            elif tag == "p" and not silent:
                 close()
-                continue
-            node = here
-            while node is not root and node.tag != tag:
-                if node.tag in ("table", "article", "main", "body") and tag not in BLOCK_TAGS:
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                closing = here
-                while True:
-                    if closing.tag in BLOCK_TAGS:
-                        close()
-                    if closing.tag in SILENT_TAGS:
-                        silent -= 1
-                    if closing is node:
-                        break
-                    closing = closing.parent
-                here = node.parent
             continue
         if tag == "br":
             if held:
                 held.append(" ")
             continue
         if tag in RAW_TAGS:
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else n
+            tags.skip_raw(tag)
             continue
         if tag in BLOCK_TAGS:
             close()
-            if silent and tag == "body":  # an unclosed head ends here
-                silent, here = 0, root
-            node = here
-            while node is not root and (node.tag not in BLOCK_TAGS or node.tag == "p" or node.tag in (tag, CLOSES_ITSELF.get(tag)) and tag in CLOSES_ITSELF):
-                if node.tag == "p" or tag in CLOSES_ITSELF and node.tag in (tag, CLOSES_ITSELF[tag]):
-                    here = node.parent
-                    break
-                node = node.parent
-        if tag not in VOID_TAGS and not found[3].rstrip().endswith("/"):
-            here = Element(tag, here, found[3])
-            silent += tag in SILENT_TAGS
-        elif tag in BLOCK_TAGS and tag not in VOID_TAGS:
-            here = Element(tag, here, found[3])
+            near = stack[-1].block
+            if near.tag == "p" or tag in CLOSES_ITSELF and near.tag in (tag, CLOSES_ITSELF[tag]):
+                pop_to(near.depth)
+        elif tag == "body" and silent:  # an unclosed head ends here
+            pop_to(1)
+        if tag not in VOID_TAGS and (tag in BLOCK_TAGS or not attributes.rstrip().endswith("/")):
+            push(tag, attributes)
     close()
     return blocks
 
 
-def open_tags(node: Element | None) -> set[str]:
-    tags = set()
-    while node is not None and node.tag not in ("table", "article", "main", "body"):
-        tags.add(node.tag)
-        node = node.parent
-    return tags
-
-
 def content_odds(text: str, element: Element, link_share: float) -> float:
+    """Log-odds of a block by itself and by the noise around it; what promises content around it has a node of its own."""
     words = text.count(" ") + 1
-    odds = element.odds + BLOCK_ODDS.get(element.tag, 0.0) - 0.8
+    odds = min(element.odds, 0.0) + BLOCK_ODDS.get(element.tag, 0.0) + BIAS
     odds += 1.2 if words >= 40 else 0.8 if words >= 12 else 0.0
     if text[-1] in ".!?…”\"'":
         odds += 0.5
@@ -260,23 +299,34 @@ def path_length(a: Element, b: Element) -> int:
     return steps
 
 
-def smoothness(owners: list[Element]) -> dict[tuple[int, int], float]:
-    """Capacity between neighbours on the page and between consecutive blocks under one parent element."""
-    edges: dict[tuple[int, int], float] = {}
+def network(blocks: list[tuple[str, Element, float]]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Odds of the nodes (blocks in page order, then promising elements) and the capacities between them."""
+    odds, edges = [content_odds(*b) for b in blocks], {}
     latest: dict[int, int] = {}
-    for i, b in enumerate(owners):
+    promising: dict[int, int] = {}
+    inside: dict[int, int] = {}
+    for i, (_, b, _) in enumerate(blocks):
         pairs = [(i - 1, ADJACENT)] if i else []
         parent = id(b.parent)
         if parent in latest:
             pairs.append((latest[parent], SIBLING))
         latest[parent] = i
         for j, strength in pairs:
-            a = owners[j]
+            a = blocks[j][1]
             capacity = strength * math.exp(-path_length(a, b) / 3)
             if a.section is not b.section:
                 capacity *= ACROSS
             edges[j, i] = edges.get((j, i), 0.0) + capacity
-    return edges
+        if b.promise is not None:
+            node = promising.get(id(b.promise))
+            if node is None:
+                node = promising[id(b.promise)] = len(odds)
+                odds.append(b.promise.odds)
+            edges[i, node] = AROUND * max(math.exp(-(b.depth - b.promise.depth) / 6), 0.25)
+            inside[node] = inside.get(node, 0) + 1
+    for node, n in inside.items():
+        odds[node] *= max(1.0, n / 4)  # what it says holds for each of its blocks, if weakly
+    return odds, edges
 
 
 def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -311,37 +361,56 @@ def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[
 
 
 def max_flow_sides(rest: list[int], gain: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """Source side of a maximum flow (shortest augmenting paths) among the nodes in ``rest``."""
-    source, sink, tiny = -1, -2, 1e-9
-    residual: dict[int, dict[int, float]] = {source: {}, sink: {}}
-    for i in rest:
-        residual[i] = {}
+    """Source side of a maximum flow among the nodes in ``rest``: blocking flows over shortest paths, until none is left."""
+    place, tiny = {node: k for k, node in enumerate(rest)}, 1e-9
+    source, sink = len(rest), len(rest) + 1
+    ends, room, out = [], [], [[] for _ in range(len(rest) + 2)]
+
+    def join(a, b, there, back):
+        out[a].append(len(ends))
+        out[b].append(len(ends) + 1)
+        ends.extend((b, a))
+        room.extend((there, back))
+
     for i in rest:
         for j, c in near[i].items():
-            if j in residual:
-                residual[i][j] = c
+            if i < j and j in place:
+                join(place[i], place[j], c, c)
         if gain[i] > 0:
-            residual[source][i], residual[i][source] = gain[i], 0.0
+            join(source, place[i], gain[i], 0.0)
         else:
-            residual[i][sink], residual[sink][i] = -gain[i], 0.0
+            join(place[i], sink, -gain[i], 0.0)
     while True:
-        came, queue = {source: source}, deque([source])
-        while queue and sink not in came:
+        level, queue = {source: 0}, deque([source])
+        while queue:
             i = queue.popleft()
-            for j, c in residual[i].items():
-                if c > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if sink not in came:
-            return [i in came for i in rest]
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(residual[i][j] for i, j in path)
-        for i, j in path:
-            residual[i][j] -= flow
-            residual[j][i] = residual[j].get(i, 0.0) + flow
+            for e in out[i]:
+                if room[e] > tiny and ends[e] not in level:
+                    level[ends[e]] = level[i] + 1
+                    queue.append(ends[e])
+        if sink not in level:
+            return [k in level for k in range(len(rest))]
+        turn, path, i = [0] * len(out), [], source
+        while True:
+            if i == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                first = next(k for k, e in enumerate(path) if room[e] <= tiny)
+                i = ends[path[first] ^ 1]
+                del path[first:]
+                continue
+            while turn[i] < len(out[i]) and not (room[out[i][turn[i]]] > tiny and level.get(ends[out[i][turn[i]]], -1) == level[i] + 1):
+                turn[i] += 1
+            if turn[i] < len(out[i]):
+                path.append(out[i][turn[i]])
+                i = ends[path[-1]]
+            elif path:
+                i = ends[path.pop() ^ 1]
+                turn[i] += 1
+            else:
+                break
 
 
 def main_text(page: str | None) -> str:
@@ -349,8 +418,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     clear_wrappers(blocks)
-    odds = [content_odds(*b) for b in blocks]
-    labels = minimum_cut(odds, smoothness([b[1] for b in blocks]))
+    labels = minimum_cut(*network(blocks))
     return "\n".join(b[0] for b, content in zip(blocks, labels) if content)
 
 

@@ -284,7 +284,7 @@ def train_on(docs: list[np.ndarray], labels: np.ndarray, language: np.ndarray, n
     return model
 
 
-def train(texts: list[str | None], labels: np.ndarray, langs: list[str], epochs: int = 6, rate: float = 0.05, batch: int = 64) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, langs: list[str], epochs: int = 2, rate: float = 0.05, batch: int = 64) -> Model:
     """A model of all rows, with thresholds from scores of rows by models that didn't see them."""
     names = sorted(set(langs)) or [""]
     if np.bincount(labels, minlength=2).min() < FOLDS:

@@ -1,6 +1,11 @@
+import html
 import itertools
+import os
 import random
+import re
+import time
 
+import pandas as pd
 import pytest
 
 from millrace.llm import html_extraction as H
@@ -63,6 +68,53 @@ def test_long_and_deep_pages():
     assert "inside" in H.main_text("<article>" + "<div>" * 3000 + "<p>inside the deepest element of all.</p>" + "</div>" * 3000 + "</article>")
 
 
+def by_sign(page):
+    """The text without the cut: blocks by their own odds."""
+    blocks = H.text_blocks(page)
+    H.clear_wrappers(blocks)
+    return "\n".join(b[0] for b in blocks if H.content_odds(*b) > 0)
+
+
+def test_the_cut_decides():
+    """A short paragraph, a list item and a heading go with the text around them; alone they say nothing."""
+    long = "A paragraph of a story has many words in it, for it tells what happened on that day, and then it ends."
+    page = f"<body><nav><a href='/'>Home</a></nav><article><h2>What came next</h2><p>{long}</p><p>Nothing.</p><ul><li>One thing</li></ul><p>{long}</p></article><div><p>Mind the gap</p></div></body>"
+    assert H.main_text(page) == f"What came next\n{long}\nNothing.\nOne thing\n{long}"
+    assert by_sign(page) == f"{long}\n{long}"
+
+
+def test_the_cut_decides_on_the_test_pages():
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    flipped = total = 0
+    for page in pd.read_parquet(folder)["html"].dropna():
+        blocks = H.text_blocks(page)
+        H.clear_wrappers(blocks)
+        odds, edges = H.network(blocks)
+        flipped += sum((x > 0) != label for x, label in zip(odds[: len(blocks)], H.minimum_cut(odds, edges)))
+        total += len(blocks)
+        article = re.search("<article>(.*)</article>", page, re.S)[1]
+        lines = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", article)]
+        assert H.main_text(page) == "\n".join(x for x in lines if x)
+    assert flipped > 0.1 * total
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<span>" * 80_000 + "x", "<span><p>x" * 40_000, '<a href="' * 60_000, "<a href='x\" " * 60_000, "<a " * 100_000, "</p>" * 100_000, "<div>" * 3_000 + "</p>x" * 60_000]
+    + ["<ul>" + "<li>x" * 60_000, "<script>" + "</script " * 50_000, "<div class=ad>x" * 30_000, "<" * 300_000, "<!--" * 100_000, "<!x" * 100_000]
+    + ["<article>" + "<li>x</li><li><a>yy</a></li><p>word word word.</p><blockquote>some</blockquote>" * 8_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    times = []
+    for part in (page[: len(page) // 4], page):
+        began = time.process_time()
+        H.main_text(part)
+        times.append(time.process_time() - began)
+    assert times[1] < max(1.0, 8 * times[0])
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(200):
@@ -73,6 +125,8 @@ def test_minimum_cut_is_minimal():
         def cost(labels):
             return sum(max(o, 0) if not on else max(-o, 0) for o, on in zip(odds, labels)) + sum(c for (i, j), c in edges.items() if labels[i] != labels[j])
 
+        sides = H.max_flow_sides(list(range(n)), odds, [{j: c for (a, b), c in edges.items() for j in ({a, b} - {i} if i in (a, b) else ())} for i in range(n)])
+        assert cost(sides) == pytest.approx(cost(H.minimum_cut(odds, edges)))
         best = min(cost(x) for x in itertools.product([False, True], repeat=n))
         assert cost(H.minimum_cut(odds, edges)) == pytest.approx(best)
 
