@@ -11,20 +11,24 @@ EMISSION = r"(?U)Emissão:\s*(\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2})"
 QUANTITY_LABEL = "Qtde.:"
 UNIT_PRICE_LABEL = "Vl. Unit.:"
 
-SPACES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+NUMBER_CHARACTERS = "0123456789+-.eE"
 
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, SPACES, "")
+    return F.trim(text, F.lit(SPACES))
+
+
+def bare_double(bare: Column) -> Column:
+    """A finite decimal number without space around it, or null. Only its own characters pass, as casts also read 1d, inf and nan."""
+    number = F.when(F.translate(bare, NUMBER_CHARACTERS, "") == "", bare.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def strict_double(text: Column) -> Column:
     """A finite decimal number, or null. Rejects grouping, type suffixes, NaN and infinities."""
-    bare = strip(text.cast("string"))
-    number = F.when(bare.rlike(NUMBER), bare.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    return bare_double(strip(text.cast("string")))
 
 
 def access_key(text: Column) -> Column:
@@ -53,18 +57,23 @@ def comma_text(text: Column, *labels: str, thousands: bool = False) -> Column:
 
 def comma_double(text: Column, *labels: str, thousands: bool = False) -> Column:
     """A number with a decimal comma. ``1.234,56`` fails (null) unless ``thousands`` is set."""
-    return strict_double(comma_text(text, *labels, thousands=thousands))
+    return bare_double(comma_text(text, *labels, thousands=thousands))
 
 
 def comma_failed(text: Column, *labels: str, thousands: bool = False) -> Column:
     """Whether the text holds something that isn't a number."""
     bare = comma_text(text, *labels, thousands=thousands)
-    return bare.isNotNull() & strict_double(bare).isNull()
+    return bare.isNotNull() & bare_double(bare).isNull()
+
 
+def exact_sum(value: Column, scale: int = 8) -> Column:
+    """A sum that doesn't depend on the order of rows: values are summed as decimals with ``scale`` digits behind the point.
 
-def exact_sum(value: Column, scale: int = 2) -> Column:
-    """A money sum that doesn't depend on the order of rows: summed as decimals, given as a double."""
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
+    Values that don't fit (20 digits before the point) are summed as doubles beside them. The result is a double; null without values.
+    """
+    exact = value.try_cast(f"decimal({20 + scale},{scale})")
+    fitting, other = F.sum(exact).cast("double"), F.sum(F.when(exact.isNull(), value.cast("double")))
+    return F.when(other.isNull(), fitting).otherwise(F.coalesce(fitting, F.lit(0.0)) + other)
 
 
 def euro_thousands(value: Column) -> Column:

@@ -58,6 +58,29 @@ def ranking_lines(ranking: DataFrame) -> DataFrame:
     return ranking.select("rank", F.concat(text, F.lit(" - "), F.col("n_commodities").cast("string"), F.lit(" commodities")).alias("line"))
 
 
+def country_lines(imports: DataFrame, country: str) -> DataFrame:
+    """place and line of what is told about a country: its total, its number of commodities and their sorted list."""
+    found = country_lookup(imports, country)
+    head = F.array(
+        F.concat(F.lit("Dados do país: "), "country"),
+        F.concat(F.lit("Valor total importado: "), euro_thousands(F.col("total"))),
+        F.concat(F.lit("Tipos de commodities importadas: "), F.col("n_commodities").cast("string")),
+        F.lit("Lista de commodities:"),
+    )
+    held = country_commodities(imports, country).groupBy("country").agg(F.array_sort(F.collect_list("commodity")).alias("held"))
+    lines = F.when(F.col("found"), F.concat(head, F.transform("held", lambda c: F.concat(F.lit("- "), c)))).otherwise(F.array(F.lit("País não encontrado.")))
+    return found.join(F.broadcast(held), "country", "left").select(F.posexplode(lines).alias("place", "line"))
+
+
+def commodity_lines(imports: DataFrame, commodity: str) -> DataFrame:
+    """place and line of what is told about a commodity: the countries that import it, sorted."""
+    countries = countries_by_commodity(imports, commodity).agg(F.array_sort(F.collect_list("country")).alias("held"))
+    named = F.transform("held", lambda c: F.concat(F.lit("- "), c))
+    none = F.array(F.lit("Nenhum país encontrado com essa commodity."))
+    lines = F.concat(F.array(F.lit(f"Países que importam a commodity '{commodity}':")), F.when(F.size("held") > 0, named).otherwise(none))
+    return countries.select(F.posexplode(lines).alias("place", "line"))
+
+
 def country_lookup(imports: DataFrame, country: str) -> DataFrame:
     """One row: country, found, total, n_commodities. Names are compared as they are."""
     asked = imports.sparkSession.createDataFrame([(country,)], "country string")

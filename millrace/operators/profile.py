@@ -27,6 +27,10 @@ def risk_profile(*answers: Column) -> Column:
     return F.when(points >= 2, CAUTIOUS).when(points == 1, MODERATE).when(points == 0, BOLD)
 
 
+def profile_line(profile: Column) -> Column:
+    return F.concat(F.lit("Seu perfil de investidor é: "), profile)
+
+
 def recommendations(spark: SparkSession, profiles: DataFrame) -> DataFrame:
     """``profiles`` (column profile) with place and item; unknown profiles get none."""
     rows = [(p, i + 1, item) for p, items in RECOMMENDED.items() for i, item in enumerate(items)]

@@ -30,17 +30,17 @@ from millrace.sources.folders import written
 ITEM = StructType([StructField(n, StringType()) for n in ("product", "quantity", "unit_price", "total")])
 NOTE = StructType([StructField(n, StringType()) for n in ("emission", "total", "payment", "missing")] + [StructField("items", ArrayType(ITEM))])
 
-# Places of the fields in a receipt page, as paths below body (name, 1-based position).
-SECTION = [("div", 1), ("div", 4), ("div", 1), ("div", 2)]
-EMISSION_AT = [*SECTION, ("div", 2), ("div", 1), ("div", 1), ("ul", 1), ("li", 1)]
-ROWS_AT = [*SECTION, ("div", 1), ("table", 1), ("tbody", 1)]
-TOTAL_AT = [*SECTION, ("div", 1), ("div", 3), ("div", 2), ("span", 1)]
-PAYMENT_AT = [*SECTION, ("div", 1), ("div", 3), ("div", 4), ("label", 1)]
+# Places of the fields in a receipt page, as paths below body (name, 1-based position; None: any).
+SECTION = [("div", 1), ("div", 4), ("div", None), ("div", 2)]
+EMISSION_AT = [*SECTION, ("div", 2), ("div", 1), ("div", None), ("ul", None), ("li", None)]
+ROWS_AT = [*SECTION, ("div", 1), ("table", None), ("tbody", None), ("tr", None)]
+TOTAL_AT = [*SECTION, ("div", 1), ("div", 3), ("div", 2), ("span", None)]
+PAYMENT_AT = [*SECTION, ("div", 1), ("div", 3), ("div", 4), ("label", None)]
 ITEM_AT = {
     "product": [("td", 1), ("span", 1)],
     "quantity": [("td", 1), ("span", 3)],
     "unit_price": [("td", 1), ("span", 5)],
-    "total": [("td", 2), ("span", 1)],
+    "total": [("td", 2), ("span", None)],
 }
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -92,23 +92,31 @@ def pending_notes(registry: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 class Node:
-    __slots__ = ("tag", "children", "text")
+    __slots__ = ("tag", "children")
 
     def __init__(self, tag: str):
-        self.tag, self.children, self.text = tag, [], []
+        self.tag, self.children = tag, []
 
-    def child(self, tag: str, place: int) -> Node | None:
-        same = [c for c in self.children if isinstance(c, Node) and c.tag == tag]
-        return same[place - 1] if len(same) >= place else None
-
-    def at(self, path: list[tuple[str, int]]) -> Node | None:
-        node = self
+    def every(self, path: list[tuple[str, int | None]]) -> list[Node]:
+        """All elements at ``path``, in order of the page."""
+        found = [self]
         for tag, place in path:
-            node = node and node.child(tag, place)
-        return node
+            same = [[c for c in node.children if isinstance(c, Node) and c.tag == tag] for node in found]
+            found = [c for cs in same for c in (cs if place is None else cs[place - 1 : place])]
+        return found
+
+    def at(self, path: list[tuple[str, int | None]]) -> Node | None:
+        """The first element at ``path``."""
+        return next(iter(self.every(path)), None)
 
     def content(self) -> str:
-        parts = [c.content() if isinstance(c, Node) else c for c in self.children]
+        parts, waiting = [], [self]
+        while waiting:
+            part = waiting.pop()
+            if isinstance(part, Node):
+                waiting.extend(reversed(part.children))
+            else:
+                parts.append(part)
         return "".join(parts)
 
 
@@ -142,17 +150,14 @@ def note_fields(page: str | None) -> dict:
     builder.feed(page or "")
     builder.close()
     root = builder.root
-    body = root.at([("html", 1), ("body", 1)]) or root.child("body", 1) or root
+    body = root.at([("html", 1), ("body", 1)]) or root.at([("body", 1)]) or root
 
     def text(node: Node | None) -> str | None:
         return None if node is None else " ".join(node.content().split())
 
     found = {"emission": text(body.at(EMISSION_AT)), "total": text(body.at(TOTAL_AT)), "payment": text(body.at(PAYMENT_AT))}
-    rows, items = body.at(ROWS_AT), []
-    for row in rows.children if rows else []:
-        if isinstance(row, Node) and row.tag == "tr":
-            items.append({name: text(row.at(path)) for name, path in ITEM_AT.items()})
-    absent = [n for n, v in found.items() if v is None] + ["items"] * (rows is None or not items)
+    items = [{name: text(row.at(path)) for name, path in ITEM_AT.items()} for row in body.every(ROWS_AT)]
+    absent = [n for n, v in found.items() if v is None] + ["items"] * (not items)
     absent += [f"item {i + 1}" for i, item in enumerate(items) if None in item.values()]
     return found | {"items": items, "missing": absent[0] if absent else None}
 
@@ -164,7 +169,11 @@ def read_note(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def extract_notes(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """``pages`` (url, html) as raw notes: url, emission, total, payment, items, missing."""
+    """``pages`` (url, html) as raw notes: url, emission, total, payment, items, missing.
+
+    A step of a place without a position means any element of that name, so items may stand in several tables. Pages are sent to
+    Python in batches of spark.sql.execution.arrow.maxRecordsPerBatch: lower it where pages are large.
+    """
     return pages.select("url", read_note(F.col(html_col)).alias("note")).select("url", "note.*")
 
 
@@ -212,6 +221,11 @@ def item_rows(notes: DataFrame) -> DataFrame:
     return lines.select("access_key", (F.col("line_no") + 1).alias("line_no"), "item.product", "item.quantity", "item.unit_price", F.col("item.total").alias("item_total"))
 
 
+def notes_with_items(headers: DataFrame, items: DataFrame) -> DataFrame:
+    """Each item beside the header of its note; headers without items are left out."""
+    return headers.join(items, "access_key")
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """The table after the upsert: incoming rows replace existing ones with the same keys, the last by ``order`` wins."""
     names = incoming.columns

@@ -15,6 +15,7 @@ PAYMENTS = ["Todas", "Cartão de Crédito", "Cartão de Débito", "Dinheiro", "V
 AMOUNT_DUE = "Valor a Pagar"
 AMOUNT_DUE_LABEL = "Valor a pagar R$:"
 NOT_SPECIFIED = "Não Especificado"
+NOTHING_FOUND = "Nenhum dado encontrado para os filtros selecionados."
 DEFAULT_START, DEFAULT_END = date(2024, 3, 1), date(2025, 11, 21)
 
 GRAINS = ("day", "week", "month", "payment")
@@ -42,6 +43,12 @@ def clean_sales(sales: DataFrame) -> DataFrame:
     return kept.withColumn("payment", F.when(payment == AMOUNT_DUE_LABEL, NOT_SPECIFIED).otherwise(payment))
 
 
+def timed(sales: DataFrame) -> DataFrame:
+    """``sales`` with sold_at as a timestamp without zone, where it is text in ISO form. Other text fails, as it has no place in any group."""
+    text = dict(sales.dtypes)["sold_at"] == "string"
+    return sales.withColumn("sold_at", F.col("sold_at").cast("timestamp_ntz")) if text else sales
+
+
 def grain(name: str, with_year: bool = False) -> Column:
     """A sale's key. Weeks (ISO) and months have no year by default: those of different years merge."""
     sold = F.col("sold_at")
@@ -59,7 +66,7 @@ def grain(name: str, with_year: bool = False) -> Column:
 
 def sales_by(sales: DataFrame, name: str, with_year: bool = False) -> DataFrame:
     """key and total of cleaned sales, keys ascending. Null amounts add nothing; a null payment has no group."""
-    keyed = sales.select(grain(name, with_year).alias(name), "total")
+    keyed = timed(sales).select(grain(name, with_year).alias(name), "total")
     if name == "payment":
         keyed = keyed.where(F.col(name).isNotNull())
     return keyed.groupBy(name).agg(F.coalesce(exact_sum(F.col("total")), F.lit(0.0)).alias("total")).orderBy(name)
@@ -75,8 +82,15 @@ def metric_tiles(metrics: DataFrame) -> DataFrame:
     return metrics.select(reais(F.col("total")).alias("total"), reais(F.col("mean")).alias("mean"))
 
 
+def sales_status(chosen: DataFrame) -> DataFrame:
+    """One row: n, status (ok or empty) and the warning of an empty choice."""
+    counted = chosen.agg(F.count(F.lit(1)).alias("n"))
+    empty = F.col("n") == 0
+    return counted.select("n", F.when(empty, "empty").otherwise("ok").alias("status"), F.when(empty, NOTHING_FOUND).alias("warning"))
+
+
 def sales_report(sales: DataFrame, start: date = DEFAULT_START, end: date = DEFAULT_END, payment: str = ALL_PAYMENTS) -> dict[str, DataFrame]:
-    """Metrics of the filtered sales and, of the cleaned ones, the sums by each grain."""
+    """Metrics of the filtered sales and, of the cleaned ones, the sums by each grain. ``sales_status`` tells of an empty choice."""
     chosen = filter_sales(sales, start, end, payment)
     cleaned = clean_sales(chosen)
     return {"metrics": sales_metrics(chosen)} | {name: sales_by(cleaned, name) for name in GRAINS}

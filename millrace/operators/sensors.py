@@ -21,13 +21,16 @@ FRAME_FIELDS = [
 ]
 
 
-def word_at(frame: str, byte: int) -> str:
-    return f"cast(conv(hex(substring({frame}, {byte + 1}, 2)), 16, 10) as int)"
+def words_of(frame: str) -> str:
+    """The words from byte 2 on. Three words are read at a time: six bytes are a number that fits."""
+    threes = ", ".join(f"cast(conv(hex(substring({frame}, {3 + 6 * i}, 6)), 16, 10) as bigint)" for i in range(len(FRAME_FIELDS) // 3))
+    return f"flatten(transform(array({threes}), x -> array(cast(shiftright(x, 32) as int), cast(shiftright(x, 16) & 65535 as int), cast(x & 65535 as int))))"
 
 
-def byte_sum(frame: str, count: int = FRAME_BYTES - 2) -> Column:
-    """Sum of the frame's first bytes."""
-    return F.expr(f"aggregate(sequence(1, {count}), 0, (s, i) -> s + cast(conv(hex(substring({frame}, i, 1)), 16, 10) as int))")
+def sound_words(words: str, head: str) -> str:
+    """Whether the last word is the sum of all bytes before it; ``head`` is the sum of the two bytes before the words."""
+    last = len(FRAME_FIELDS) - 1
+    return f"exists(array({words}), w -> aggregate(slice(w, 1, {last}), {head}, (s, x) -> s + shiftright(x, 8) + (x & 255)) = w[{last}])"
 
 
 def decode_frames(frames: DataFrame, frame: str = "frame", verify_header: bool = False) -> DataFrame:
@@ -36,12 +39,14 @@ def decode_frames(frames: DataFrame, frame: str = "frame", verify_header: bool =
     Valid: 32 bytes, the start byte, and a checksum equal to the sum of the bytes before it. ``verify_header`` also asks
     for the second start byte and the payload length.
     """
-    sound = (F.octet_length(frame) == FRAME_BYTES) & (F.expr(f"hex(substring({frame}, 1, 1))") == f"{START_BYTE:02X}")
-    fields = {name: F.expr(word_at(frame, 2 + 2 * i)) for i, name in enumerate(FRAME_FIELDS)}
-    valid = frames.where(sound).withColumns(fields).where(byte_sum(frame) == F.col("checksum"))
-    if verify_header:
-        valid = valid.where((F.expr(f"hex(substring({frame}, 2, 1))") == f"{SECOND_BYTE:02X}") & (F.col("framelen") == PAYLOAD_BYTES))
-    return valid
+    start = f"{START_BYTE:02X}{SECOND_BYTE:02X}{PAYLOAD_BYTES:04X}" if verify_header else f"{START_BYTE:02X}"
+    head = f"{START_BYTE} + cast(conv(hex(substring({frame}, 2, 1)), 16, 10) as int)"
+    sound = (F.octet_length(frame) == FRAME_BYTES) & (F.expr(f"hex(substring({frame}, 1, {len(start) // 2}))") == start)
+    valid = frames.where(sound).where(F.expr(sound_words(words_of(frame), head)))
+    held = "_words"
+    while held in frames.columns:
+        held += "_"
+    return valid.withColumn(held, F.expr(words_of(frame))).select(*frames.columns, *(F.col(held)[i].alias(n) for i, n in enumerate(FRAME_FIELDS)))
 
 
 def take_frames(buffer: bytes) -> tuple[list[bytes], bytes]:
@@ -73,14 +78,23 @@ class SplitFrames:
 
 
 def frames_of_streams(chunks: DataFrame) -> DataFrame:
-    """sensor, frame of a stream of (sensor, seq, data) chunks; the tail of at most 31 bytes waits in the state."""
+    """sensor, frame of a stream of (sensor, seq, data) chunks; the tail of at most 31 bytes waits in the state. Null chunks are empty.
+
+    A trigger's chunks of a sensor are put in order of seq in one task: bound the source by files or bytes a trigger.
+    """
 
     def advance(key, batches: Iterator[pd.DataFrame], state):
         tail = bytes(state.get[0]) if state.exists else b""
         arrived = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        frames, tail = take_frames(tail + b"".join(map(bytes, arrived["data"])))
+        found = []
+        for chunk in arrived["data"]:
+            frames, tail = take_frames(tail + bytes(chunk if chunk is not None else b""))
+            found += frames
+            if len(found) >= 10_000:
+                yield pd.DataFrame({"sensor": [key[0]] * len(found), "frame": found})
+                found = []
         state.update((tail,))
-        yield pd.DataFrame({"sensor": [key[0]] * len(frames), "frame": frames})
+        yield pd.DataFrame({"sensor": [key[0]] * len(found), "frame": found})
 
     return chunks.groupBy("sensor").applyInPandasWithState(advance, "sensor string, frame binary", "tail binary", "append", "NoTimeout")
 
@@ -90,5 +104,16 @@ def drop_failed_readings(readings: DataFrame, humidity: str = "humidity", temper
     return readings.where(~(F.isnan(humidity) | F.isnan(temperature)))
 
 
+def gas_lines(readings: DataFrame) -> DataFrame:
+    """raw_adc, rzero and ppm as they are shown."""
+    text = F.format_string("ADC bruto: %.2f RZero: %.2f PPM estimado: %.2f", *(F.col(c).cast("double") for c in ("raw_adc", "rzero", "ppm")))
+    return readings.select("*", text.alias("line"))
+
+
+def particulate_lines(frames: DataFrame) -> DataFrame:
+    """The fine particles of decoded frames as they are shown."""
+    return frames.select("*", F.format_string("Qualidade do Ar (PM 2.5): %d ug/m3", "pm25_standard").alias("line"))
+
+
 def reading_lines(readings: DataFrame) -> DataFrame:
     return readings.select("*", F.format_string("temperature: %.2f humidity: %.2f", "temperature", "humidity").alias("line"))

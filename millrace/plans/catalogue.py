@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import QUANTITY_LABEL, UNIT_PRICE_LABEL, comma_double, comma_failed, day_first_timestamp, emission_text
 from millrace.operators import imports, profile, receipts, sales, sensors
 from millrace.sources.folders import shared_folder
+from millrace.sources.imports_csv import load_imports
 from millrace.streaming import telemetry
 
 START, END = date(1996, 1, 1), date(1997, 12, 31)
@@ -63,7 +64,7 @@ def key_of(number: str) -> Column:
 
 
 def registry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    orders = table(spark, sf_dir, "orders")
     url = F.concat(F.lit("https://receipts.example/"), F.col("o_custkey").cast("string"))
     return orders.select(url.alias("url"), key_of("o_orderkey").alias("access_key"), F.col("o_orderdate").alias("read_at"))
 
@@ -116,6 +117,56 @@ def import_value_guard(spark, sf_dir):
     return imports.country_rollup(imports.valid_imports(rows)).select("country", "total", "n_commodities")
 
 
+def import_fine_values(spark, sf_dir):
+    """Values with four decimals, and some of a million billions."""
+    text = F.when(F.col("l_linenumber") == 1, "1e17").otherwise(F.concat(F.lit("0.00"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0")))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("country"), F.when(F.col("l_linenumber") == 1, "large").otherwise("fine").alias("commodity"), text.alias("value"))
+    return imports.commodity_totals(imports.valid_imports(rows))
+
+
+def import_lines_file(spark, sf_dir, odd_rows):
+    """A folder of CSV files made from the line items: a quoted commodity, and odd rows. Each file has a header."""
+    plain = F.concat(F.lit("1,2,3,4,5,"), "l_returnflag", F.lit(',7,"'), "l_linestatus", F.lit(', ""q""",'), F.col("l_quantity").cast("int").cast("string"), F.lit(".5"))
+    lines = table(spark, sf_dir, "lineitem").select(F.pmod(F.xxhash64("l_orderkey"), F.lit(16)).alias("file"), F.lit(1).alias("place"), odd_rows(plain).alias("value"))
+    heads = spark.range(16).select(F.col("id").alias("file"), F.lit(0).alias("place"), F.lit("a,b,c,d,e,country,f,commodity,amount").alias("value"))
+    folder = shared_folder(spark, "csv")
+    lines.unionByName(heads).repartition(16, "file").sortWithinPartitions("file", "place").select("value").write.text(folder)
+    return folder
+
+
+def import_csv_permissive(spark, sf_dir):
+    """Totals of the rows of the header's length; short and over-long ones are counted as rejected."""
+    odd = lambda plain: F.when(F.col("l_linenumber") == 1, F.concat(plain, F.lit(",9"))).when(F.col("l_linenumber") == 2, "1,2,3").otherwise(plain)
+    rows, rejects = load_imports(spark, import_lines_file(spark, sf_dir, odd), multi_line=False)
+    found = imports.country_rollup(imports.valid_imports(rows)).select("country", "total", "n_commodities")
+    return found.unionByName(rejects.agg(F.lit("rejected").alias("country"), F.lit(None).cast("double").alias("total"), F.count("raw").alias("n_commodities")))
+
+
+def import_csv_strict(spark, sf_dir):
+    """Over-long rows are read by their own last field."""
+    odd = lambda plain: F.when(F.col("l_linenumber") == 1, F.concat(plain, F.lit(",9"))).otherwise(plain)
+    rows, _ = load_imports(spark, import_lines_file(spark, sf_dir, odd), mode="strict", multi_line=False)
+    return imports.country_rollup(imports.valid_imports(rows)).select("country", "total", F.array_join("commodities", "|").alias("commodities"))
+
+
+def country_lines(spark, sf_dir):
+    return imports.country_lines(import_rows(spark, sf_dir), "NATION_7")
+
+
+def country_lines_missing(spark, sf_dir):
+    return imports.country_lines(import_rows(spark, sf_dir), "nation_7")
+
+
+def commodity_lines(spark, sf_dir):
+    rows = import_rows(spark, sf_dir, "p_brand")
+    told = [imports.commodity_lines(rows, c).withColumn("asked", F.lit(c)) for c in ("Brand#12", "Brand")]
+    return told[0].unionByName(told[1])
+
+
+def profile_lines(spark, sf_dir):
+    return risk_profile_matrix(spark, sf_dir).select("r1", "r2", "r3", profile.profile_line(F.col("profile")).alias("line"))
+
+
 def risk_profile_matrix(spark, sf_dir):
     sides = spark.createDataFrame([("s",), ("N",)], "answer string")
     rows = sides.toDF("r1").crossJoin(sides.toDF("r2")).crossJoin(sides.toDF("r3"))  # the eight combinations
@@ -156,6 +207,18 @@ def sales_by_day(spark, sf_dir):
     return sales.sales_by(sales.clean_sales(sale_rows(spark, sf_dir)), "day").withColumn("day", F.col("day").cast("string"))
 
 
+def sales_by_day_of_text(spark, sf_dir):
+    """The same sums where the time of sale comes as text."""
+    rows = sale_rows(spark, sf_dir).withColumn("sold_at", F.date_format("sold_at", "yyyy-MM-dd HH:mm:ss"))
+    return sales.sales_by(sales.clean_sales(rows), "day").withColumn("day", F.col("day").cast("string"))
+
+
+def sales_status(spark, sf_dir):
+    """A choice that holds sales and one that holds none."""
+    chosen = [sales.filter_sales(sale_rows(spark, sf_dir), START, END, p) for p in (URGENT, "Dinheiro")]
+    return sales.sales_status(chosen[0]).unionByName(sales.sales_status(chosen[1]))
+
+
 def sales_by_week(spark, sf_dir):
     return sales.sales_by(sales.clean_sales(sale_rows(spark, sf_dir)), "week")
 
@@ -184,10 +247,20 @@ def access_key_extract(spark, sf_dir):
     return receipts.scanned(scan_rows(spark, sf_dir))
 
 
-def registry_new_keys(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+def key_scans(spark, sf_dir):
     text = F.concat(F.lit("https://receipts.example/"), F.col("o_custkey").cast("string"), F.lit("?k="), key_of("o_orderkey"))
-    return receipts.new_registrations(receipts.scanned(orders.select(text.alias("qr_text"))), registry_rows(spark, sf_dir))
+    return receipts.scanned(table(spark, sf_dir, "orders").select(text.alias("qr_text")))
+
+
+def registry_new_keys(spark, sf_dir):
+    """All orders' codes are scanned; those read before 1998 are registered already."""
+    return receipts.new_registrations(key_scans(spark, sf_dir), registry_rows(spark, sf_dir).where(F.col("read_at") < F.lit("1998-01-01").cast("timestamp_ntz")))
+
+
+def registry_insert(spark, sf_dir):
+    """What is appended to a registry that holds the keys read before 1998, with its stamp."""
+    stored = registry_rows(spark, sf_dir).where(F.col("read_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    return receipts.register(key_scans(spark, sf_dir), stored, F.lit("2002-02-03 04:05:06").cast("timestamp_ntz"))
 
 
 def registry_listing(spark, sf_dir):
@@ -200,7 +273,7 @@ def url_key_lookup(spark, sf_dir):
 
 
 def pending_notes(spark, sf_dir):
-    stored = table(spark, sf_dir, "orders").where("o_orderkey % 6 = 0").select(key_of("o_orderkey").alias("access_key"))
+    stored = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(key_of("o_orderkey").alias("access_key"))
     return receipts.pending_notes(registry_rows(spark, sf_dir), stored)
 
 
@@ -267,21 +340,27 @@ def note_items_exploded(spark, sf_dir):
 
 
 def note_header_upsert(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     existing = orders.select(key_of("o_orderkey").alias("access_key"), F.col("o_orderdate").alias("sold_at"), F.lit("old").alias("payment"), F.lit(1.0).alias("total"))
     return receipts.upsert_headers(existing, receipts.parse_notes(raw_notes(spark, sf_dir)))
 
 
 def note_items_upsert(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     existing = orders.select(
         key_of("o_orderkey").alias("access_key"), F.lit(1).alias("line_no"), F.lit("old").alias("product"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("unit_price"), F.lit(1.0).alias("item_total")
     )
     return receipts.upsert_items(existing, receipts.parse_notes(raw_notes(spark, sf_dir)))
 
 
-def note_html_extract(spark, sf_dir):
-    """Receipt pages made from the orders, read back to typed headers."""
+def note_header_items(spark, sf_dir):
+    """Items beside the headers of their notes."""
+    notes = receipts.parse_notes(raw_notes(spark, sf_dir))
+    return receipts.notes_with_items(receipts.header_rows(notes), receipts.item_rows(notes))
+
+
+def note_pages(spark, sf_dir, between=""):
+    """Receipt pages made from the orders; ``between`` comes after each item."""
     notes = raw_notes(spark, sf_dir)
     row = lambda i: F.concat(
         F.lit("<tr><td><span>"), i.product, F.lit("</span><span>x</span><span>"), i.quantity, F.lit("</span><span>y</span><span>"), i.unit_price,
@@ -289,18 +368,27 @@ def note_html_extract(spark, sf_dir):
     )
     page = F.concat(
         F.lit('<html><head><meta charset="utf-8"></head><body><div><div></div><div></div><div></div><div><div><div></div><div><div><table><tbody>'),
-        F.array_join(F.transform("items", row), ""),
+        F.array_join(F.transform("items", row), between),
         F.lit("</tbody></table><div></div><div></div><div><div></div><div><span>"), "total",
         F.lit("</span></div><div></div><div><label>"), "payment",
         F.lit("</label></div></div></div><div><div><div><ul><li>"), "emission",
         F.lit("</li></ul></div></div></div></div></div></div></div></body></html>"),
     )
-    pages = notes.select(F.col("access_key").alias("url"), page.alias("html"))
-    read = receipts.extract_notes(pages).withColumn("access_key", F.col("url"))
-    parsed = receipts.parse_notes(read)
+    return notes.select(F.col("access_key").alias("url"), page.alias("html"))
+
+
+def note_html_extract(spark, sf_dir):
+    """Receipt pages read back to typed headers."""
+    parsed = receipts.parse_notes(receipts.extract_notes(note_pages(spark, sf_dir)).withColumn("access_key", F.col("url")))
     return parsed.select("access_key", "sold_at", "payment", "total", "status", "reason", F.size("items").alias("n_items"))
 
 
+def note_html_bodies(spark, sf_dir):
+    """The items of pages whose table has a body for each of them."""
+    pages = note_pages(spark, sf_dir, "</tbody><tbody>")
+    return receipts.item_rows(receipts.parse_notes(receipts.extract_notes(pages).withColumn("access_key", F.col("url"))))
+
+
 def message_rows(spark, sf_dir):
     payload = (
         F.when(F.col("event_id") % 10 == 0, "nope")
@@ -335,6 +423,14 @@ def required_field_gate(spark, sf_dir):
     return telemetry.gate_required(posts).select("event_id", "status_code", "message")
 
 
+def stored_posts(spark, sf_dir):
+    """Accepted posts as they are stored and answered, with an id that nobody else has."""
+    body = F.when(F.col("event_id") % 5 == 1, '{"temperatura": 1}').otherwise('{"temperatura": 1, "umidade_ar": null, "umidade_solo": 3, "dataRegistro": "x"}')
+    posts = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    stored = telemetry.stored_posts(telemetry.gate_required(posts, registered_at=F.lit("2024-05-06 07:08:09").cast("timestamp")))
+    return stored.select("event_id", "message", "registered_at", (F.length("id") == 36).alias("has_id"))
+
+
 def telemetry_stream_append(spark, sf_dir):
     """The events as a stream, appended until nothing is left, then read."""
     schema = table(spark, sf_dir, "events").schema
@@ -361,6 +457,22 @@ def pms_decode(spark, sf_dir):
     return sensors.decode_frames(frame_rows(spark, sf_dir), verify_header=True).select("event_id", *sensors.FRAME_FIELDS)
 
 
+def pms_stream_frames(spark, sf_dir):
+    """Frames found in raw bytes: stray bytes before each frame, the start of another one behind."""
+    raw = F.concat(F.unhex(F.lit("00FF")), "frame", F.unhex(F.lit("424D001C")))
+    captures = frame_rows(spark, sf_dir).select("event_id", raw.alias("data"))
+    frames = captures.lateralJoin(sensors.SplitFrames(F.col("data").outer())).select("event_id", "place", "frame")
+    return sensors.decode_frames(frames).select("event_id", "place", *sensors.FRAME_FIELDS)
+
+
+def sensor_lines(spark, sf_dir):
+    """What the gas and the particulate sensor show."""
+    events = table(spark, sf_dir, "events")
+    gas = sensors.gas_lines(events.select("event_id", (F.col("event_id") % 1024).alias("raw_adc"), F.lit(76.5).alias("rzero"), F.lit(400).alias("ppm")))
+    fine = sensors.particulate_lines(sensors.decode_frames(frame_rows(spark, sf_dir)))
+    return gas.select("event_id", "line").unionByName(fine.select("event_id", "line"))
+
+
 def failed_reading_guard(spark, sf_dir):
     nan = F.lit(float("nan"))
     readings = table(spark, sf_dir, "events").select(
@@ -373,7 +485,9 @@ def failed_reading_guard(spark, sf_dir):
 
 QUERIES = [
     import_ranking_top10, import_ranking_lines, country_rollup, country_lookup, country_lookup_missing, country_commodities, countries_by_commodity,
-    import_value_guard, first_commodities, risk_profile_matrix, profile_recommendations, sales_filtered, sales_filtered_all,
+    import_value_guard, import_fine_values, import_csv_permissive, import_csv_strict, country_lines, country_lines_missing, commodity_lines,
+    profile_lines, sales_by_day_of_text, sales_status, registry_insert, note_header_items, note_html_bodies, stored_posts, pms_stream_frames,
+    sensor_lines, first_commodities, risk_profile_matrix, profile_recommendations, sales_filtered, sales_filtered_all,
     sales_filtered_whole_last_day, sales_metrics, sales_metrics_empty, sales_metric_tiles, sales_by_day, sales_by_week, sales_by_month,
     sales_by_payment, payment_null_survives, access_key_extract, registry_new_keys, registry_listing, url_key_lookup, pending_notes,
     locale_number_parse, emission_timestamp_parse, note_status, note_items_exploded, note_header_upsert, note_items_upsert, note_html_extract,

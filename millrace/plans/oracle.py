@@ -29,7 +29,15 @@ IN_RANGE = "sold_at >= TIMESTAMP '1996-01-01' AND sold_at <= TIMESTAMP '1997-12-
 REGISTRY = """
 registry AS (
   SELECT 'https://receipts.example/' || o_custkey AS url, lpad(CAST(o_orderkey AS VARCHAR), 44, '0') AS access_key, o_orderdate AS read_at
-  FROM orders WHERE o_orderkey % 3 = 0
+  FROM orders
+)"""
+SCANS = """
+scans AS (
+  SELECT 'https://receipts.example/' || o_custkey || '?k=' || lpad(CAST(o_orderkey AS VARCHAR), 44, '0') AS url, lpad(CAST(o_orderkey AS VARCHAR), 44, '0') AS access_key
+  FROM orders
+), fresh AS (
+  SELECT min(url) AS url, access_key FROM scans
+  WHERE access_key NOT IN (SELECT access_key FROM registry WHERE read_at < TIMESTAMP '1998-01-01') GROUP BY access_key
 )"""
 ITEMS = """
 items AS (
@@ -83,6 +91,46 @@ SQL = {
           SELECT l_returnflag AS country, l_linestatus AS commodity, CAST(l_quantity AS INT) AS q, l_linenumber AS n FROM lineitem
         ), v AS (SELECT country, commodity, CASE WHEN n = 4 THEN q + 0.5 WHEN n NOT IN (1, 2, 3, 5, 6) THEN q * 10 END AS value FROM t)
         SELECT country, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(DISTINCT commodity) AS n_commodities FROM v WHERE value IS NOT NULL GROUP BY country""",
+    "import_fine_values": """
+        SELECT l_returnflag AS country, 'large' AS commodity, count(*) * 1e17 AS total FROM lineitem WHERE l_linenumber = 1 GROUP BY 1
+        UNION ALL SELECT l_returnflag, 'fine', sum(CAST(l_quantity AS INT)) / 10000 FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1""",
+    "import_csv_permissive": """
+        SELECT l_returnflag AS country, sum(CAST(l_quantity AS INT) * 2 + 1) / 2 AS total, count(DISTINCT l_linestatus) AS n_commodities FROM lineitem WHERE l_linenumber NOT IN (1, 2) GROUP BY 1
+        UNION ALL SELECT 'rejected', NULL, count(*) FROM lineitem WHERE l_linenumber IN (1, 2)""",
+    "import_csv_strict": """
+        SELECT l_returnflag AS country, sum(CASE WHEN l_linenumber = 1 THEN 18 ELSE CAST(l_quantity AS INT) * 2 + 1 END) / 2 AS total,
+          array_to_string(list_sort(list(DISTINCT l_linestatus || ', "q"')), '|') AS commodities FROM lineitem GROUP BY 1""",
+    "country_lines": f"""WITH {ROLLUP}, c AS (SELECT DISTINCT commodity FROM imports WHERE country = 'NATION_7'), r AS (SELECT * FROM rolled WHERE country = 'NATION_7')
+        SELECT 0 AS place, 'Dados do país: NATION_7' AS line FROM r
+        UNION ALL SELECT 1, 'Valor total importado: €' || format('{{:,.2f}}', total) || ' mil euros' FROM r
+        UNION ALL SELECT 2, 'Tipos de commodities importadas: ' || n_commodities FROM r
+        UNION ALL SELECT 3, 'Lista de commodities:' FROM r
+        UNION ALL SELECT CAST(3 + row_number() OVER (ORDER BY commodity) AS INT), '- ' || commodity FROM c""",
+    "country_lines_missing": "SELECT 0 AS place, 'País não encontrado.' AS line",
+    "commodity_lines": f"""WITH {BRANDS}, c AS (SELECT DISTINCT country FROM imports WHERE commodity = 'Brand#12')
+        SELECT 0 AS place, 'Países que importam a commodity ''Brand#12'':' AS line, 'Brand#12' AS asked
+        UNION ALL SELECT CAST(row_number() OVER (ORDER BY country) AS INT), '- ' || country, 'Brand#12' FROM c
+        UNION ALL SELECT 0, 'Países que importam a commodity ''Brand'':', 'Brand'
+        UNION ALL SELECT 1, 'Nenhum país encontrado com essa commodity.', 'Brand'""",
+    "profile_lines": f"""
+        WITH a AS (SELECT r1.answer AS r1, r2.answer AS r2, r3.answer AS r3 FROM {ANSWERS} r1, {ANSWERS} r2, {ANSWERS} r3),
+        p AS (SELECT *, CAST(r1 = 's' AS INT) + CAST(r2 = 'N' AS INT) + CAST(r3 = 's' AS INT) AS points FROM a)
+        SELECT r1, r2, r3, 'Seu perfil de investidor é: ' || CASE WHEN points >= 2 THEN 'Conservador' WHEN points = 1 THEN 'Moderado' ELSE 'Ousado' END AS line FROM p""",
+    "sales_by_day_of_text": f"WITH {SALES}, {CLEAN} SELECT CAST(CAST(sold_at AS DATE) AS VARCHAR) AS day, {MONEY} AS total FROM cleaned GROUP BY 1",
+    "sales_status": f"""WITH {SALES}
+        SELECT count(*) AS n, 'ok' AS status, NULL AS warning FROM sales WHERE {IN_RANGE} AND payment = '1-URGENT'
+        UNION ALL SELECT 0, 'empty', 'Nenhum dado encontrado para os filtros selecionados.'""",
+    "note_header_items": f"""WITH {NOTES}, {ITEMS}
+        SELECT n.access_key, sold_at, payment, total, line_no, product, quantity, unit_price, item_total FROM notes n JOIN items i ON i.l_orderkey = n.o_orderkey WHERE NOT bad""",
+    "note_html_bodies": f"""WITH {ITEMS}
+        SELECT access_key, line_no, product, quantity, unit_price, item_total FROM items WHERE l_orderkey % 5 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders)""",
+    "stored_posts": """
+        SELECT event_id, 'Dados recebidos e armazenados com sucesso!' AS message, '2024-05-06 07:08:09' AS registered_at, true AS has_id FROM events WHERE event_id % 5 <> 1""",
+    "pms_stream_frames": f"""WITH w AS (SELECT {WORDS} FROM events WHERE event_id % 7 <> 0)
+        SELECT *, 0 AS place, 0 AS unused, CAST(66 + 77 + {BYTES} AS INT) AS checksum FROM w""",
+    "sensor_lines": f"""WITH w AS (SELECT {WORDS} FROM events WHERE event_id % 7 <> 0)
+        SELECT event_id, 'ADC bruto: ' || event_id % 1024 || '.00 RZero: 76.50 PPM estimado: 400.00' AS line FROM events
+        UNION ALL SELECT event_id, 'Qualidade do Ar (PM 2.5): ' || pm25_standard || ' ug/m3' FROM w""",
     "risk_profile_matrix": f"""
         WITH a AS (SELECT r1.answer AS r1, r2.answer AS r2, r3.answer AS r3 FROM {ANSWERS} r1, {ANSWERS} r2, {ANSWERS} r3),
         p AS (SELECT *, CAST(r1 = 's' AS INT) + CAST(r2 = 'N' AS INT) + CAST(r3 = 's' AS INT) AS points FROM a)
@@ -105,15 +153,13 @@ SQL = {
         WITH t AS (SELECT 'https://receipts.example/q?p=' || CASE WHEN o_orderkey % 4 = 0 THEN lpad(CAST(o_orderkey AS VARCHAR), 43, '1')
           ELSE lpad(CAST(o_orderkey AS VARCHAR), 50, '7') END || '|2|1' AS url FROM orders)
         SELECT url, nullif(regexp_extract(url, '[0-9]{44}'), '') AS access_key FROM t""",
-    "registry_new_keys": f"""WITH {REGISTRY}, s AS (
-          SELECT 'https://receipts.example/' || o_custkey || '?k=' || lpad(CAST(o_orderkey AS VARCHAR), 44, '0') AS url, lpad(CAST(o_orderkey AS VARCHAR), 44, '0') AS access_key
-          FROM orders WHERE o_orderkey % 2 = 0)
-        SELECT min(url) AS url, access_key FROM s WHERE access_key NOT IN (SELECT access_key FROM registry) GROUP BY access_key""",
+    "registry_new_keys": f"WITH {REGISTRY}, {SCANS} SELECT url, access_key FROM fresh",
+    "registry_insert": f"WITH {REGISTRY}, {SCANS} SELECT url, access_key, TIMESTAMP '2002-02-03 04:05:06' AS read_at FROM fresh",
     "registry_listing": f"WITH {REGISTRY} SELECT row_number() OVER (ORDER BY access_key) AS place, access_key FROM registry",
     "url_key_lookup": f"""WITH {REGISTRY}, f AS (SELECT url, arg_min(access_key, (read_at, access_key)) AS access_key FROM registry GROUP BY url)
         SELECT 'https://receipts.example/' || c_custkey AS url, access_key FROM customer LEFT JOIN f ON f.url = 'https://receipts.example/' || c_custkey""",
     "pending_notes": f"""WITH {REGISTRY}
-        SELECT * FROM registry WHERE access_key NOT IN (SELECT lpad(CAST(o_orderkey AS VARCHAR), 44, '0') FROM orders WHERE o_orderkey % 6 = 0)""",
+        SELECT * FROM registry WHERE access_key NOT IN (SELECT lpad(CAST(o_orderkey AS VARCHAR), 44, '0') FROM orders WHERE o_orderstatus = 'F')""",
     "locale_number_parse": """
         SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS INT) AS DOUBLE) AS quantity, CAST(printf('%.2f', l_extendedprice) AS DOUBLE) AS price,
           CASE WHEN l_linenumber NOT IN (1, 2) THEN CAST(printf('%.2f', l_extendedprice) AS DOUBLE) END AS total,
@@ -132,12 +178,12 @@ SQL = {
     "note_header_upsert": f"""WITH {NOTES}, incoming AS (SELECT access_key, sold_at, payment, total FROM notes WHERE NOT bad)
         SELECT * FROM incoming
         UNION ALL SELECT lpad(CAST(o_orderkey AS VARCHAR), 44, '0'), o_orderdate, 'old', 1.0 FROM orders
-        WHERE o_orderkey % 4 = 0 AND lpad(CAST(o_orderkey AS VARCHAR), 44, '0') NOT IN (SELECT access_key FROM incoming)""",
+        WHERE o_orderstatus = 'F' AND lpad(CAST(o_orderkey AS VARCHAR), 44, '0') NOT IN (SELECT access_key FROM incoming)""",
     "note_items_upsert": f"""WITH {ITEMS}, incoming AS (
           SELECT access_key, line_no, product, quantity, unit_price, item_total FROM items WHERE l_orderkey % 5 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders))
         SELECT * FROM incoming
         UNION ALL SELECT lpad(CAST(o_orderkey AS VARCHAR), 44, '0'), 1, 'old', 1.0, 1.0, 1.0 FROM orders
-        WHERE o_orderkey % 4 = 0 AND lpad(CAST(o_orderkey AS VARCHAR), 44, '0') NOT IN (SELECT access_key FROM incoming)""",
+        WHERE o_orderstatus = 'F' AND lpad(CAST(o_orderkey AS VARCHAR), 44, '0') NOT IN (SELECT access_key FROM incoming)""",
     "note_html_extract": f"""WITH {NOTES}, n AS (SELECT l_orderkey, count(*) AS n_items FROM lineitem GROUP BY ALL)
         SELECT access_key, sold_at, payment, total, CASE WHEN bad THEN 'rejected' ELSE 'saved' END AS status,
           CASE WHEN bad THEN 'total isn''t a number' END AS reason, n_items FROM notes JOIN n ON l_orderkey = o_orderkey""",

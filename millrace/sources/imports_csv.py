@@ -33,7 +33,7 @@ def load_imports(spark: SparkSession, path: str, mode: str = "permissive", multi
     """
     if mode not in ("permissive", "strict"):
         raise ValueError("mode is permissive or strict")
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", "UTF-8")
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("encoding", "UTF-8").option("columnPruning", False)  # else over-long rows pass as plain
     n = len(reader.csv(path).columns)
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(n)] + [StructField(BAD, StringType())])
     rows = reader.schema(schema).option("columnNameOfCorruptRecord", BAD).csv(path)

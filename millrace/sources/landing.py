@@ -23,26 +23,3 @@ def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
 def uploaded_images(spark: SparkSession, folder: str) -> DataFrame:
     """path and content of jpg, jpeg and png files."""
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,jpeg,png}").load(folder).select("path", "content")
-
-
-def decoded_codes(images: DataFrame) -> DataFrame:
-    """qr_text of each image's first code, null without one. Needs the optional packages cv2 and pyzbar."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def decode(contents: pd.Series) -> pd.Series:
-        import cv2
-        import numpy as np
-        from pyzbar import pyzbar
-
-        def first(content):
-            found = pyzbar.decode(cv2.imdecode(np.frombuffer(content, np.uint8), cv2.IMREAD_COLOR))
-            return found[0].data.decode("utf-8") if found else None
-
-        return contents.map(first)
-
-    return images.withColumn("qr_text", decode("content"))
-
-
-def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
-    return spark.read.option("rowTag", row_tag).schema(schema).xml(path)

@@ -69,6 +69,21 @@ def test_no_emission_is_saved_and_bad_pages_are_rejected(spark):
     assert all(notes[k].reason == "missing: emission" for k in (K[1], K[2], K[3]))
 
 
+def test_places_without_position_mean_any(spark):
+    """Items of all bodies and tables; a section that isn't the first of its name; the first total of several."""
+    one, two = ROW.format("a", "1", "2", "2"), ROW.format("b", "3", "4", "12")
+    whole = PAGE.format(rows=f"{one}</tbody><tbody>{two}", total="14", payment="x", day="05/06/2025 07:08:09")
+    tables = PAGE.format(rows=f"{one}</tbody></table><table><tbody>{two}", total="14</span><span>15", payment="x", day="05/06/2025 07:08:09")
+    shifted = whole.replace("<div>c</div><div><div>", "<div>c</div><div><div></div><div>")
+    for note in parse(spark, whole, tables, shifted).collect():
+        assert note.status == "saved" and note.total == 14.0 and [i["product"] for i in note["items"]] == ["a", "b"]
+
+
+def test_deep_pages(spark):
+    deep = "<b>" * 20_000 + "7" + "</b>" * 20_000
+    assert parse(spark, page(total=deep)).first().total == 7.0
+
+
 def test_upserts_are_idempotent(spark):
     notes = parse(spark, page(rows=(("a", "1", "2", "2"), ("a", "1", "2", "2"))), page(total="9"))
     old = spark.createDataFrame([(K[0], None, "old", 1.0), (K[5], None, "kept", 2.0)], "access_key string, sold_at timestamp_ntz, payment string, total double")

@@ -44,8 +44,9 @@ def test_udtf(spark):
 def test_stream_keeps_the_tail(spark, tmp_path):
     stream = b"\x00" + GOOD + frame(range(2, 14)) + GOOD
     chunks = [stream[i : i + 20] for i in range(0, len(stream), 20)]
+    chunks.insert(1, None)
     for i, chunk in enumerate(chunks):
-        spark.createDataFrame([("s", i, bytearray(chunk))], "sensor string, seq int, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame([("s", i, None if chunk is None else bytearray(chunk))], "sensor string, seq int, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     read = spark.readStream.schema("sensor string, seq int, data binary").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
     query = S.frames_of_streams(read).writeStream.format("memory").queryName("frames").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
