@@ -12,7 +12,7 @@ QUANTITY_LABEL = "Qtde.:"
 UNIT_PRICE_LABEL = "Vl. Unit.:"
 
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-NUMBER_CHARACTERS = "0123456789+-.eE"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(text: Column) -> Column:
@@ -21,9 +21,9 @@ def strip(text: Column) -> Column:
 
 
 def bare_double(bare: Column) -> Column:
-    """A finite decimal number without space around it, or null. Only its own characters pass, as casts also read 1d, inf and nan."""
-    number = F.when(F.translate(bare, NUMBER_CHARACTERS, "") == "", bare.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    """A finite decimal number without space around it, or null. Casts alone would also read 1d, inf and nan. The text is looked at once."""
+    number = F.regexp_substr(bare, F.lit(NUMBER)).try_cast("double")
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def strict_double(text: Column) -> Column:
@@ -47,12 +47,12 @@ def day_first_timestamp(text: Column) -> Column:
 
 
 def comma_text(text: Column, *labels: str, thousands: bool = False) -> Column:
-    """Labels removed, decimal comma turned into a point, stripped; empty text is null."""
+    """Labels removed, decimal comma turned into a point, stripped."""
     for label in labels:
         text = F.replace(text, F.lit(label), F.lit(""))
     if thousands:
         text = F.when(F.contains(text, F.lit(",")), F.replace(text, F.lit("."), F.lit(""))).otherwise(text)
-    return F.nullif(strip(F.replace(text, F.lit(","), F.lit("."))), F.lit(""))
+    return strip(F.replace(text, F.lit(","), F.lit(".")))
 
 
 def comma_double(text: Column, *labels: str, thousands: bool = False) -> Column:
@@ -61,9 +61,9 @@ def comma_double(text: Column, *labels: str, thousands: bool = False) -> Column:
 
 
 def comma_failed(text: Column, *labels: str, thousands: bool = False) -> Column:
-    """Whether the text holds something that isn't a number."""
+    """Whether the text holds something that isn't a number. An empty or null text fails nothing."""
     bare = comma_text(text, *labels, thousands=thousands)
-    return bare.isNotNull() & bare_double(bare).isNull()
+    return F.coalesce(bare != "", F.lit(False)) & bare_double(bare).isNull()
 
 
 def exact_sum(value: Column, scale: int = 8) -> Column:
