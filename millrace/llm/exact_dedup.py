@@ -7,7 +7,8 @@ each rare, so an ordinary shuffle by digest has no hot key.
 
 Texts are equal when identical after lower-casing A-Z. A null text counts as empty; empty texts are
 equal to each other. Of equal texts the row with the largest id stays (a null id is smallest). Rows that
-repeat both id and text are ties: exactly one of them stays. An empty table gives an empty result.
+repeat both id and text are ties: exactly one of them stays. Texts are read whole, however long, but only their digests are grouped.
+Other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,10 +74,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns. Only texts that may have to go are shuffled."""
     groups = exact_groups(docs, id_col, text_col, **options)
-    key, flag = fresh(docs, "row_key"), fresh(docs, "may_go")
-    keys = materialize(groups.select(F.xxhash64("doc_id", "text_sha256").alias(key), "kept"), "groups")
-    found = keys.groupBy(key).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    gone = materialize(found.where("not kept or n > 1").select(key, "kept"), "gone")  # of rows that repeat id and text one stays
-    keyed = may_be_in(docs.withColumn(key, F.xxhash64(F.col(id_col), text_digest(F.col(text_col)))), key, gone, key, flag)
-    doubtful = keyed.where(flag).join(gone.where("not kept").select(key), key, "left_anti").dropDuplicates([key])
+    own_id, digest, key, flag, gone_id, gone_digest = (fresh(docs, x) for x in ("own_id", "digest", "row_key", "may_go", "gone_id", "gone_digest"))
+    keys = materialize(groups.select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(digest), "kept"), "groups")
+    found = keys.groupBy(own_id, digest).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    gone = found.where("not kept or n > 1").withColumn(key, F.xxhash64(own_id, digest))  # of rows that repeat id and text one stays
+    gone = materialize(gone.select(own_id, digest, key, "kept"), "gone")
+    keyed = docs.withColumn(own_id, F.col(id_col)).withColumn(digest, text_digest(F.col(text_col))).withColumn(key, F.xxhash64(own_id, digest))
+    keyed = may_be_in(keyed, key, gone, key, flag)
+    dropped = gone.where("not kept").select(F.col(own_id).alias(gone_id), F.col(digest).alias(gone_digest))
+    same = F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone_digest))
+    doubtful = keyed.where(flag).join(dropped, same, "left_anti").dropDuplicates([own_id, digest])
     return keyed.where(f"not {flag}").select(docs.columns).unionByName(doubtful.select(docs.columns))

@@ -7,7 +7,8 @@ ranks go to which sequences at which offset; every piece then finds its place by
 within its length.
 
 A null or empty text is the separator alone. Repeated rows are packed as often as they occur; a null id is
-kept. An empty table gives no pieces. Only documents longer than ``capacity`` are cut.
+kept. A very long text is tokenised whole and cut into pieces; only documents longer than ``capacity`` are cut. Only the id and text
+columns are read, so other columns may have any name. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -166,11 +167,12 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 2048, salts: int = 16) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 2048, salt_rows: int = 500_000) -> DataFrame:
     """``pieces`` (at least doc_id, piece, length) with sequence_id and offset. Reads ``pieces`` three times."""
     spark = pieces.sparkSession
     counts = dict(pieces.groupBy("length").count().collect())  # at most ``capacity`` rows
     plan = F.broadcast(spark.createDataFrame(best_fit_plan(counts, capacity), PLAN))
+    salts = max(16, -(-max(counts.values(), default=0) // salt_rows))
     ranked = salted_rank(pieces, "length", ["doc_id", "piece"], salts)
     turn = "(rank - first_rank)"
     return ranked.join(plan, (ranked.length == plan.length) & F.expr("rank >= first_rank and rank < end_rank")).select(

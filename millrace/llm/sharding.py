@@ -6,7 +6,8 @@ small box of the metadata space. Rows are ordered by curve index and cut into ru
 narrow ranges in all dimensions at once and a filter on any of them skips most files.
 
 Law ``rows``: shard sizes differ by at most one row. Nulls in a dimension go to step 0, a null text has
-no bytes, repeated rows take slots of their own, and an empty table gives no rows.
+no bytes, repeated rows take slots of their own, and an empty table gives no rows. Texts are moved whole, however long. ``write_shards`` keeps
+all columns of the rows; its own are renamed where they clash.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import fresh, new_folder, salted_rank
+from millrace.llm.common import fresh, materialize, new_folder, salted_rank
 
 
 def hashed_step(value: Column, bits: int) -> Column:
@@ -53,7 +54,7 @@ def hilbert_curve(spark: SparkSession, dims: int, bits: int) -> DataFrame:
     return grid.select(F.col("id").alias("cell"), F.expr(curve).cast("int").alias("curve"))
 
 
-def hilbert_shards(rows: DataFrame, steps: list[Column], bits: int, shards: int, order: list[str], salts: int = 16) -> DataFrame:
+def hilbert_shards(rows: DataFrame, steps: list[Column], bits: int, shards: int, order: list[str], salt_rows: int = 500_000) -> DataFrame:
     """``rows`` with curve, shard and slot: runs of the curve with equal row counts.
 
     A first pass counts rows by cell, over the metadata columns alone. A cell's start is the number of rows
@@ -63,7 +64,8 @@ def hilbert_shards(rows: DataFrame, steps: list[Column], bits: int, shards: int,
     spark = rows.sparkSession
     number = sum((s.cast("int") * F.lit(1 << (bits * (len(steps) - 1 - i))) for i, s in enumerate(steps)), F.lit(0))
     placed = rows.withColumn("cell", number.cast("int")).join(F.broadcast(hilbert_curve(spark, len(steps), bits)), "cell").drop("cell")
-    counts = placed.groupBy("curve").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(placed.groupBy("curve").agg(F.count(F.lit(1)).alias("_n")), "cells")  # at most 65536 rows
+    salts = max(16, -(-(counts.agg(F.max("_n")).first()[0] or 0) // salt_rows))
     along = Window.partitionBy(F.lit(0)).orderBy("curve")
     starts = counts.select(
         "curve",

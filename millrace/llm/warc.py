@@ -10,7 +10,8 @@ the parts' bounds (one row a part), binary-searches that part's directory, range
 binary-searches its lines, and range-reads the record.
 
 A null html is an empty payload, a null url has the address urn:page:ID, a null page_id is kept as null. Rows that
-repeat page id and payload are alike: both are responses or both revisits. An empty table makes an empty archive.
+repeat page id and payload are alike: both are responses or both revisits. A very long payload is written and read whole. Line ends and tabs in a url
+are escaped. Only page_id, url and html are read, so other columns may have any name. An empty table makes an empty archive.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, materialize, new_folder, salted_lookup
+from millrace.llm.common import bounded_batches, materialize, may_be_in, new_folder, salted_lookup
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -48,6 +49,11 @@ class Archive:
     parts: DataFrame
 
 
+def one_line(url: str) -> str:
+    """Without characters that end a header or a field of an index line."""
+    return url.replace("\n", "%0A").replace("\r", "%0D").replace("\t", "%09")
+
+
 def reversed_host(url: str) -> str:
     """``com,example,www:8080)/path?query``: captures of a domain and its subdomains sort together."""
     try:
@@ -62,11 +68,11 @@ def reversed_host(url: str) -> str:
 def capture_key(url: str, page_id: int | None) -> str:
     """Sorts by reversed-host URL, then page id."""
     place = 0 if page_id is None else page_id + (1 << 63)
-    return f"{reversed_host(url)} {place:020d}".replace("\n", "%0A").replace("\r", "%0D")
+    return f"{reversed_host(one_line(url))} {place:020d}"
 
 
 def address(url: str | None, page_id: int | None) -> str:
-    return (url or f"urn:page:{page_id}").replace("\n", "%0A").replace("\r", "%0D")
+    return one_line(url or f"urn:page:{page_id}")
 
 
 def record_id(url: str, page_id: int | None) -> str:
@@ -259,7 +265,7 @@ def read_files(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator
 
 
 def mark_revisits(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, url, payload, payload_digest, target_id, target_url (null for responses)."""
+    """page_id, url, payload, payload_digest, target_id, target_url (null for responses). Only payloads that may have an equal are shuffled."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("payload_digest", F.sha1("payload"))
     large = F.octet_length("payload") >= least
@@ -270,8 +276,12 @@ def mark_revisits(pages: DataFrame, least: int) -> DataFrame:
         .where("n > 1")
         .select("payload_digest", F.col("target.page_id").alias("target_id"), F.col("target.url").alias("target_url"))
     )
-    spread = rows.withColumn("spread", F.xxhash64("page_id", "url"))
+    groups = materialize(groups, "equal-payloads")
+    marked = may_be_in(rows, "payload_digest", groups, "payload_digest", "_likely")
+    spread = marked.where("_likely").withColumn("spread", F.xxhash64("page_id", "url"))
     joined = salted_lookup(spread, groups, "payload_digest", "spread")
+    alone = marked.where("not _likely").withColumns({c: F.lit(None).cast(groups.schema[c].dataType) for c in ("target_id", "target_url")})
+    joined = joined.unionByName(alone, allowMissingColumns=True)
     other = F.col("target_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target_id"))
     return joined.select(
         "page_id",

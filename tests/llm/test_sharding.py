@@ -1,7 +1,10 @@
+import random
 import zlib
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
-from fixtures import clashing, documents, hard_documents
+from fixtures import DOCS, clashing, documents, hard_documents
 
 from millrace.llm import sharding as S
 
@@ -43,6 +46,25 @@ def test_written_shards_keep_the_rows(spark, tmp_path):
         assert slots == sorted(slots)
 
 
+def test_files_are_pruned_in_each_dimension(spark, tmp_path):
+    """A filter on any one dimension leaves most files out: on sizes by the ranges in the footers, on categories by the dictionaries."""
+    rng = random.Random(6)
+    rows = [(i, "t", rng.choice("abcdefgh"), f"s{rng.randrange(8)}", int(2 ** rng.uniform(0, 14))) for i in range(8000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    S.write_shards(docs, f"{tmp_path}/curve", shards=64)
+    docs.repartition(64).write.parquet(f"{tmp_path}/plain")
+
+    def share_read(folder, column, values):
+        hit = []
+        for path in (tmp_path / folder).glob("**/*.parquet"):
+            held = pq.ParquetFile(path).read([column]).column(column).unique().to_pylist()
+            hit += [min(held) <= v <= max(held) if column == "n_chars" else v in held for v in values]
+        return np.mean(hit)
+
+    for column, values in (("n_chars", [1, 30, 700, 9000]), ("lang", list("abcdefgh")), ("source", [f"s{k}" for k in range(8)])):
+        assert share_read("curve", column, values) < 0.5 < 0.95 < share_read("plain", column, values)
+
+
 def test_few_and_no_rows(spark):
     assert S.shard_documents(documents(spark).where("false")).count() == 0
     assert S.shard_documents(documents(spark, hard_documents()[:3])).count() == 3

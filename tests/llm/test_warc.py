@@ -15,7 +15,7 @@ def rows():
     rng = random.Random(2)
     big = ["é" * 700, "x" * 1000, "y" * 999]
     made = [(i, f"https://h{rng.randrange(5)}.example.org:8080/p{rng.randrange(9)}?q={i % 3}", rng.choice([*big, f"page {i} " * 200])) for i in range(300)]
-    return made + [(400, None, None), (401, "", ""), (402, "not a url\n", "z" * 2000), (None, "http://a.b/", "n" * 1500), (403, "http://[bad", "r\r\n\r\nWARC/1.1\r\n" * 200), made[5], (-7, "http://h.example/", "x" * 1000)]
+    return made + [(400, None, None), (401, "", ""), (402, "not a url\n", "z" * 2000), (None, "http://a.b/", "n" * 1500), (404, "no host\tpath", "t" * 1500), (405, "http://t.example/a\tb", "t" * 1500), (406, "other", "t" * 1500), (403, "http://[bad", "r\r\n\r\nWARC/1.1\r\n" * 200), made[5], (-7, "http://h.example/", "x" * 1000)]
 
 
 def wanted(rows):
@@ -40,6 +40,11 @@ def test_report(spark, rows):
     assert W.archive_report(df.where("false")).collect() == []
 
 
+def test_a_tab_in_the_url_of_a_response(spark):
+    rows = [(2, "no host\tpath", "t" * 1500), (1, "a", "t" * 1500), (4, "http://t.example/a\tb\r\n", "u" * 1500), (3, "\t", "u" * 1500)]
+    assert sorted(map(tuple, W.archive_report(spark.createDataFrame(rows, SCHEMA)).collect())) == sorted(wanted(rows))
+
+
 def test_files_and_lookups(spark, rows):
     archive = W.write_archive(spark.createDataFrame(rows, SCHEMA), block_lines=7, file_bytes=20_000)
     manifest = archive.manifest.collect()
