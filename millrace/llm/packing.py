@@ -31,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 SEQUENCES = "sequence_id long, length long, ids binary, pieces array<struct<offset: long, doc_id: long, piece: int, start: long, length: long>>"
 PLAN = "length long, first_rank long, end_rank long, first_sequence long, in_each long, first_offset long"
 #: Words whose ids a worker remembers, in each of two generations.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000
 
 
 class WordCache:
@@ -93,11 +93,16 @@ class WordCache:
                 self.tails = {}
             yield from map(found.__getitem__, words[i : i + 256])
 
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        known = self.recent.covering(set().union(*split))
-        for words in split:
-            yield b"".join(map(known.__getitem__, words))
+    def ids(self, texts: list[str | bytes | None]) -> Iterator[bytes]:
+        split = [(t.encode("utf-8", "replace") if isinstance(t, str) else t or b"").split() for t in texts]
+        known = self.recent.young
+        found = [list(map(known.get, words)) for words in split]
+        lacking = [None in ids for ids in found]
+        new = {w for words, ids, some in zip(split, found, lacking) if some for w, x in zip(words, ids) if x is None}
+        if new:
+            known = self.recent.covering(new)
+        for words, ids, some in zip(split, found, lacking):
+            yield b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if some else ids)
 
 
 @lru_cache(maxsize=2)
@@ -115,7 +120,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, sepa
     kept = id_type(path, separator)
     for batch in batches:
         rows = []
-        for doc_id, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1).to_pylist())):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1).cast(pa.binary()).to_pylist())):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]

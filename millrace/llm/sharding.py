@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import fresh, materialize, new_folder, salted_rank
+from millrace.llm.common import fresh, materialize, new_folder
 
 
 def hashed_step(value: Column, bits: int) -> Column:
@@ -55,32 +55,32 @@ def hilbert_curve(spark: SparkSession, dims: int, bits: int) -> DataFrame:
 
 
 def hilbert_shards(rows: DataFrame, steps: list[Column], bits: int, shards: int, order: list[str], salt_rows: int = 500_000) -> DataFrame:
-    """``rows`` with curve, shard and slot: runs of the curve with equal row counts.
+    """``rows`` with curve, shard and slot: runs of the curve with equal row counts. They come in order of the curve.
 
-    A first pass counts rows by cell, over the metadata columns alone. A cell's start is the number of rows
-    in earlier cells; a row's place is that start plus its rank in its cell, taken salt by salt so that
-    one hot cell isn't sorted by one task. Shard and slot follow from the place by arithmetic.
+    A first pass counts rows by cell, over the metadata columns alone. A cell is cut into salts by a hash, of about ``salt_rows`` rows
+    or less, so that one hot cell isn't sorted by one task. Rows are moved once, into ranges of cells and salts: a row's place is the number of rows in earlier
+    cells and salts plus its rank in its own. Shard and slot follow from the place by arithmetic.
     """
     spark = rows.sparkSession
     number = sum((s.cast("int") * F.lit(1 << (bits * (len(steps) - 1 - i))) for i, s in enumerate(steps)), F.lit(0))
     placed = rows.withColumn("cell", number.cast("int")).join(F.broadcast(hilbert_curve(spark, len(steps), bits)), "cell").drop("cell")
-    counts = materialize(placed.groupBy("curve").agg(F.count(F.lit(1)).alias("_n")), "cells")  # at most 65536 rows
-    salts = max(16, -(-(counts.agg(F.max("_n")).first()[0] or 0) // salt_rows))
-    along = Window.partitionBy(F.lit(0)).orderBy("curve")
-    starts = counts.select(
-        "curve",
-        (F.sum("_n").over(along) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"),
-    )
-    place = F.col("_before") + F.col("_in_cell")
-    shard = F.expr(f"cast(((_before + _in_cell) * {shards}) div _total as int)")
+    cells = materialize(placed.groupBy("curve").agg(F.count(F.lit(1)).alias("_n")), "cells")  # at most 65536 rows
+    salts = cells.select("curve", F.expr(f"greatest(8, _n div {salt_rows} + 1)").alias("_salts"))
+    salted = placed.join(F.broadcast(salts), "curve").withColumn("_salt", F.pmod(F.xxhash64(*order), "_salts")).drop("_salts")
+    counts = salted.groupBy("curve", "_salt").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as cells and salts, whatever the data's size
+    earlier = Window.partitionBy(F.lit(0)).orderBy("curve", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("curve", "_salt", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    within = Window.partitionBy("curve", "_salt").orderBy(*order)
+    shard = F.expr(f"cast((_place * {shards}) div _total as int)")
     first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
     return (
-        salted_rank(placed, "curve", order, salts, "_in_cell")
-        .join(F.broadcast(starts), "curve")
+        salted.repartitionByRange("curve", "_salt")
+        .withColumn("_row", F.row_number().over(within) - 1)
+        .join(F.broadcast(starts), ["curve", "_salt"])
+        .withColumn("_place", F.col("_before") + F.col("_row"))
         .withColumn("shard", shard)
-        .withColumn("slot", (place - first).cast("long"))
-        .drop("_before", "_total", "_in_cell")
+        .withColumn("slot", (F.col("_place") - first).cast("long"))
+        .drop("_before", "_total", "_place", "_row", "_salt")
     )
 
 
@@ -98,7 +98,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, bits: int = 4) ->
     """
     shard, slot, curve = (fresh(docs, n) for n in ("shard", "slot", "curve"))
     rows = shard_rows(docs, shards, bits).select("document.*", F.col("slot").alias(slot), F.col("curve").alias(curve), F.col("shard").alias(shard))
-    rows.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    rows.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
