@@ -31,7 +31,7 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{workspace(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows reads a table that outlives any executor, and work that several
@@ -39,7 +39,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

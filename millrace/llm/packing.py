@@ -14,7 +14,6 @@ columns are read, so other columns may have any name. An empty table gives no pi
 from __future__ import annotations
 
 import os
-import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 SEQUENCES = "sequence_id long, length long, ids binary, pieces array<struct<offset: long, doc_id: long, piece: int, start: long, length: long>>"
 PLAN = "length long, first_rank long, end_rank long, first_sequence long, in_each long, first_offset long"
 #: Words whose ids a worker remembers, in each of two generations.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 
 class WordCache:
@@ -112,7 +111,7 @@ def word_cache(path: str) -> WordCache:
 
 
 def id_type(path: str, separator: int) -> str:
-    """The type of a piece's ids, which are also compressed: two bytes where all ids fit, as pieces are moved twice."""
+    """The type of a piece's ids: two bytes where all ids fit, as pieces are moved twice."""
     return "<u2" if max(len(word_cache(path).ends_word) - 1, separator) < 1 << 16 else "<u4"
 
 
@@ -125,7 +124,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, sepa
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.compress(np.frombuffer(part, "<u4").astype(kept).tobytes(), 1)))
+                rows.append((doc_id, piece, at // 4, len(part) // 4, np.frombuffer(part, "<u4").astype(kept).tobytes()))
         columns = list(zip(*rows)) or [[]] * 5
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids"])
@@ -200,7 +199,7 @@ def assemble(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> It
     for batch in batches:
         parts = batch.column("parts")
         each, ends = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        ids = [zlib.decompress(x) for x in each.field("ids").to_pylist()]
+        ids = each.field("ids").to_pylist()
         whole = [np.frombuffer(b"".join(ids[a:b]), kept).astype("<u4").tobytes() for a, b in zip(ends, ends[1:])]
         names = ["offset", "doc_id", "piece", "start", "length"]
         pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([each.field(n) for n in names], names))
@@ -210,7 +209,7 @@ def assemble(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> It
 
 def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, separator: int = 0, **columns) -> DataFrame:
     """sequence_id, length, ids (of all pieces in order of offset, little-endian unsigned 32-bit), pieces (offset, doc_id, piece, start, length)."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer_path, capacity, separator, **columns), "pieces")
+    pieces = materialize(tokenize_pieces(docs, tokenizer_path, capacity, separator, **columns), "pieces", compression="zstd")
     part = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     packed = pack_pieces(pieces, capacity).groupBy("sequence_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     return packed.mapInArrow(partial(assemble, path=tokenizer_path, separator=separator), SEQUENCES)
