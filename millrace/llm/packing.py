@@ -22,6 +22,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ class WordCache:
         for i in range(0, len(words), 256):
             found, plain, stems, tails, other = {}, [], [], [], []
             for word in words[i : i + 256]:
-                text = word.decode()
+                text = word.decode("utf-8", "replace")
                 stem = text.rstrip(punctuation)
                 if not (stem.isalpha() and stem.lower().isalpha()):
                     other.append(word)
@@ -86,23 +87,29 @@ class WordCache:
                     stems.append(stem)
                     tails.append(tail)
             if other:
-                found.update(zip(other, self.alone([w.decode() for w in other])))
+                found.update(zip(other, self.alone([w.decode("utf-8", "replace") for w in other])))
             if stems:
                 found.update((w, ids + self.tails[t]) for w, ids, t in zip(plain, self.letters(stems), tails))
             if len(self.tails) > CACHED_WORDS // 10:
                 self.tails = {}
             yield from map(found.__getitem__, words[i : i + 256])
 
-    def ids(self, texts: list[str | bytes | None]) -> Iterator[bytes]:
-        split = [(t.encode("utf-8", "replace") if isinstance(t, str) else t or b"").split() for t in texts]
-        known = self.recent.young
-        found = [list(map(known.get, words)) for words in split]
-        lacking = [None in ids for ids in found]
-        new = {w for words, ids, some in zip(split, found, lacking) if some for w, x in zip(words, ids) if x is None}
-        if new:
-            known = self.recent.covering(new)
-        for words, ids, some in zip(split, found, lacking):
-            yield b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if some else ids)
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text. Arrow splits the texts, numbers a batch's distinct words and puts their ids in a row; only those are looked up."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = self.recent.covering(set(distinct))
+        placed = pa.array([known[w] for w in distinct], pa.large_binary()).take(words.indices)
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        if not len(placed):
+            yield from [b""] * len(texts)
+            return
+        _, offsets, data = placed.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[placed.offset :][ends].tolist()
+        whole = memoryview(data or b"")
+        for a, b in zip(cuts, cuts[1:]):
+            yield bytes(whole[a:b])
 
 
 @lru_cache(maxsize=2)
@@ -120,7 +127,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, sepa
     kept = id_type(path, separator)
     for batch in batches:
         rows = []
-        for doc_id, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1).cast(pa.binary()).to_pylist())):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1))):
             ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
