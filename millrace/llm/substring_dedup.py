@@ -5,11 +5,14 @@ windows have equal anchors, and consecutive windows with one anchor are one segm
 in one document only can't repeat. The others are dealt to shards by anchor; a shard holds each distinct segment once,
 with the smallest id of its documents.
 
-Each shard builds a compressed index of its segments: the Burrows-Wheeler transform of the word sequence in a
-wavelet matrix of packed bits. The segments are streamed against it from right to left, all in step: a backward
-search extends the match by a word, and once it is longer than ``window`` words it is cut back to that length
-(matching statistics capped at the threshold). Where it has the full length, the interval of the index holds all
-occurrences of the window, and the smallest document id in it decides.
+Within a shard a segment of the first document has no earlier one and is only indexed; one of the last document can be
+earlier than none and is only streamed; those between are both. The index holds the Burrows-Wheeler transform of the
+indexed words in a wavelet matrix of packed bits, two bit vectors that mark where index rows stop sharing their first
+``window`` and ``window - 1`` words, and the smallest document of each group of rows that share ``window``. Neither the
+words nor their order are kept. Segments are streamed against it from right to left, all in step: a backward search
+extends each match by a word, a match of ``window`` words is reported with the smallest document of its interval and then
+widened to the rows that share one word less (matching statistics capped at the threshold), and a match that can't be
+extended starts anew one word before its right end.
 
 An anchor with very many distinct segments is split by window hash into several shards. The pieces that this makes of its
 segments are made distinct before they are indexed, so no shard grows with the number of documents that share a window.
@@ -100,71 +103,86 @@ def cut_segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
         yield batch_of(list(zip(*out)) or [[]] * 8, PIECES)
 
 
+class BitVector:
+    """Packed bits with counts before each 64-bit word."""
+
+    def __init__(self, bits: np.ndarray):
+        padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
+        padded[: len(bits)] = bits
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]]).astype(np.int32)
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Set bits in [0, at)."""
+        block = at >> 6
+        return self.before[block] + np.bitwise_count(self.words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+
 class WaveletMatrix:
-    """Symbols as packed bit rows, with ranks by counts before each 64-bit word."""
+    """Symbols as rows of bits."""
 
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.levels = bits, []
         for shift in range(bits - 1, -1, -1):
             bit = (symbols >> shift) & 1
-            padded = np.zeros((len(bit) // 64 + 1) * 64, np.uint8)
-            padded[: len(bit)] = bit
-            words = np.packbits(padded, bitorder="little").view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)[:-1]]).astype(np.int32)
-            self.levels.append((shift, words, before, int(len(bit) - bit.sum())))
+            self.levels.append((shift, BitVector(bit), int(len(bit) - bit.sum())))
             symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
 
     def place(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where the prefix [0, at) of each symbol ends in the last row; minus ``place(symbols, 0)`` it is the rank."""
-        for shift, words, before, zeros in self.levels:
-            block = at >> 6
-            ones = before[block] + np.bitwise_count(words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for shift, row, zeros in self.levels:
+            ones = row.ones(at)
             at = np.where((symbols >> shift) & 1, zeros + ones, at - ones)
         return at
 
 
 class ShardIndex:
-    """FM-index of word sequences, each with the id of its earliest document."""
+    """FM-index of word sequences (64-bit hashes), each with the id of its document. What it holds a word: about 1.5 bits
+    for each bit of a symbol, 3 bits of boundaries, and 8 bytes a group of equal windows.
+    """
 
     def __init__(self, sequences: list[np.ndarray], doc_ids: np.ndarray, window: int):
         self.window = window
         lengths = np.array([len(s) for s in sequences])
-        self.starts = np.cumsum(lengths + 1) - lengths - 1
-        self.lengths = lengths
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        self.vocabulary, numbers = np.unique(np.concatenate(sequences), return_inverse=True)
         text = np.zeros(int((lengths + 1).sum()), np.int64)
-        _, numbers = np.unique(np.concatenate(sequences), return_inverse=True)
         inside = np.ones(len(text), bool)
-        inside[self.starts + lengths] = False
+        inside[starts + lengths] = False
         text[inside] = numbers + 1  # 0 ends a sequence
-        self.text, n = text, len(text)
-        symbols = int(text.max()) + 1
+        n, symbols = len(text), len(self.vocabulary) + 1
         # prefix doubling: ranks by the first 1, 2, 4, ... words, beyond the window; later words don't matter
-        rank, reach, early = text, 1, None
+        rank, reach, ranks = text, 1, {1: text}
         while True:
             following = np.zeros(n, np.int64)
             following[:-reach] = rank[reach:] + 1
             key = rank * (n + 2) + following
             order = np.argsort(key, kind="stable")
-            changed = np.concatenate([[0], (np.diff(key[order]) != 0).cumsum()])
-            if reach * 2 <= window:
-                early = (np.empty(n, np.int64), reach * 2)
-                early[0][order] = changed
             rank = np.empty(n, np.int64)
-            rank[order] = changed
+            rank[order] = np.concatenate([[0], (np.diff(key[order]) != 0).cumsum()])
             reach *= 2
             if reach > window:
                 break
-        early, known = early
-        shifted = np.zeros(n, np.int64)
-        shifted[: n - (window - known)] = early[window - known :] + 1
-        first, second = early[order], shifted[order]
-        edge = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(second) != 0)]))
-        group = np.zeros(n, np.int64)
-        group[edge] = 1
-        self.group = group.cumsum() - 1  # of index rows whose suffixes share the first ``window`` words
-        self.group_start, self.group_end = edge, np.append(edge[1:], n)
-        owner = np.repeat(doc_ids, lengths + 1)
-        self.earliest = np.minimum.reduceat(owner[order], edge)
+            ranks[reach] = rank
+
+        def edges(width: int) -> np.ndarray:
+            """Whether a row differs from the one before in its first ``width`` words: in a power of two from the left or up to the right end."""
+            differs = np.zeros(n, bool)
+            differs[0] = True
+            if width:
+                known = 1 << (width.bit_length() - 1)
+                shifted = np.zeros(n, np.int64)
+                shifted[: n - (width - known)] = ranks[known][width - known :] + 1
+                for part in (ranks[known][order], shifted[order]):
+                    differs[1:] |= np.diff(part) != 0
+            return differs
+
+        tight, loose = edges(window), edges(window - 1)
+        self.tight, self.loose = BitVector(tight), BitVector(loose)
+        self.loose_start = np.append(np.flatnonzero(loose), n).astype(np.int32)
+        self.documents, owner = np.unique(np.repeat(doc_ids, lengths + 1), return_inverse=True)
+        self.earliest = np.minimum.reduceat(owner[order], np.flatnonzero(tight)).astype(np.int32)
+        self.size = n
         self.wavelet = WaveletMatrix(text[order - 1], max(1, int(symbols - 1).bit_length()))
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:-1]
         every = np.arange(symbols)
@@ -173,28 +191,41 @@ class ShardIndex:
     def step(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.before[symbols] + self.wavelet.place(symbols, at) - self.origin[symbols]
 
-    def earliest_documents(self) -> list[np.ndarray]:
-        """For each sequence, the smallest document id of each of its windows."""
-        by_length = np.argsort(-self.lengths, kind="stable")
-        lengths, starts = self.lengths[by_length], self.starts[by_length]
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.text))
-        found = np.zeros((len(starts), int(lengths[0])), np.int64)
-        for done in range(int(lengths[0])):
-            live = int(np.searchsorted(-lengths, -done, side="left"))  # sequences with more words than ``done``
-            place = starts[:live] + lengths[:live] - 1 - done
-            symbols = self.text[place]
-            low[:live] = self.step(symbols, low[:live])
-            if done + 1 < self.window:
-                high[:live] = self.step(symbols, high[:live])
-                continue
-            # the match has ``window`` words or one more: cut it back to the rows that share ``window`` words
-            group = self.group[low[:live]]
-            low[:live], high[:live] = self.group_start[group], self.group_end[group]
-            found[np.arange(live), lengths[:live] - 1 - done] = self.earliest[group]
-        out: list = [None] * len(starts)
-        for k, sequence in enumerate(by_length):
-            out[sequence] = found[k, : lengths[k] - self.window + 1]
-        return out
+    def numbered(self, words: np.ndarray) -> np.ndarray:
+        """Symbols of words; -1 for words that the index doesn't have."""
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == words, at + 1, -1)
+
+    def earliest_documents(self, streamed: list[np.ndarray]) -> list[np.ndarray]:
+        """For each window of each streamed sequence the place in ``documents`` of the earliest that has it, -1 if none has."""
+        lengths = np.array([len(s) for s in streamed])
+        first = np.cumsum(lengths) - lengths
+        words = self.numbered(np.concatenate(streamed))
+        found = np.full(len(words), -1, np.int64)
+        live = np.flatnonzero(lengths >= self.window)
+        at = first[live] + lengths[live]  # the match is words [at, at + length)
+        begin, length = first[live], np.zeros(len(live), np.int64)
+        low, high = np.zeros(len(live), np.int64), np.full(len(live), self.size)
+        while len(live):
+            at = at - 1
+            known = words[at] > 0
+            symbols = np.where(known, words[at], 0)
+            low, high = self.step(symbols, low), self.step(symbols, high)
+            match = known & (low < high)
+            length = length + 1
+            whole = np.flatnonzero(match & (length == self.window))
+            row = low[whole]
+            found[at[whole]] = self.earliest[self.tight.ones(row + 1) - 1]
+            group = self.loose.ones(row + 1)
+            low[whole], high[whole], length[whole] = self.loose_start[group - 1], self.loose_start[group], self.window - 1
+            # a word that isn't known ends every window over it, other failures only those up to the match's right end
+            lost = np.flatnonzero(~match)
+            at[lost] = np.where(known[lost], at[lost] + length[lost] - 1, at[lost])
+            low[lost], high[lost], length[lost] = 0, self.size, 0
+            going = at - begin + length >= self.window  # words left of the match's right end
+            going &= at > begin
+            at, begin, length, low, high, live = (x[going] for x in (at, begin, length, low, high, live))
+        return [found[a : a + max(0, n - self.window + 1)] for a, n in zip(first.tolist(), lengths.tolist())]
 
 
 def search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -202,12 +233,24 @@ def search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
     held, size, last = [], 0, None
 
     def results():
-        sequences = [word_hashes(x[5].split()) for x in held]
-        index = ShardIndex(sequences, np.array([x[4] for x in held], np.int64), window)
+        ids = np.array([x[4] for x in held], np.int64)
+        edge = np.flatnonzero(np.append(True, np.diff(np.array([x[0] for x in held], np.int64)) != 0))
+        sizes = np.diff(np.append(edge, len(held)))
+        indexed = np.flatnonzero(ids < np.repeat(np.maximum.reduceat(ids, edge), sizes)).tolist()
+        streamed = np.flatnonzero(ids > np.repeat(np.minimum.reduceat(ids, edge), sizes)).tolist()
+        earlier: dict[int, np.ndarray] = {}
+        if indexed:
+            sequences = {k: word_hashes(held[k][5].split()) for k in {*indexed, *streamed}}
+            index = ShardIndex([sequences[k] for k in indexed], ids[indexed], window)
+            for k, places in zip(streamed, index.earliest_documents([sequences[k] for k in streamed])):
+                earlier[k] = np.where(places < 0, ids[k], np.minimum(index.documents[places], ids[k]))
         out = []
-        for (_, piece, split, _, _, _), earliest in zip(held, index.earliest_documents()):
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(earliest)) + 1, [len(earliest)]])
-            out += [(piece, split, a, b - a, int(earliest[a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        for k, (_, piece, split, count, doc_id, _) in enumerate(held):
+            if k not in earlier:
+                out.append((piece, split, 0, count, doc_id))
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(earlier[k])) + 1, [count]])
+            out += [(piece, split, a, b - a, int(earlier[k][a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return batch_of(list(zip(*out)), RUNS)
 
     for batch in batches:

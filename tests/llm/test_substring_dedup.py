@@ -77,17 +77,41 @@ def test_window_in_many_segments_is_indexed_once(spark, monkeypatch):
     assert runs.where("split").where(f"piece = {hottest['piece']}").count() == 1
 
 
-def test_backward_search_finds_all_windows():
-    rng = random.Random(1)
+@pytest.mark.parametrize("window", [1, 2, 12, 16])
+def test_backward_search_finds_all_windows(window):
+    """Of the indexed sequences, and of others that share some, or no, windows and words with them."""
+    rng = random.Random(window)
     texts = [[rng.choice("abc").encode() for _ in range(rng.randrange(12, 60))] for _ in range(40)]
+    others = [[rng.choice("abcd").encode() for _ in range(rng.randrange(0, 60))] for _ in range(40)]
+    others += [x[5:35] + rng.choice([[b"d"], [b"a", b"a"], []]) + y[3:40] for x, y in zip(texts, texts[1:])] + [[b"e"] * 30]
     ids = np.arange(40)[::-1].copy()
-    index = S.ShardIndex([word_hashes(t) for t in texts], ids, 12)
+    index = S.ShardIndex([word_hashes(t) for t in texts], ids, window)
     first = {}
     for t, d in zip(texts, ids):
-        for i in range(len(t) - 11):
-            first[tuple(t[i : i + 12])] = min(first.get(tuple(t[i : i + 12]), 99), int(d))
-    for t, earliest in zip(texts, index.earliest_documents()):
-        assert earliest.tolist() == [first[tuple(t[i : i + 12])] for i in range(len(t) - 11)]
+        for i in range(len(t) - window + 1):
+            first[tuple(t[i : i + window])] = min(first.get(tuple(t[i : i + window]), 99), int(d))
+    hits = 0
+    for t, places in zip(texts + others, index.earliest_documents([word_hashes(t) for t in texts + others])):
+        wanted = [first.get(tuple(t[i : i + window]), -1) for i in range(len(t) - window + 1)]
+        assert [int(index.documents[p]) if p >= 0 else -1 for p in places] == wanted
+        hits += sum(w >= 0 for w in wanted) if t in others else 0
+    assert hits > 100
+
+
+def test_result_comes_from_the_search(spark, monkeypatch):
+    """Only documents that are streamed against the index of earlier ones lose windows."""
+    rng = random.Random(8)
+    core = sentence(rng, 30)
+    rows = [(i, f"{sentence(rng, 15)} {core} {sentence(rng, 15)}", "", "", 0) for i in range(5)]
+    assert found(spark.createDataFrame(rows, DOCS), window=20, anchor=6) == brute(rows, 20)
+    batch = S.batch_of(list(zip(*[(7, d, False, len(t.split()) - 19, d, t.encode()) for d, t, *_ in rows])), "shard long, piece long, split boolean, count int, doc_id long, words binary")
+
+    def runs():
+        return [r for out in S.search_shards(iter([batch]), 20) for r in out.to_pylist()]
+
+    assert all(any(r["piece"] == d and r["earliest"] == 0 for r in runs()) for d in range(5))
+    monkeypatch.setattr(S.ShardIndex, "earliest_documents", lambda self, streamed: [np.full(max(0, len(s) - 19), -1) for s in streamed])
+    assert all(r["earliest"] == r["piece"] for r in runs())
 
 
 def test_wavelet_ranks():
