@@ -5,7 +5,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from fixtures import DOCS, hard_documents
+from fixtures import DOCS, clashing, hard_documents
 from test_exact_dedup import groups
 from test_ngram_join import brute as components
 from test_substring_dedup import brute as without
@@ -47,6 +47,30 @@ def test_stages(spark, folder):
     assert sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, folder).collect()) == sorted(tuple(r)[:5] for r in packed)
 
 
+def test_clashing_names(spark, folder, tmp_path):
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = clashing(plain)
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == wide.columns
+        assert {tuple(r[n] for n in wide.columns[5:]) for r in docs.collect()} == {tuple(range(len(wide.columns) - 5))}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(tuple(r)[:5] for r in packed) == sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, folder).collect())
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert (docs.columns, docs.count()) == ([c.split()[0] for c in DOCS.split(", ")], 0)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
