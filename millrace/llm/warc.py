@@ -4,13 +4,13 @@ Writing: each task writes its rows as records, one gzip member each, to files in
 equal payloads of at least ``least`` bytes one is a response and the others are revisits that point to it.
 Tasks may run twice: a file belongs to the archive only if the written manifest names it.
 
-Index: captures are sorted by reversed-host URL and page id, cut by range into parts, and each part is a
+Index: captures are sorted by reversed-host URL, page id and payload digest, cut by range into parts, and each part is a
 file of compressed blocks with a sparse directory of the blocks' first keys. A lookup finds the part among
 the parts' bounds (one row a part), binary-searches that part's directory, range-reads one block,
-binary-searches its lines, and range-reads the record.
+binary-searches its lines, and range-reads the record. Every payload that is read is compared with the digest in its header; a difference ends the job.
 
 A null html is an empty payload, a null url has the address urn:page:ID, a null page_id is kept as null. Rows that
-repeat page id and payload are alike: both are responses or both revisits. A very long payload is written and read whole. Line ends and tabs in a url
+repeat page id and payload are alike: both are responses or both revisits. Rows that repeat page id and url but not the payload are captures of their own. A very long payload is written and read whole. Line ends and tabs in a url
 are escaped. Only page_id, url and html are read, so other columns may have any name. An empty table makes an empty archive.
 """
 
@@ -65,24 +65,24 @@ def reversed_host(url: str) -> str:
     return f"{','.join(reversed(host.lower().split('.')))}{port}){path}" if host else url
 
 
-def capture_key(url: str, page_id: int | None) -> str:
-    """Sorts by reversed-host URL, then page id."""
+def capture_key(url: str, page_id: int | None, digest: str) -> str:
+    """Sorts by reversed-host URL, then page id, then the payload's hex digest. Captures with one key are alike in all of them."""
     place = 0 if page_id is None else page_id + (1 << 63)
-    return f"{reversed_host(one_line(url))} {place:020d}"
+    return f"{reversed_host(one_line(url))} {place:020d} {digest}"
 
 
 def address(url: str | None, page_id: int | None) -> str:
     return one_line(url or f"urn:page:{page_id}")
 
 
-def record_id(url: str, page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id} {url}'.encode('utf-8', 'replace')).digest())}>"
+def record_id(url: str, page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id} {digest} {url}'.encode('utf-8', 'replace')).digest())}>"
 
 
 def record(page_id: int | None, url: str, payload: bytes, digest: str, target: tuple[int, str] | None) -> bytes:
     head = {
         "WARC-Type": "revisit" if target else "response",
-        "WARC-Record-ID": record_id(url, page_id),
+        "WARC-Record-ID": record_id(url, page_id, digest),
         "WARC-Date": DATE,
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(),
@@ -93,7 +93,7 @@ def record(page_id: int | None, url: str, payload: bytes, digest: str, target: t
     if target:
         head |= {
             "WARC-Profile": PROFILE,
-            "WARC-Refers-To": record_id(target[1], target[0]),
+            "WARC-Refers-To": record_id(target[1], target[0], digest),
             "WARC-Refers-To-Target-URI": target[1],
             "WARC-Refers-To-Date": DATE,
             "Refers-To-Page-ID": str(target[0]),
@@ -111,6 +111,17 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
+def digest_of(fields: dict[str, str]) -> str:
+    """The hex digest that a record's header gives for its payload."""
+    return base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+
+
+def checked(fields: dict[str, str], payload: bytes) -> bytes:
+    if hashlib.sha1(payload).hexdigest() != digest_of(fields):
+        raise ValueError(f"the payload of {fields['WARC-Record-ID']} isn't what its digest says")
+    return payload
+
+
 def gzip_member(data: bytes, level: int) -> bytes:
     deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
     return deflate.compress(data) + deflate.flush()
@@ -144,7 +155,7 @@ def write_records(batches: Iterator[pa.RecordBatch], folder: str, level: int, fi
                 member = gzip_member(record(page_id, url, payload, digest, target), level)
                 out.write(member)
                 kind = "revisit" if target else "response"
-                rows.append((page_id, capture_key(url, page_id), url, kind, digest, f"{folder}/{name}", size, len(member)))
+                rows.append((page_id, capture_key(url, page_id, digest), url, kind, digest, f"{folder}/{name}", size, len(member)))
                 size += len(member)
             columns = list(zip(*rows)) or [[]] * 8
             types = (pa.int64(), *[pa.string()] * 5, pa.int64(), pa.int64())
@@ -222,8 +233,8 @@ def find_captures(batches: Iterator[pa.RecordBatch], parts: list[tuple[str, str,
         for key in batch.column(0).to_pylist():
             if key is not None and (found := index.find(key)):
                 page_id, kind, file, offset, length = found
-                _, payload = parse_record(zlib.decompress(read_range(file, offset, length), 31))
-                rows.append((key, page_id, kind, file, offset, length, payload))
+                fields, payload = parse_record(zlib.decompress(read_range(file, offset, length), 31))
+                rows.append((key, page_id, kind, file, offset, length, payload if kind == "revisit" else checked(fields, payload)))
         columns = list(zip(*rows)) or [[]] * 7
         types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in FOUND.split(", ")])
@@ -255,8 +266,8 @@ def read_files(batches: Iterator[pa.RecordBatch], rows_at_once: int) -> Iterator
             for data in members(file):
                 fields, payload = parse_record(data)
                 page_id, target = fields.get("Page-ID"), fields.get("WARC-Refers-To-Target-URI")
-                key = capture_key(target, int(fields["Refers-To-Page-ID"])) if target else None
-                rows.append((page_id and int(page_id), fields["WARC-Target-URI"], fields["WARC-Type"], key, None if target else payload))
+                key = capture_key(target, int(fields["Refers-To-Page-ID"]), digest_of(fields)) if target else None
+                rows.append((page_id and int(page_id), fields["WARC-Target-URI"], fields["WARC-Type"], key, None if target else checked(fields, payload)))
                 if len(rows) >= rows_at_once:
                     yield pack(rows)
                     rows = []

@@ -2,10 +2,13 @@ import gzip
 import hashlib
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import warc as W
+from millrace.llm.queries import OP8_SQL
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -45,6 +48,29 @@ def test_a_tab_in_the_url_of_a_response(spark):
     assert sorted(map(tuple, W.archive_report(spark.createDataFrame(rows, SCHEMA)).collect())) == sorted(wanted(rows))
 
 
+def test_one_page_and_url_with_two_payloads(spark):
+    """Against the SQL twin. The captures of one page differ by payload, and their lines fill several index blocks."""
+    a, b = "A" * 1500, "B" * 2000
+    rows = [(5, "u", a), (5, "u", b), (3, "v", b), (2, "v", a), (2, "v", b), (5, "w", a)] + [(9, "x", f"{i} " * 900) for i in range(40)] + [(8, "x", f"{i} " * 900) for i in range(40)] + [(9, "x", "7 " * 900)] * 30
+    rows += [(9, "y", "1 " * 900), (7, "x", "7 " * 900)]
+    found = sorted(map(tuple, W.archive_report(spark.createDataFrame(rows, SCHEMA)).collect()))
+    pages = pa.table(dict(zip(("page_id", "url", "html"), map(list, zip(*rows)))))  # noqa: F841  the twin's table
+    assert found == sorted(duckdb.sql(OP8_SQL).fetchall()) == sorted(wanted(rows))
+    archive = W.write_archive(spark.createDataFrame(rows, SCHEMA), block_lines=4)
+    manifest = archive.manifest.collect()
+    assert len({m.capture_key for m in manifest}) == len({(m.page_id, m.url, m.payload_digest) for m in manifest}) == len(set(rows))
+    held = W.lookup(archive, archive.manifest.where("record_type = 'response'").select("capture_key").distinct()).collect()
+    digests = {m.capture_key: m.payload_digest for m in manifest}
+    assert held and all(hashlib.sha1(r.payload).hexdigest() == digests[r.capture_key] for r in held)
+
+
+def test_a_changed_payload_is_noticed():
+    data = W.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
+    assert W.checked(*W.parse_record(data)) == b"payload"
+    with pytest.raises(ValueError, match="digest"):
+        W.checked(*W.parse_record(data.replace(b"payload\r\n\r\n", b"pAyload\r\n\r\n")))
+
+
 def test_files_and_lookups(spark, rows):
     archive = W.write_archive(spark.createDataFrame(rows, SCHEMA), block_lines=7, file_bytes=20_000)
     manifest = archive.manifest.collect()
