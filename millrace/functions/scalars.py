@@ -66,16 +66,6 @@ def comma_failed(text: Column, *labels: str, thousands: bool = False) -> Column:
     return F.coalesce(bare != "", F.lit(False)) & bare_double(bare).isNull()
 
 
-def exact_sum(value: Column, scale: int = 8) -> Column:
-    """A sum that doesn't depend on the order of rows: values are summed as decimals with ``scale`` digits behind the point.
-
-    Values that don't fit (20 digits before the point) are summed as doubles beside them. The result is a double; null without values.
-    """
-    exact = value.try_cast(f"decimal({20 + scale},{scale})")
-    fitting, other = F.sum(exact).cast("double"), F.sum(F.when(exact.isNull(), value.cast("double")))
-    return F.when(other.isNull(), fitting).otherwise(F.coalesce(fitting, F.lit(0.0)) + other)
-
-
 def euro_thousands(value: Column) -> Column:
     return F.concat(F.lit("€"), F.format_number(value, 2), F.lit(" mil euros"))
 

@@ -1,7 +1,8 @@
 """Import analytics: totals by country, distinct commodities, rankings and lookups in both directions.
 
 Every operator starts from (country, commodity, value) rows and aggregates by (country, commodity) first: that
-combines on the map side, and sums, distinct counts and lists all follow from the small result.
+combines on the map side, and sums, distinct counts and lists all follow from the small result. Values are doubles, and a total is their exactly
+rounded sum (``functions.sums``), or decimals, and a total is their sum as a double.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.scalars import euro_thousands, exact_sum, strict_double
+from millrace.functions import sums
+from millrace.functions.scalars import euro_thousands, strict_double
 
 
 def valid_imports(rows: DataFrame) -> DataFrame:
@@ -20,20 +22,30 @@ def valid_imports(rows: DataFrame) -> DataFrame:
 
 def commodity_totals(imports: DataFrame) -> DataFrame:
     """country, commodity, total: one row for each pair."""
-    return imports.groupBy("country", "commodity").agg(exact_sum(F.col("value")).alias("total"))
+    return sums.totals(imports, ["country", "commodity"], "value")
+
+
+def country_sums(imports: DataFrame, listed: bool) -> DataFrame:
+    """country, total, n_commodities and, if ``listed``, commodities (sorted). Totals are rounded once, not by commodity."""
+    names = {"commodities": F.array_sort(F.collect_list("commodity"))} if listed else {}
+    if sums.of_decimals(imports, "value"):
+        pairs = imports.groupBy("country", "commodity").agg(F.sum("value").alias("value"))
+        total = F.sum("value").cast("double").alias("total")
+        return pairs.groupBy("country").agg(total, F.count(F.lit(1)).alias("n_commodities"), *(c.alias(n) for n, c in names.items()))
+    # The bins of a pair are brought together, so that only its first one counts the commodity and names it.
+    parts = sums.with_digits(imports, "value").groupBy("country", "commodity", sums.BIN).agg(*sums.added_digits())
+    pairs = parts.groupBy("country", "commodity").agg(F.collect_list(F.struct(sums.BIN, *sums.DIGITS, sums.ODD)).alias("_bins"))
+    cut = pairs.select("country", "commodity", F.posexplode("_bins").alias("_place", "_b")).select("country", "commodity", "_place", "_b.*")
+    first = F.when(F.col("_place") == 0, F.col("commodity"))
+    held = {"n_commodities": F.count_if(F.col("_place") == 0)} | ({"commodities": F.collect_list(first)} if listed else {})
+    parts = cut.groupBy("country", sums.BIN).agg(*sums.added_digits(), *(c.alias(n) for n, c in held.items()))
+    merged = {"n_commodities": F.sum("n_commodities")} | ({"commodities": F.array_sort(F.flatten(F.collect_list("commodities")))} if listed else {})
+    return sums.from_bins(parts, ["country"], "total", merged)
 
 
 def country_rollup(imports: DataFrame) -> DataFrame:
     """country, total, n_commodities, commodities (sorted)."""
-    return (
-        commodity_totals(imports)
-        .groupBy("country")
-        .agg(
-            exact_sum(F.col("total")).alias("total"),
-            F.count(F.lit(1)).alias("n_commodities"),
-            F.array_sort(F.collect_list("commodity")).alias("commodities"),
-        )
-    )
+    return country_sums(imports, listed=True)
 
 
 def first_seen_commodities(imports: DataFrame, position: str) -> DataFrame:
@@ -45,14 +57,13 @@ def first_seen_commodities(imports: DataFrame, position: str) -> DataFrame:
 
 def import_ranking(imports: DataFrame, top: int = 10) -> DataFrame:
     """rank, country, total, n_commodities of the ``top`` totals; ties by country. Fewer countries give fewer rows."""
-    totals = (
-        commodity_totals(imports).groupBy("country").agg(exact_sum(F.col("total")).alias("total"), F.count(F.lit(1)).alias("n_commodities"))
-    )
+    totals = country_sums(imports, listed=False)
     best = totals.orderBy(F.desc("total"), "country").limit(top)  # one bounded partition from here on
     order = Window.orderBy(F.desc("total"), "country")
     return best.select(F.row_number().over(order).cast("long").alias("rank"), "country", "total", "n_commodities")
 
 
+# The texts of the lines below are those that users of such reports know.
 def ranking_lines(ranking: DataFrame) -> DataFrame:
     text = F.concat(F.col("rank").cast("string"), F.lit("º - "), "country", F.lit(": "), euro_thousands(F.col("total")))
     return ranking.select("rank", F.concat(text, F.lit(" - "), F.col("n_commodities").cast("string"), F.lit(" commodities")).alias("line"))
@@ -84,7 +95,7 @@ def commodity_lines(imports: DataFrame, commodity: str) -> DataFrame:
 def country_lookup(imports: DataFrame, country: str) -> DataFrame:
     """One row: country, found, total, n_commodities. Names are compared as they are."""
     asked = imports.sparkSession.createDataFrame([(country,)], "country string")
-    found = country_rollup(imports.where(F.col("country") == country)).drop("commodities")
+    found = country_sums(imports.where(F.col("country") == country), listed=False)
     return asked.join(F.broadcast(found), "country", "left").select("country", F.col("total").isNotNull().alias("found"), "total", "n_commodities")
 
 

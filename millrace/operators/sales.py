@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import exact_sum, reais
+from millrace.functions.scalars import reais
+from millrace.functions.sums import totals
 
 # Payment methods as the receipts spell them.
 ALL_PAYMENTS = "Todas"
@@ -65,17 +66,18 @@ def grain(name: str, with_year: bool = False) -> Column:
 
 
 def sales_by(sales: DataFrame, name: str, with_year: bool = False) -> DataFrame:
-    """key and total of cleaned sales, keys ascending. Null amounts add nothing; a null payment has no group."""
+    """key and total of cleaned sales, keys ascending. Null amounts add nothing; a null payment has no group. A total is the exactly rounded sum."""
     keyed = timed(sales).select(grain(name, with_year).alias(name), "total")
     if name == "payment":
         keyed = keyed.where(F.col(name).isNotNull())
-    return keyed.groupBy(name).agg(F.coalesce(exact_sum(F.col("total")), F.lit(0.0)).alias("total")).orderBy(name)
+    return totals(keyed, [name], "total").withColumn("total", F.coalesce("total", F.lit(0.0))).orderBy(name)
 
 
 def sales_metrics(sales: DataFrame) -> DataFrame:
     """One row: total, n, mean (over all rows; 0 without any). Computed before cleaning."""
-    sums = sales.agg(F.coalesce(exact_sum(F.col("total")), F.lit(0.0)).alias("total"), F.count(F.lit(1)).alias("n"))
-    return sums.select("total", "n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("mean"))
+    found = totals(sales, [], "total", counts={"n": F.count(F.lit(1))})
+    found = found.select(F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return found.select("total", "n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(0.0).alias("mean"))
 
 
 def metric_tiles(metrics: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def import_rows(spark: SparkSession, sf_dir: str, commodity: str = "p_type") ->
     return (
         lines.join(parts, lines.l_partkey == parts.p_partkey)
         .join(origin, lines.l_orderkey == origin.o_orderkey)
-        .select(F.col("n_name").alias("country"), F.col(commodity).alias("commodity"), F.col("l_extendedprice").alias("value"))
+        .select(F.col("n_name").alias("country"), F.col(commodity).alias("commodity"), F.col("l_extendedprice").cast("decimal(18,2)").alias("value"))
     )
 
 
@@ -59,6 +59,11 @@ def odd_sale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sale_rows(spark, sf_dir).withColumn("payment", payment)
 
 
+def in_cents(rows: DataFrame) -> DataFrame:
+    """Sales with amounts of money as decimals."""
+    return rows.withColumn("total", F.col("total").cast("decimal(18,2)"))
+
+
 def key_of(number: str) -> Column:
     return F.lpad(F.col(number).cast("string"), 44, "0")
 
@@ -192,25 +197,25 @@ def sales_filtered_whole_last_day(spark, sf_dir):
 
 
 def sales_metrics(spark, sf_dir):
-    return sales.sales_metrics(sales.filter_sales(sale_rows(spark, sf_dir), START, END))
+    return sales.sales_metrics(in_cents(sales.filter_sales(sale_rows(spark, sf_dir), START, END)))
 
 
 def sales_metrics_empty(spark, sf_dir):
-    return sales.sales_metrics(sales.filter_sales(sale_rows(spark, sf_dir), START, END, "Dinheiro"))
+    return sales.sales_metrics(in_cents(sales.filter_sales(sale_rows(spark, sf_dir), START, END, "Dinheiro")))
 
 
 def sales_metric_tiles(spark, sf_dir):
-    return sales.metric_tiles(sales.sales_metrics(sale_rows(spark, sf_dir)))
+    return sales.metric_tiles(sales.sales_metrics(in_cents(sale_rows(spark, sf_dir))))
 
 
 def sales_by_day(spark, sf_dir):
-    return sales.sales_by(sales.clean_sales(sale_rows(spark, sf_dir)), "day").withColumn("day", F.col("day").cast("string"))
+    return sales.sales_by(sales.clean_sales(in_cents(sale_rows(spark, sf_dir))), "day").withColumn("day", F.col("day").cast("string"))
 
 
 def sales_by_day_of_text(spark, sf_dir):
     """The same sums where the time of sale comes as text."""
     rows = sale_rows(spark, sf_dir).withColumn("sold_at", F.date_format("sold_at", "yyyy-MM-dd HH:mm:ss"))
-    return sales.sales_by(sales.clean_sales(rows), "day").withColumn("day", F.col("day").cast("string"))
+    return sales.sales_by(sales.clean_sales(in_cents(rows)), "day").withColumn("day", F.col("day").cast("string"))
 
 
 def sales_status(spark, sf_dir):
@@ -220,15 +225,34 @@ def sales_status(spark, sf_dir):
 
 
 def sales_by_week(spark, sf_dir):
-    return sales.sales_by(sales.clean_sales(sale_rows(spark, sf_dir)), "week")
+    return sales.sales_by(sales.clean_sales(in_cents(sale_rows(spark, sf_dir))), "week")
 
 
 def sales_by_month(spark, sf_dir):
-    return sales.sales_by(sales.clean_sales(odd_sale_rows(spark, sf_dir)), "month")
+    return sales.sales_by(sales.clean_sales(in_cents(odd_sale_rows(spark, sf_dir))), "month")
 
 
 def sales_by_payment(spark, sf_dir):
-    return sales.sales_by(sales.clean_sales(odd_sale_rows(spark, sf_dir)), "payment")
+    return sales.sales_by(sales.clean_sales(in_cents(odd_sale_rows(spark, sf_dir))), "payment")
+
+
+def exact_country_totals(spark, sf_dir):
+    """Products of doubles, summed as they are: each total is rounded once."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("country"), F.col("l_returnflag").alias("commodity"), (F.col("l_extendedprice") * F.col("l_tax")).alias("value"))
+    return imports.country_rollup(lines).select("country", "total", "n_commodities", F.array_join("commodities", "|").alias("commodities"))
+
+
+def exact_commodity_totals(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("country"), F.col("l_returnflag").alias("commodity"), (F.col("l_extendedprice") * F.col("l_tax")).alias("value"))
+    return imports.commodity_totals(lines)
+
+
+def exact_sales_by_day(spark, sf_dir):
+    return sales.sales_by(sales.clean_sales(sale_rows(spark, sf_dir)), "day").withColumn("day", F.col("day").cast("string"))
+
+
+def exact_sales_metrics(spark, sf_dir):
+    return sales.sales_metrics(sale_rows(spark, sf_dir))
 
 
 def payment_null_survives(spark, sf_dir):
@@ -489,7 +513,7 @@ QUERIES = [
     profile_lines, sales_by_day_of_text, sales_status, registry_insert, note_header_items, note_html_bodies, stored_posts, pms_stream_frames,
     sensor_lines, first_commodities, risk_profile_matrix, profile_recommendations, sales_filtered, sales_filtered_all,
     sales_filtered_whole_last_day, sales_metrics, sales_metrics_empty, sales_metric_tiles, sales_by_day, sales_by_week, sales_by_month,
-    sales_by_payment, payment_null_survives, access_key_extract, registry_new_keys, registry_listing, url_key_lookup, pending_notes,
+    sales_by_payment, exact_country_totals, exact_commodity_totals, exact_sales_by_day, exact_sales_metrics, payment_null_survives, access_key_extract, registry_new_keys, registry_listing, url_key_lookup, pending_notes,
     locale_number_parse, emission_timestamp_parse, note_status, note_items_exploded, note_header_upsert, note_items_upsert, note_html_extract,
     telemetry_decode, telemetry_dead_letter, required_field_gate, telemetry_stream_append, pms_decode, failed_reading_guard,
 ]

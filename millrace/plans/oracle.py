@@ -25,6 +25,9 @@ cleaned AS (
   FROM sales WHERE payment IS DISTINCT FROM '' AND payment IS DISTINCT FROM 'Valor a Pagar'
 )"""
 MONEY = "coalesce(CAST(sum(CAST(total AS DECIMAL(18, 2))) AS DOUBLE), 0)"
+# The double nearest to the sum of doubles that are multiples of 2**-52: sums of integers, rounded by reading their text.
+EXACT = "CAST(CAST(sum(CAST({} * 4503599627370496 AS HUGEINT)) AS VARCHAR) AS DOUBLE) / 4503599627370496"
+TAXES = "taxes AS (SELECT 'L' || l_linenumber AS country, l_returnflag AS commodity, l_extendedprice * l_tax AS value FROM lineitem)"
 IN_RANGE = "sold_at >= TIMESTAMP '1996-01-01' AND sold_at <= TIMESTAMP '1997-12-31'"
 REGISTRY = """
 registry AS (
@@ -146,6 +149,11 @@ SQL = {
     "sales_by_week": f"WITH {SALES}, {CLEAN} SELECT CAST(week(sold_at) AS INT) AS week, {MONEY} AS total FROM cleaned GROUP BY 1",
     "sales_by_month": f"WITH {ODD_SALES}, {CLEAN} SELECT CAST(month(sold_at) AS INT) AS month, {MONEY} AS total FROM cleaned GROUP BY 1",
     "sales_by_payment": f"WITH {ODD_SALES}, {CLEAN} SELECT payment, {MONEY} AS total FROM cleaned WHERE payment IS NOT NULL GROUP BY 1",
+    "exact_country_totals": f"""WITH {TAXES} SELECT country, {EXACT.format("value")} AS total, count(DISTINCT commodity) AS n_commodities,
+          array_to_string(list_sort(list(DISTINCT commodity)), '|') AS commodities FROM taxes GROUP BY country""",
+    "exact_commodity_totals": f"WITH {TAXES} SELECT country, commodity, {EXACT.format('value')} AS total FROM taxes GROUP BY ALL",
+    "exact_sales_by_day": f"WITH {SALES}, {CLEAN} SELECT CAST(CAST(sold_at AS DATE) AS VARCHAR) AS day, {EXACT.format('total')} AS total FROM cleaned GROUP BY 1",
+    "exact_sales_metrics": f"WITH {SALES} SELECT {EXACT.format('total')} AS total, count(*) AS n, {EXACT.format('total')} / count(*) AS mean FROM sales",
     "payment_null_survives": f"""WITH {ODD_SALES}, {CLEAN}
         SELECT 'before' AS step, count(*) AS n, count(*) FILTER (payment IS NULL) AS n_null FROM sales
         UNION ALL SELECT 'after', count(*), count(*) FILTER (payment IS NULL) FROM cleaned""",

@@ -54,10 +54,3 @@ def test_formats(spark):
 def test_valid_utf8(spark):
     rows = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xff"),), (None,)], "b binary")
     assert [r[0] for r in rows.select(S.valid_utf8(F.col("b"))).collect()] == ["ok", None, None]
-
-
-def test_exact_sum_keeps_small_and_takes_large_values(spark):
-    total = lambda *v: spark.createDataFrame([(x,) for x in v], "v double").agg(S.exact_sum(F.col("v"))).first()[0]
-    assert total(0.004, 0.004) == 0.008 and total(*[0.1] * 10) == 1.0
-    assert total(1e17, 0.25) == 1e17 and total(1e300) == 1e300 and total(1e25, 1e25, 2.0) == 2e25
-    assert total(None, 0.5) == 0.5 and total(None) is None and total() is None
