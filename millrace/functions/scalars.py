@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,3 +83,27 @@ def timestamp_text(value: Column) -> Column:
 def valid_utf8(data: Column) -> Column:
     """Bytes as text; null where they aren't UTF-8."""
     return F.try_validate_utf8(data.cast("string"))
+
+
+#: JSON as its standard has it, whatever the session's settings.
+STRICT = {"mode": "PERMISSIVE"} | {
+    f"allow{x}": "false" for x in ("SingleQuotes", "UnquotedFieldNames", "NonNumericNumbers", "NumericLeadingZeros", "Comments", "BackslashEscapingAnyCharacter", "UnquotedControlChars")
+}
+
+
+def object_keys(text: Column) -> Column:
+    """The keys of a JSON object, repeated ones too; null for everything else.
+
+    The parser reads one value and ignores what follows it. As an element of an array of one, and of one of two, the text must be exactly one value: text that closes the
+    array itself gives both the same length.
+    """
+    size = lambda end: F.size(F.from_json(F.concat(F.lit("["), text, F.lit(end)), "array<string>", STRICT))
+    return F.when((size("]") == 1) & (size(",0]") == 2), F.json_object_keys(text))
+
+
+def name_based_id(space: uuid.UUID, name: Column) -> Column:
+    """The UUID of version 5 that ``name`` has in a name space."""
+    digest = F.sha1(F.concat(F.lit(space.bytes), name.cast("binary")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    last = F.concat(variant, F.substring(digest, 18, 3))
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), last, F.substring(digest, 21, 12))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -77,28 +74,6 @@ class SplitFrames:
             yield place, frame
 
 
-def frames_of_streams(chunks: DataFrame) -> DataFrame:
-    """sensor, frame of a stream of (sensor, seq, data) chunks; the tail of at most 31 bytes waits in the state. Null chunks are empty.
-
-    A trigger's chunks of a sensor are put in order of seq in one task: bound the source by files or bytes a trigger.
-    """
-
-    def advance(key, batches: Iterator[pd.DataFrame], state):
-        tail = bytes(state.get[0]) if state.exists else b""
-        arrived = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        found = []
-        for chunk in arrived["data"]:
-            frames, tail = take_frames(tail + bytes(chunk if chunk is not None else b""))
-            found += frames
-            if len(found) >= 10_000:
-                yield pd.DataFrame({"sensor": [key[0]] * len(found), "frame": found})
-                found = []
-        state.update((tail,))
-        yield pd.DataFrame({"sensor": [key[0]] * len(found), "frame": found})
-
-    return chunks.groupBy("sensor").applyInPandasWithState(advance, "sensor string, frame binary", "tail binary", "append", "NoTimeout")
-
-
 def drop_failed_readings(readings: DataFrame, humidity: str = "humidity", temperature: str = "temperature") -> DataFrame:
     """Without readings where either value is NaN."""
     return readings.where(~(F.isnan(humidity) | F.isnan(temperature)))

@@ -15,7 +15,8 @@ from millrace.functions.scalars import QUANTITY_LABEL, UNIT_PRICE_LABEL, comma_d
 from millrace.operators import imports, profile, receipts, sales, sensors
 from millrace.sources.folders import shared_folder
 from millrace.sources.imports_csv import load_imports
-from millrace.streaming import telemetry
+from millrace.sources.packets import record_messages, recorded_messages
+from millrace.streaming import stateful, stored_notes, telemetry
 
 START, END = date(1996, 1, 1), date(1997, 12, 31)
 URGENT = "1-URGENT"
@@ -154,6 +155,13 @@ def import_csv_strict(spark, sf_dir):
     return imports.country_rollup(imports.valid_imports(rows)).select("country", "total", F.array_join("commodities", "|").alias("commodities"))
 
 
+def import_csv_line_breaks(spark, sf_dir):
+    """Commodities with a line break inside their quotes; the files are read whole."""
+    broken = lambda plain: F.replace(plain, F.lit(', ""q""'), F.lit("\n\"\"q\"\""))
+    rows, _ = load_imports(spark, import_lines_file(spark, sf_dir, broken))
+    return imports.country_rollup(imports.valid_imports(rows)).select("country", "total", F.array_join("commodities", "|").alias("commodities"))
+
+
 def country_lines(spark, sf_dir):
     return imports.country_lines(import_rows(spark, sf_dir), "NATION_7")
 
@@ -168,20 +176,25 @@ def commodity_lines(spark, sf_dir):
     return told[0].unionByName(told[1])
 
 
-def profile_lines(spark, sf_dir):
-    return risk_profile_matrix(spark, sf_dir).select("r1", "r2", "r3", profile.profile_line(F.col("profile")).alias("line"))
+def customer_answers(spark, sf_dir):
+    """Answers that customers would give, by balance and segment; one in nine gives none that counts."""
+    yes = lambda c, no="n": F.when(c, "S").otherwise(no)
+    buyers = table(spark, sf_dir, "customer")
+    third = F.when(F.col("c_custkey") % 9 == 0, "maybe").otherwise(yes(F.col("c_mktsegment") > "FURN"))
+    return buyers.select("c_custkey", yes(F.col("c_acctbal") > 5000).alias("r1"), yes(F.col("c_acctbal") < 0, "N").alias("r2"), third.alias("r3"))
 
 
 def risk_profile_matrix(spark, sf_dir):
-    sides = spark.createDataFrame([("s",), ("N",)], "answer string")
-    rows = sides.toDF("r1").crossJoin(sides.toDF("r2")).crossJoin(sides.toDF("r3"))  # the eight combinations
     answers = [F.col(c) for c in ("r1", "r2", "r3")]
-    return rows.select("r1", "r2", "r3", profile.risk_points(*answers).alias("points"), profile.risk_profile(*answers).alias("profile"))
+    return customer_answers(spark, sf_dir).select("*", profile.risk_points(*answers).alias("points"), profile.risk_profile(*answers).alias("profile"))
+
+
+def profile_lines(spark, sf_dir):
+    return risk_profile_matrix(spark, sf_dir).select("c_custkey", profile.profile_line(F.col("profile")).alias("line"))
 
 
 def profile_recommendations(spark, sf_dir):
-    asked = spark.createDataFrame([(profile.CAUTIOUS,), (profile.BOLD,), ("Outro",)], "profile string")
-    return profile.recommendations(spark, asked)
+    return profile.recommendations(spark, risk_profile_matrix(spark, sf_dir).select("c_custkey", "profile")).select("c_custkey", "profile", "place", "item")
 
 
 def sales_filtered(spark, sf_dir):
@@ -261,6 +274,16 @@ def payment_null_survives(spark, sf_dir):
     return count(rows, "before").unionByName(count(sales.clean_sales(rows), "after"))
 
 
+def sales_report(spark, sf_dir):
+    """The dashboard's report for its own dates and choice, over orders that are 29 years younger: a row for each number."""
+    younger = in_cents(sale_rows(spark, sf_dir)).withColumn("sold_at", F.col("sold_at") + F.expr("interval 29 years"))
+    report = sales.sales_report(younger)
+    found = report["metrics"].select(F.lit("metrics").alias("part"), F.stack(F.lit(3), F.lit("total"), "total", F.lit("n"), F.col("n").cast("double"), F.lit("mean"), "mean").alias("key", "value"))
+    for name in sales.GRAINS:
+        found = found.unionByName(report[name].select(F.lit(name).alias("part"), F.col(name).cast("string").alias("key"), F.col("total").alias("value")))
+    return found
+
+
 def scan_rows(spark, sf_dir):
     digits = F.when(F.col("o_orderkey") % 4 == 0, F.lpad(F.col("o_orderkey").cast("string"), 43, "1")).otherwise(F.lpad(F.col("o_orderkey").cast("string"), 50, "7"))
     text = F.concat(F.lit(" \thttps://receipts.example/q?p="), digits, F.lit("|2|1 \n"))
@@ -447,6 +470,55 @@ def required_field_gate(spark, sf_dir):
     return telemetry.gate_required(posts).select("event_id", "status_code", "message")
 
 
+def repeated_key_gate(spark, sf_dir):
+    """Bodies with a repeated key are accepted, bodies with something behind the object or with bare keys aren't."""
+    full = '"temperatura": 2, "umidade_ar": null, "umidade_solo": 3}'
+    body = (
+        F.when(F.col("event_id") % 4 == 0, '{"temperatura": 1, ' + full)
+        .when(F.col("event_id") % 4 == 1, "{" + full + " x")
+        .when(F.col("event_id") % 4 == 2, F.replace(F.lit("{" + full), F.lit('"'), F.lit("'")))
+        .otherwise('{"umidade_ar": 1, "umidade_ar": 2, "temperatura": {"a": 1, "a": 2}}')
+    )
+    posts = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    return telemetry.gate_required(posts).select("event_id", "status_code", "message")
+
+
+def answered_posts(spark, sf_dir):
+    """What accepted posts are answered: an id made of their place, and their body with the stamp in place of the client's."""
+    body = F.concat(F.lit('{"temperatura": '), F.col("event_id").cast("string"), F.lit(', "umidade_ar": null, "umidade_solo": 3, "dataRegistro": "x"}'))
+    posts = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    gated = telemetry.gate_required(posts, registered_at=F.lit("2024-05-06 07:08:09").cast("timestamp"))
+    return telemetry.stored_posts(gated, delivery=["event_id"]).select("event_id", "id", "dados")
+
+
+def telemetry_stamp(spark, sf_dir):
+    """The time of receipt beside messages that hold one of their own."""
+    body = F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit(', "received_at": "x"}'))
+    messages = table(spark, sf_dir, "events").select("event_id", "ts", body.alias("payload"))
+    found = telemetry.good(telemetry.decode_telemetry(messages, received_at=F.col("ts")))
+    return found.select("event_id", telemetry.timestamp_text(F.col("received_at")).alias("received_at"), F.try_variant_get("doc", "$.received_at", "string").alias("sent"))
+
+
+def packet_messages(spark, sf_dir):
+    """Events recorded as publish packets of two topics; one topic read back as a batch."""
+    folder = shared_folder(spark, "packets")
+    topic = F.when(F.col("event_id") % 3 == 0, "sensores/agua").otherwise("sensores/ar")
+    record_messages(message_rows(spark, sf_dir).withColumn("topic", topic), folder)
+    telemetry.allow_repeated_keys(spark)
+    found = telemetry.decode_telemetry(recorded_messages(spark, folder, "sensores/ar", streaming=False))
+    return found.groupBy("topic", F.coalesce("error_kind", F.lit("good")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.try_variant_get("doc", "$.k", "bigint")).alias("k"))
+
+
+def packet_stream(spark, sf_dir):
+    """The same packets as a stream, whose good messages and dead letters are stored in one pass."""
+    folder = shared_folder(spark, "packets")
+    record_messages(message_rows(spark, sf_dir).withColumn("topic", F.lit("sensores/ar")), f"{folder}/in")
+    decoded = telemetry.decode_telemetry(recorded_messages(spark, f"{folder}/in", "sensores/ar"))
+    telemetry.store_stream(decoded, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    kinds = [telemetry.outcomes(spark, f"{folder}/out", o).select(F.lit(o).alias("outcome"), "error_kind") for o in ("good", "dead")]
+    return kinds[0].unionByName(kinds[1]).groupBy("outcome", "error_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stored_posts(spark, sf_dir):
     """Accepted posts as they are stored and answered, with an id that nobody else has."""
     body = F.when(F.col("event_id") % 5 == 1, '{"temperatura": 1}').otherwise('{"temperatura": 1, "umidade_ar": null, "umidade_solo": 3, "dataRegistro": "x"}')
@@ -489,6 +561,54 @@ def pms_stream_frames(spark, sf_dir):
     return sensors.decode_frames(frames).select("event_id", "place", *sensors.FRAME_FIELDS)
 
 
+def chunk_stream(spark, sf_dir):
+    """Sensors' bytes in chunks of 20, out of order, as a stream."""
+    data = F.concat(F.unhex(F.lit("00FF")), "frame")
+    sensor = (F.col("event_id") % 16).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda i: F.struct((F.col("event_id") * 2 + i).alias("at"), F.substring(data, F.when(i == 0, 1).otherwise(21), F.when(i == 0, 20).otherwise(14)).alias("data")))
+    cut = frame_rows(spark, sf_dir).select(sensor.alias("sensor"), F.col("event_id").alias("event"), F.explode(pieces).alias("p")).select("sensor", (F.floor(F.col("event") / 16) * 2 + F.col("p.at") % 2).alias("seq"), "p.data")
+    folder = shared_folder(spark, "chunks")
+    cut.repartition(3, "seq").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(cut.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return stream, folder
+
+
+def pms_live_frames(spark, sf_dir):
+    """Frames of the sensors' streams, whatever the cuts into chunks and triggers."""
+    stream, folder = chunk_stream(spark, sf_dir)
+    frames = stateful.frames_of_streams(stream)
+    writer = frames.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    stateful.start(writer).awaitTermination()
+    return sensors.decode_frames(spark.read.schema(frames.schema).parquet(f"{folder}/out")).select("sensor", *sensors.FRAME_FIELDS)
+
+
+def registry_stream(spark, sf_dir):
+    """Scans as a stream against the registry of before 1998: each new key is appended once."""
+    registry = registry_rows(spark, sf_dir).where("read_at < timestamp_ntz'1998-01-01'")
+    folder = shared_folder(spark, "registry")
+    scans = key_scans(spark, sf_dir).select("url", "access_key")
+    scans.unionByName(scans).repartition(2).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stateful.append_keys(stateful.new_keys(stream, registry), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("url", "access_key")
+
+
+def note_store(spark, sf_dir):
+    """Notes upserted into stored tables in two batches, the first of them twice: headers beside the number of their items."""
+    notes = receipts.parse_notes(raw_notes(spark, sf_dir))
+    old = notes.where(F.crc32(F.col("access_key").cast("binary")) % 2 == 0).withColumn("payment", F.lit("old"))
+    folder = shared_folder(spark, "notes")
+    for source, batch, rows in (("load", 0, old), ("load", 0, old), ("load", 1, notes)):
+        stored_notes.upsert_notes(rows, folder, source, batch, buckets=8)
+    items = stored_notes.stored(spark, folder, "items").groupBy("access_key").agg(F.count(F.lit(1)).alias("n_items"))
+    return stored_notes.stored(spark, folder, "headers").join(items, "access_key")
+
+
+def climate_lines(spark, sf_dir):
+    """What the climate sensor shows of readings that haven't failed."""
+    return sensors.reading_lines(failed_reading_guard(spark, sf_dir)).select("event_id", "line")
+
+
 def sensor_lines(spark, sf_dir):
     """What the gas and the particulate sensor show."""
     events = table(spark, sf_dir, "events")
@@ -515,7 +635,8 @@ QUERIES = [
     sales_filtered_whole_last_day, sales_metrics, sales_metrics_empty, sales_metric_tiles, sales_by_day, sales_by_week, sales_by_month,
     sales_by_payment, exact_country_totals, exact_commodity_totals, exact_sales_by_day, exact_sales_metrics, payment_null_survives, access_key_extract, registry_new_keys, registry_listing, url_key_lookup, pending_notes,
     locale_number_parse, emission_timestamp_parse, note_status, note_items_exploded, note_header_upsert, note_items_upsert, note_html_extract,
-    telemetry_decode, telemetry_dead_letter, required_field_gate, telemetry_stream_append, pms_decode, failed_reading_guard,
+    import_csv_line_breaks, sales_report, repeated_key_gate, answered_posts, telemetry_stamp, packet_messages, packet_stream, pms_live_frames,
+    registry_stream, note_store, climate_lines, telemetry_decode, telemetry_dead_letter, required_field_gate, telemetry_stream_append, pms_decode, failed_reading_guard,
 ]
 
 

@@ -68,7 +68,15 @@ WORDS = "event_id, 28 AS framelen, " + ", ".join(
     )
 )
 BYTES = " + ".join(f"{w} // 256 + {w} % 256" for w in [x.split()[-1] for x in WORDS.split(", ")[1:]])
-ANSWERS = "(SELECT * FROM (VALUES ('s'), ('N')) AS v(answer))"
+PROFILES = """
+answers AS (
+  SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'S' ELSE 'n' END AS r1, CASE WHEN c_acctbal < 0 THEN 'S' ELSE 'N' END AS r2,
+    CASE WHEN c_custkey % 9 = 0 THEN 'maybe' WHEN c_mktsegment > 'FURN' THEN 'S' ELSE 'n' END AS r3 FROM customer
+), points AS (
+  SELECT *, CASE WHEN r3 <> 'maybe' THEN CAST(r1 = 'S' AS INT) + CAST(r2 = 'N' AS INT) + CAST(r3 = 'S' AS INT) END AS points FROM answers
+), profiles AS (
+  SELECT *, CASE WHEN points >= 2 THEN 'Conservador' WHEN points = 1 THEN 'Moderado' WHEN points = 0 THEN 'Ousado' END AS profile FROM points
+)"""
 RECOMMENDED = """(VALUES
   ('Conservador', 1, 'Ouro'), ('Conservador', 2, 'Alimentos básicos'), ('Conservador', 3, 'Energia (petróleo estável)'),
   ('Moderado', 1, 'Soja'), ('Moderado', 2, 'Minério de ferro'), ('Moderado', 3, 'Gás natural'),
@@ -103,6 +111,41 @@ SQL = {
     "import_csv_strict": """
         SELECT l_returnflag AS country, sum(CASE WHEN l_linenumber = 1 THEN 18 ELSE CAST(l_quantity AS INT) * 2 + 1 END) / 2 AS total,
           array_to_string(list_sort(list(DISTINCT l_linestatus || ', "q"')), '|') AS commodities FROM lineitem GROUP BY 1""",
+    "import_csv_line_breaks": """
+        SELECT l_returnflag AS country, sum(CAST(l_quantity AS INT) * 2 + 1) / 2 AS total,
+          array_to_string(list_sort(list(DISTINCT l_linestatus || chr(10) || '"q"')), '|') AS commodities FROM lineitem GROUP BY 1""",
+    "sales_report": f"""WITH sales AS (
+          SELECT o_orderkey AS sale, o_orderdate + INTERVAL 29 YEAR AS sold_at, o_orderpriority AS payment, o_totalprice AS total FROM orders
+          WHERE o_orderdate + INTERVAL 29 YEAR >= TIMESTAMP '2024-03-01' AND o_orderdate + INTERVAL 29 YEAR <= TIMESTAMP '2025-11-21'), {CLEAN}
+        SELECT 'metrics' AS part, 'total' AS key, {MONEY} AS value FROM sales
+        UNION ALL SELECT 'metrics', 'n', CAST(count(*) AS DOUBLE) FROM sales
+        UNION ALL SELECT 'metrics', 'mean', {MONEY} / count(*) FROM sales
+        UNION ALL SELECT 'day', CAST(CAST(sold_at AS DATE) AS VARCHAR), {MONEY} FROM cleaned GROUP BY 2
+        UNION ALL SELECT 'week', CAST(week(sold_at) AS VARCHAR), {MONEY} FROM cleaned GROUP BY 2
+        UNION ALL SELECT 'month', CAST(month(sold_at) AS VARCHAR), {MONEY} FROM cleaned GROUP BY 2
+        UNION ALL SELECT 'payment', payment, {MONEY} FROM cleaned WHERE payment IS NOT NULL GROUP BY 2""",
+    "repeated_key_gate": """
+        SELECT event_id, CASE event_id % 4 WHEN 0 THEN 201 ELSE 400 END AS status_code,
+          CASE event_id % 4 WHEN 0 THEN 'Dados recebidos e armazenados com sucesso!' WHEN 3 THEN 'Campo ''umidade_solo'' ausente no JSON' ELSE 'not a JSON object' END AS message FROM events""",
+    "answered_posts": """
+        WITH h AS (
+          SELECT event_id, sha1(unhex('501a3985f6815aa285a05dfed9cdc8e4') || encode('{"event_id":' || event_id || '}')) AS h FROM events)
+        SELECT event_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST(strpos('0123456789abcdef', h[17]) - 1 AS INT) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS id,
+          '{"temperatura": ' || event_id || ', "umidade_ar": null, "umidade_solo": 3, "dataRegistro": "2024-05-06 07:08:09"}' AS dados FROM h""",
+    "telemetry_stamp": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS received_at, 'x' AS sent FROM events",
+    "packet_messages": f"""WITH {MESSAGES}, k AS (
+          SELECT payload, CASE WHEN NOT coalesce(json_valid(payload), false) THEN 'not JSON' WHEN event_id % 10 = 2 THEN 'not an object' ELSE 'good' END AS kind FROM messages WHERE event_id % 3 <> 0)
+        SELECT 'sensores/ar' AS topic, kind, count(*) AS n, CAST(sum(CASE WHEN kind = 'good' THEN CAST(CASE WHEN json_valid(payload) THEN payload ELSE '{{}}' END ->> '$.k' AS BIGINT) END) AS BIGINT) AS k FROM k GROUP BY kind""",
+    "packet_stream": f"""WITH {MESSAGES}, k AS (
+          SELECT CASE WHEN NOT coalesce(json_valid(payload), false) THEN 'not JSON' WHEN event_id % 10 = 2 THEN 'not an object' END AS error_kind FROM messages)
+        SELECT CASE WHEN error_kind IS NULL THEN 'good' ELSE 'dead' END AS outcome, error_kind, count(*) AS n FROM k GROUP BY ALL""",
+    "pms_live_frames": f"""WITH w AS (SELECT {WORDS} FROM events WHERE event_id % 7 <> 0)
+        SELECT CAST(event_id % 16 AS INT) AS sensor, * EXCLUDE (event_id), 0 AS unused, CAST(66 + 77 + {BYTES} AS INT) AS checksum FROM w""",
+    "registry_stream": f"WITH {REGISTRY}, {SCANS} SELECT url, access_key FROM fresh",
+    "note_store": f"""WITH {NOTES}, {ITEMS}, n AS (SELECT l_orderkey, count(*) AS n_items FROM items GROUP BY ALL)
+        SELECT access_key, sold_at, payment, total, n_items FROM notes JOIN n ON l_orderkey = o_orderkey WHERE NOT bad""",
+    "climate_lines": """
+        SELECT event_id, printf('temperature: %.2f humidity: %.2f', value + 1, value) AS line FROM events WHERE event_id % 9 NOT IN (0, 4) AND NOT isnan(value)""",
     "country_lines": f"""WITH {ROLLUP}, c AS (SELECT DISTINCT commodity FROM imports WHERE country = 'NATION_7'), r AS (SELECT * FROM rolled WHERE country = 'NATION_7')
         SELECT 0 AS place, 'Dados do país: NATION_7' AS line FROM r
         UNION ALL SELECT 1, 'Valor total importado: €' || format('{{:,.2f}}', total) || ' mil euros' FROM r
@@ -115,10 +158,7 @@ SQL = {
         UNION ALL SELECT CAST(row_number() OVER (ORDER BY country) AS INT), '- ' || country, 'Brand#12' FROM c
         UNION ALL SELECT 0, 'Países que importam a commodity ''Brand'':', 'Brand'
         UNION ALL SELECT 1, 'Nenhum país encontrado com essa commodity.', 'Brand'""",
-    "profile_lines": f"""
-        WITH a AS (SELECT r1.answer AS r1, r2.answer AS r2, r3.answer AS r3 FROM {ANSWERS} r1, {ANSWERS} r2, {ANSWERS} r3),
-        p AS (SELECT *, CAST(r1 = 's' AS INT) + CAST(r2 = 'N' AS INT) + CAST(r3 = 's' AS INT) AS points FROM a)
-        SELECT r1, r2, r3, 'Seu perfil de investidor é: ' || CASE WHEN points >= 2 THEN 'Conservador' WHEN points = 1 THEN 'Moderado' ELSE 'Ousado' END AS line FROM p""",
+    "profile_lines": f"WITH {PROFILES} SELECT c_custkey, 'Seu perfil de investidor é: ' || profile AS line FROM profiles",
     "sales_by_day_of_text": f"WITH {SALES}, {CLEAN} SELECT CAST(CAST(sold_at AS DATE) AS VARCHAR) AS day, {MONEY} AS total FROM cleaned GROUP BY 1",
     "sales_status": f"""WITH {SALES}
         SELECT count(*) AS n, 'ok' AS status, NULL AS warning FROM sales WHERE {IN_RANGE} AND payment = '1-URGENT'
@@ -134,11 +174,8 @@ SQL = {
     "sensor_lines": f"""WITH w AS (SELECT {WORDS} FROM events WHERE event_id % 7 <> 0)
         SELECT event_id, 'ADC bruto: ' || event_id % 1024 || '.00 RZero: 76.50 PPM estimado: 400.00' AS line FROM events
         UNION ALL SELECT event_id, 'Qualidade do Ar (PM 2.5): ' || pm25_standard || ' ug/m3' FROM w""",
-    "risk_profile_matrix": f"""
-        WITH a AS (SELECT r1.answer AS r1, r2.answer AS r2, r3.answer AS r3 FROM {ANSWERS} r1, {ANSWERS} r2, {ANSWERS} r3),
-        p AS (SELECT *, CAST(r1 = 's' AS INT) + CAST(r2 = 'N' AS INT) + CAST(r3 = 's' AS INT) AS points FROM a)
-        SELECT *, CASE WHEN points >= 2 THEN 'Conservador' WHEN points = 1 THEN 'Moderado' ELSE 'Ousado' END AS profile FROM p""",
-    "profile_recommendations": f"SELECT profile, place, item FROM {RECOMMENDED} WHERE profile IN ('Conservador', 'Ousado')",
+    "risk_profile_matrix": f"WITH {PROFILES} SELECT * FROM profiles",
+    "profile_recommendations": f"WITH {PROFILES} SELECT c_custkey, profile, place, item FROM profiles JOIN {RECOMMENDED} USING (profile)",
     "sales_filtered": f"WITH {SALES} SELECT * FROM sales WHERE {IN_RANGE} AND payment = '1-URGENT'",
     "sales_filtered_all": f"WITH {SALES} SELECT * FROM sales WHERE {IN_RANGE}",
     "sales_filtered_whole_last_day": f"WITH {SALES} SELECT * FROM sales WHERE sold_at >= TIMESTAMP '1996-01-01' AND sold_at < TIMESTAMP '1998-01-01'",

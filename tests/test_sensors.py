@@ -3,6 +3,7 @@ import struct
 from pyspark.sql import functions as F
 
 from millrace.operators import sensors as S
+from millrace.streaming.stateful import frames_of_streams, start
 
 
 def frame(values, second=0x4D, wrong=0):
@@ -48,7 +49,7 @@ def test_stream_keeps_the_tail(spark, tmp_path):
     for i, chunk in enumerate(chunks):
         spark.createDataFrame([("s", i, None if chunk is None else bytearray(chunk))], "sensor string, seq int, data binary").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     read = spark.readStream.schema("sensor string, seq int, data binary").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    query = S.frames_of_streams(read).writeStream.format("memory").queryName("frames").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = start(frames_of_streams(read).writeStream.format("memory").queryName("frames").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True))
     query.awaitTermination()
     assert [bytes(r.frame) for r in spark.sql("SELECT frame FROM frames").collect()] == [GOOD, frame(range(2, 14)), GOOD]
 
