@@ -11,7 +11,8 @@ order of visit, holds ``recall`` of the nearest ones. A larger table needs a sma
 
 The sample is bounded (``sample_rows`` vectors, chosen by a hash of the id); every vector is indexed. Entries are dealt to parts of about
 ``part_rows``: whole first centroids, or a salt of one that holds more, so neither a large cell nor a vector that repeats a million
-times meets in one task. A task holds the entries of one part and streams the queries that visit it; no entry is copied. The best ``k`` of
+times meets in one task. A task holds the entries of one part and streams the queries that visit it. Queries are dealt to blocks
+of about ``block_queries``, so a task's work is bounded; entries are copied for each block, of which tables of up to 20 x ``block_queries`` vectors have one. The best ``k`` of
 each part are merged by query row. No cell is capped. The work grows as queries x share x entries.
 
 Vectors that are null, zero, of another length than the index, or hold a null or non-finite component take no
@@ -221,6 +222,7 @@ def search(
     most_centroids: int = 256,
     sample_rows: int = 20_000,
     part_rows: int = 4_096,
+    block_queries: int = 20_000,
     share: float | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -262,10 +264,14 @@ def search(
             yield pd.DataFrame(out, columns=["parts", "depths"])
 
     dealt = F.broadcast(spark.createDataFrame(parts, "row int, first int, salts int"))
-    held = entries.join(dealt, "row").withColumn("part", F.expr("cast(first + pmod(xxhash64(row_id), salts) as int)"))
+    chosen = entries.where(is_query(F.col("vec_id")))
+    blocks = -(-chosen.count() // block_queries) or 1
+    held = entries.join(dealt, "row").withColumn("part", F.expr("first + pmod(xxhash64(row_id), salts)"))
+    held = held.withColumn("part", F.explode(F.sequence(F.col("part") * blocks, F.col("part") * blocks + (blocks - 1))))
     held = held.select("part", F.lit(False).alias("query"), "row_id", "vec_id", "vector", "row", "col", F.lit(None).cast("binary").alias("depths"))
-    asked = entries.where(is_query(F.col("vec_id"))).withColumn("visit", visits("vector"))
-    asked = asked.select(F.explode("visit.parts").alias("part"), F.lit(True).alias("query"), "row_id", "vec_id", "vector", "row", "col", "visit.depths")
+    block = F.pmod(F.xxhash64(F.col("row_id"), F.lit(1)), F.lit(blocks))
+    asked = chosen.withColumn("visit", visits("vector")).withColumn("part", F.explode("visit.parts"))
+    asked = asked.select((F.col("part") * blocks + block).alias("part"), F.lit(True).alias("query"), "row_id", "vec_id", "vector", "row", "col", "visit.depths")
     both = held.unionByName(asked).repartition("part").sortWithinPartitions("part", "query")
     found = both.mapInArrow(partial(best_of_part, shared=counted, k=k), FOUND)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")

@@ -62,14 +62,13 @@ def salt_of(by: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")
 
 
-def salted_rank(df: DataFrame, key: str, order: list[str], salts: int, name: str = "rank") -> DataFrame:
+def salted_rank(df: DataFrame, key: str, order: list[str], salts: DataFrame, name: str = "rank") -> DataFrame:
     """0-based rank of each row within ``key``, gapless, without gathering a key in one task.
 
-    Rows are dealt by (key, salt); each salt's start is the number of rows in the key's earlier salts.
-    The table of starts has at most (distinct keys x ``salts``) rows, so ``key`` must have a bounded
-    domain; it is then safe to broadcast.
+    ``salts`` (``key``, _salts) says for each key into how many salts it is cut. Rows are dealt by (key, salt); each salt's start is the number of rows in the key's
+    earlier salts. Both tables are broadcast: the starts have as many rows as ``salts`` adds up to, which the caller must keep small.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salted = df.join(F.broadcast(salts), key).withColumn("_salt", F.pmod(F.xxhash64(*order), "_salts").cast("int")).drop("_salts")
     earlier = Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         salted.groupBy(key, "_salt")

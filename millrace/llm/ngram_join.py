@@ -2,9 +2,11 @@
 
 Documents with equal shingle sets are one class (node). All shingles are ordered from rare to frequent (by a table of
 bucket counts over all documents). Two sets of Jaccard similarity t share at least ``m`` shingles among
-their first n - ceil(t*n) + m ones, for every m up to ceil(t*n). Each set picks its own m: where the
-counts foretell many candidates the prefix is lengthened, and a pair must then share the smaller m of its two
-sets before anything else is looked at. Pairs that share enough pass two exact upper bounds (sizes, and the Hamming distance of
+their first n - ceil(t*n) + m ones, for every m up to ceil(t*n). Each set picks its own m: where
+many candidates are foretold the prefix is lengthened, and a pair must then share the smaller m of its two
+sets before anything else is looked at. They are foretold by the bucket counts and, as these drown in noise when the corpus has far more shingles than
+there are buckets, by exact counts of a few shingles of each set: its smallest hashes, which near copies mostly share. The most frequent of these (``HEAVY`` at
+most) are known to every task, so the largest groups are foretold at any size of the corpus. Pairs that share enough pass two exact upper bounds (sizes, and the Hamming distance of
 parity bitmaps) before the sets themselves are compared.
 
 Sets that meet are kept together: each set belongs to a block, named by the prefix shingle that it shares with the
@@ -39,13 +41,15 @@ from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in
 from millrace.llm.shingles import mix, shingle_set, split_words
 
 BUCKET_BITS, CHUNKS = 21, 64
+#: Shingles of each set that are counted exactly, the least count that tells anything, and the most of them that tasks get.
+LOWEST, LEAST, HEAVY = 8, 3, 1 << 17
 #: The share of a set by which its prefix may be lengthened, in steps; and the cost of verifying a pair against listing it.
 STEPS, VERIFY_COST = (0.0, 0.02, 0.05, 0.1), 20.0
 #: Sets of a block, and shingles in it.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 #: Cells of a block's 0/1 matrices, and words of compared bitmaps, that are held at a time.
 MATRIX_CELLS, BITMAP_WORDS = 1 << 20, 1 << 19
-COUNTS = "chunk int, slot int, counts binary"
+COUNTS = "chunk int, slot int, counts binary, lowest array<bigint>"
 PASSED = "doc_id long, key long, n int, node long, m int, bitmap binary, token long"
 MATCHED = "low long, high long, node long, others array<bigint>"
 LINKED = "node long, n_links long, root long, others array<bigint>, shared array<int>"
@@ -82,18 +86,21 @@ def buckets(shingles: np.ndarray) -> np.ndarray:
 
 
 def count_buckets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """This task's number of sets for each bucket of shingles, in compressed chunks."""
+    """Each batch's lowest shingles of its sets; at the end this task's number of sets for each bucket of shingles, in compressed chunks."""
+    names, types = [c.split()[0] for c in COUNTS.split(", ")], (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
     counts, slot = np.zeros(1 << BUCKET_BITS, np.uint32), 0
     for batch in batches:
-        found = [buckets(s) for s in sets_of(batch.column(0).to_pylist(), width)]
+        sets = list(sets_of(batch.column(0).to_pylist(), width))
+        found = [buckets(s) for s in sets]
         if found:
+            lowest = np.concatenate([s[:LOWEST] for s in sets]).view(SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([None], [None], [None], [lowest]), types)], names)
             at, times = np.unique(np.concatenate(found), return_counts=True)
             counts[at] += times.astype(np.uint32)
             slot = (slot * 31 + int(at.sum()) + len(at)) % 251
-    rows = [(k, slot, zlib.compress(part.tobytes(), 1)) for k, part in enumerate(np.split(counts, CHUNKS)) if part.any()]
-    columns = list(zip(*rows)) or [[]] * 3
-    types = (pa.int32(), pa.int32(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["chunk", "slot", "counts"])
+    rows = [(k, slot, zlib.compress(part.tobytes(), 1), None) for k, part in enumerate(np.split(counts, CHUNKS)) if part.any()]
+    columns = list(zip(*rows)) or [[]] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
 def add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -114,8 +121,38 @@ def bucket_table(chunks: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def prefix(shingles: np.ndarray, table: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
-    """The set's prefix in global order, and the number m of it that a similar set shares at least."""
+class Rarity(NamedTuple):
+    """How many sets hold a shingle: counts by bucket, and exact ones of the most frequent lowest shingles (sorted). A fixed size."""
+
+    table: np.ndarray
+    heavy: np.ndarray
+    held: np.ndarray
+
+    def others(self, lowest: np.ndarray) -> np.ndarray:
+        """Of a set's lowest shingles how many other sets hold each, ascending; 0 where it isn't known to be frequent."""
+        if not len(self.heavy):
+            return np.zeros(len(lowest))
+        at = np.minimum(np.searchsorted(self.heavy, lowest), len(self.heavy) - 1)
+        return np.sort(np.where(self.heavy[at] == lowest, self.held[at] - 1.0, 0.0))
+
+
+def heavy_shingles(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ``HEAVY`` most frequent of the sets' lowest shingles, sorted, and how many sets hold them."""
+    times = counted.where("lowest is not null").select(F.explode("lowest").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    most = times.where(F.col("held") >= LEAST).orderBy(F.desc("held"), "token").limit(HEAVY).toArrow()
+    token = most.column("token").to_numpy().astype(SIGNED).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], most.column("held").to_numpy().astype(np.float64)[order]
+
+
+def foretold(lowest: np.ndarray, share: float) -> float:
+    """What the rarest ``share`` of a set adds up to, as a share of the whole, if its shingles are as its lowest ones (ascending counts)."""
+    k = len(lowest)
+    return float((np.clip(share * k - np.arange(k), 0, 1) * lowest).sum()) / k
+
+
+def prefix(shingles: np.ndarray, table: np.ndarray, noise: float, percent: int, lowest: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The set's prefix in global order, and the number m of it that a similar set shares at least. ``lowest``: what is known of its lowest shingles."""
     n = len(shingles)
     frequency = table[buckets(shingles)]
     order = np.lexsort((shingles, frequency))
@@ -125,7 +162,8 @@ def prefix(shingles: np.ndarray, table: np.ndarray, noise: float, percent: int)
     best, cost = 1, np.inf
     for step in STEPS:
         m = min(must, 1 + int(step * n))
-        listed = summed[n - must + m - 1]
+        length = n - must + m
+        listed = max(summed[length - 1], 0.0 if lowest is None else n * foretold(lowest, length / n))
         estimate = listed * (1 + VERIFY_COST / m)
         if estimate < cost:
             best, cost = m, estimate
@@ -134,8 +172,8 @@ def prefix(shingles: np.ndarray, table: np.ndarray, noise: float, percent: int)
 
 def prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, shared) -> Iterator[pa.RecordBatch]:
     """A row of PASSED for each document, and one for each prefix shingle of its set; a set met lately gives only the former."""
-    table = shared.value
-    noise = float(np.median(table[:: max(1, len(table) >> 16)])) * 1.5 + 2
+    rarity = shared.value
+    noise = float(np.median(rarity.table[:: max(1, len(rarity.table) >> 16)])) * 1.5 + 2
     recent: set[int] = set()
     fields = [c.split() for c in PASSED.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -152,7 +190,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, shared
             if len(recent) >= 100_000:
                 recent.clear()
             recent.add(node)
-            first, m = prefix(shingles, table, noise, percent)
+            first, m = prefix(shingles, rarity.table, noise, percent, rarity.others(shingles[:LOWEST]))
             docs.append((doc_id, key, len(shingles), node, m, parity_bitmap(shingles)))
             tokens.append(first)
             nodes.append(np.full(len(first), node, SIGNED))
@@ -378,7 +416,7 @@ class Join(NamedTuple):
         return pairs.join(sides[0], "a").join(sides[1], "b").select("id_a", "id_b", "n_a", "n_b", "shared")
 
     def by_document(self) -> DataFrame:
-        """doc_id, key, n_shingles, n_links (classes that this one links with), component_id of every document."""
+        """doc_id, key, n_shingles, component_id, n_links (classes that this one links with) of every document."""
         roots = components(self.links.select(F.col("node").alias("u"), F.col("root").alias("v")))
         held = self.links.groupBy("node").agg(F.sum("n_links").alias("n_links")).join(roots, "node")
         linked = materialize(self.classes.select("node", "doc_id").join(held, "node"), "linked-classes")
@@ -389,7 +427,7 @@ class Join(NamedTuple):
         # a class may hold a large share of the documents: nothing needs its rows together, so the join can split it
         known = self.members.where("node is not null").join(labels, "node", "left")
         alone = self.members.where("node is null").select("*", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-        columns = ["doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "n_links", "component_id"]
+        columns = ["doc_id", "key", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links"]
         return known.select(columns).unionByName(alone.select(columns))
 
 
@@ -398,7 +436,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    table = spark.sparkContext.broadcast(bucket_table(docs.select("text").mapInArrow(partial(count_buckets, width=width), COUNTS)))
+    counted = materialize(docs.select("text").mapInArrow(partial(count_buckets, width=width), COUNTS), "counted")
+    table = spark.sparkContext.broadcast(Rarity(bucket_table(counted.where("chunk is not null").select("chunk", "slot", "counts")), *heavy_shingles(counted)))
     passed = materialize(docs.mapInArrow(partial(prefixes, width=width, percent=percent, shared=table), PASSED), "passed")
     table.unpersist()
     members = passed.where("token is null").select("doc_id", "key", "n", "node")
@@ -415,7 +454,7 @@ def text_key(id_col: str, text_col: str):
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id (smallest id reachable by links, itself included)."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links, itself included), n_links."""
     return ngram_join(docs, width, percent, id_col, text_col).by_document().drop("key")
 
 

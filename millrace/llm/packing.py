@@ -179,12 +179,20 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
+def length_salts(counts: dict[int, int], salt_rows: int) -> list[tuple[int, int]]:
+    return [(length, max(16, -(-n // salt_rows))) for length, n in counts.items()]
+
+
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, salt_rows: int = 500_000) -> DataFrame:
-    """``pieces`` (at least doc_id, piece, length) with sequence_id and offset. Reads ``pieces`` three times."""
+    """``pieces`` (at least doc_id, piece, length) with sequence_id and offset. Reads ``pieces`` three times.
+
+    A length is cut into 16 salts, or one for each ``salt_rows`` of its pieces if that is more. What is broadcast has at most 16 rows a length, one more for each
+    ``salt_rows`` pieces, and the plan: 32768 rows and 2 for a million pieces, with a capacity of 2048.
+    """
     spark = pieces.sparkSession
     counts = dict(pieces.groupBy("length").count().collect())  # at most ``capacity`` rows
     plan = F.broadcast(spark.createDataFrame(best_fit_plan(counts, capacity), PLAN))
-    salts = max(16, -(-max(counts.values(), default=0) // salt_rows))
+    salts = spark.createDataFrame(length_salts(counts, salt_rows), "length long, _salts int")
     ranked = salted_rank(pieces, "length", ["doc_id", "piece"], salts)
     turn = "(rank - first_rank)"
     return ranked.join(plan, (ranked.length == plan.length) & F.expr("rank >= first_rank and rank < end_rank")).select(

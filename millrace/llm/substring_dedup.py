@@ -39,8 +39,8 @@ from millrace.llm.shingles import P1, P2, mix, split_words, window_hashes, word_
 INDEX_WORDS, SHARD_SEGMENTS = 250_000, 4_000
 PIECES_AT_ONCE = 20_000
 ANCHORS = "anchor long, segment long, row long, doc_id long, start int, count int"
-PIECES = "shard long, piece long, split boolean, segment long, place int, count int, doc_id long, words binary"
-RUNS = "piece long, split boolean, first int, count int, earliest long"
+PIECES = "shard long, piece long, split boolean, anchor long, segment long, place int, count int, doc_id long, words binary"
+RUNS = "shard long, piece long, split boolean, first int, count int, earliest long"
 KEPT = "row long, doc_id long, n_words long, n_removed long, kept string"
 
 
@@ -88,7 +88,7 @@ def cut_segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             for w in wanted:
                 start, count = w["start"], w["count"]
                 if w["splits"] == 1:
-                    out.append((w["anchor"], w["segment"], False, w["segment"], 0, count, doc_id, b" ".join(words[start : start + count + window - 1])))
+                    out.append((w["anchor"], w["segment"], False, w["anchor"], w["segment"], 0, count, doc_id, b" ".join(words[start : start + count + window - 1])))
                     continue
                 whole = window_hashes(word_hashes(words[start : start + count + window - 1]), window)
                 kind = whole % np.uint64(w["splits"])
@@ -96,11 +96,11 @@ def cut_segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
                 shard = mix(np.array([w["anchor"]], np.int64).view(np.uint64) + kind[cuts[:-1]] * P2).view(np.int64).tolist()
                 piece = run_hashes(whole, cuts[:-1], cuts[1:]).tolist()
                 for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    out.append((shard[k], piece[k], True, w["segment"], a, b - a, doc_id, b" ".join(words[start + a : start + b + window - 1])))
+                    out.append((shard[k], piece[k], True, w["anchor"], w["segment"], a, b - a, doc_id, b" ".join(words[start + a : start + b + window - 1])))
                 if len(out) >= PIECES_AT_ONCE:
                     yield batch_of(list(zip(*out)), PIECES)
                     out = []
-        yield batch_of(list(zip(*out)) or [[]] * 8, PIECES)
+        yield batch_of(list(zip(*out)) or [[]] * 9, PIECES)
 
 
 class BitVector:
@@ -245,12 +245,12 @@ def search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa
             for k, places in zip(streamed, index.earliest_documents([sequences[k] for k in streamed])):
                 earlier[k] = np.where(places < 0, ids[k], np.minimum(index.documents[places], ids[k]))
         out = []
-        for k, (_, piece, split, count, doc_id, _) in enumerate(held):
+        for k, (shard, piece, split, count, doc_id, _) in enumerate(held):
             if k not in earlier:
-                out.append((piece, split, 0, count, doc_id))
+                out.append((shard, piece, split, 0, count, doc_id))
                 continue
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(earlier[k])) + 1, [count]])
-            out += [(piece, split, a, b - a, int(earlier[k][a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            out += [(shard, piece, split, a, b - a, int(earlier[k][a])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         return batch_of(list(zip(*out)), RUNS)
 
     for batch in batches:
@@ -281,54 +281,59 @@ def remove_runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.R
 
 
 def repeated_runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """row, start, count of the windows of ``rows`` (row, doc_id, text) that an earlier document has too."""
+    """row, doc_id, start, count of the windows of ``rows`` (row, doc_id, text) that an earlier document has too.
+
+    A segment is known by its anchor and its hash, a row by its id and its hash: 64-bit hashes alone would confuse some of 10^12 segments, and a
+    confusion would take words out of a text. Among those with one anchor, or one id, it won't happen.
+    """
     found = materialize(rows.mapInArrow(partial(find_anchors, window=window, anchor=anchor), ANCHORS), "anchors")
     repeated = materialize(
         found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "repeated-anchors"
     )
     likely = may_be_in(found, "anchor", repeated, "anchor").where("may_be_in").drop("may_be_in")
     places = materialize(likely.join(repeated, "anchor", "left_semi"), "places")
-    first = F.min(F.struct("doc_id", "row", "start", "count", "anchor")).alias("s")
-    distinct = materialize(places.groupBy("segment").agg(first).select("segment", "s.*"), "distinct-segments")
+    first = F.min(F.struct("doc_id", "row", "start", "count")).alias("s")
+    distinct = materialize(places.groupBy("anchor", "segment").agg(first).select("anchor", "segment", "s.*"), "distinct-segments")
     # a piece of a split anchor may be a single window
     shards = f"if(count(1) < {SHARD_SEGMENTS}, 1, cast(1 + greatest(count(1) div {SHARD_SEGMENTS}, sum(count) * {window} div {INDEX_WORDS}) as int))"
     split_anchors = distinct.groupBy("anchor").agg(F.expr(shards).alias("splits")).where("splits > 1")
     marked = salted_lookup(distinct, split_anchors, "anchor", "segment").withColumn("splits", F.coalesce("splits", F.lit(1)))
-    by_row = materialize(marked.groupBy("row").agg(F.collect_list(F.struct("anchor", "segment", "start", "count", "splits")).alias("wanted")), "wanted")
-    texts = may_be_in(rows, "row", by_row, "row").where("may_be_in").drop("may_be_in").dropDuplicates(["row"])
-    pieces = materialize(texts.join(by_row, "row").select("doc_id", "text", "wanted").mapInArrow(partial(cut_segments, window=window), PIECES), "pieces")
+    by_row = materialize(marked.groupBy("row", "doc_id").agg(F.collect_list(F.struct("anchor", "segment", "start", "count", "splits")).alias("wanted")), "wanted")
+    texts = may_be_in(rows, "row", by_row, "row").where("may_be_in").drop("may_be_in").dropDuplicates(["row", "doc_id"])
+    pieces = materialize(texts.join(by_row, ["row", "doc_id"]).select("doc_id", "text", "wanted").mapInArrow(partial(cut_segments, window=window), PIECES), "pieces")
     columns = ["shard", "piece", "split", "count", "doc_id", "words"]
     parts = pieces.where("split").groupBy("shard", "piece", "split").agg(F.first("count").alias("count"), F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
     indexed = pieces.where("not split").select(columns).unionByName(parts.select(columns))
     found = materialize(indexed.repartition("shard").sortWithinPartitions("shard").mapInArrow(partial(search_shards, window=window), RUNS), "found-runs")
-    runs = found.where("not split").select(F.col("piece").alias("segment"), "first", "count", "earliest")
+    runs = found.where("not split").select(F.col("shard").alias("anchor"), F.col("piece").alias("segment"), "first", "count", "earliest")
     # a piece may lie in very many segments
-    inside = salted_lookup(pieces.where("split").select("piece", "segment", "place"), found.where("split").drop("split"), "piece", "segment", how="inner")
-    runs = runs.unionByName(inside.select("segment", (F.col("place") + F.col("first")).alias("first"), "count", "earliest"))
-    earlier = places.select("segment", "row", "doc_id", "start").join(runs, "segment").where("earliest < doc_id")
-    return earlier.select("row", (F.col("start") + F.col("first")).alias("start"), "count")
+    key = F.struct("shard", "piece").alias("key")
+    inside = salted_lookup(pieces.where("split").select(key, "anchor", "segment", "place"), found.where("split").select(key, "first", "count", "earliest"), "key", "segment", how="inner")
+    runs = runs.unionByName(inside.select("anchor", "segment", (F.col("place") + F.col("first")).alias("first"), "count", "earliest"))
+    earlier = places.select("anchor", "segment", "row", "doc_id", "start").join(runs, ["anchor", "segment"]).where("earliest < doc_id")
+    return earlier.select("row", "doc_id", (F.col("start") + F.col("first")).alias("start"), "count")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 15, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row (a hash of id and text), doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeated_runs(rows, window, anchor).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
+    runs = repeated_runs(rows, window, anchor).distinct().groupBy("row", "doc_id").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     runs = materialize(runs, "removed-runs")
     marked = may_be_in(rows, "row", runs, "row")
-    touched = marked.where("may_be_in").join(runs, "row", "left").select("row", "doc_id", "text", "runs")
+    touched = marked.where("may_be_in").join(runs, ["row", "doc_id"], "left").select("row", "doc_id", "text", "runs")
     whole = marked.where("not may_be_in").select("row", "doc_id", "text", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
     return touched.unionByName(whole).mapInArrow(partial(remove_runs, window=window), KEPT)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
     """``docs`` with repeated windows taken out of the text; texts that lose nothing stay as they are."""
-    id_col, key, new = options.get("id_col", "doc_id"), fresh(docs, "row_key"), fresh(docs, "new_text")
-    changed = remove_repeats(docs, text_col=text_col, **options).where("n_removed > 0").select(F.col("row").alias(key), F.col("kept").alias(new)).dropDuplicates([key])
+    id_col, key, own, new = options.get("id_col", "doc_id"), fresh(docs, "row_key"), fresh(docs, "own_id"), fresh(docs, "new_text")
+    changed = remove_repeats(docs, text_col=text_col, **options).where("n_removed > 0").select(F.col("row").alias(key), F.col("doc_id").alias(own), F.col("kept").alias(new)).dropDuplicates([key, own])
     changed = materialize(changed, "changed-texts")
     flag = fresh(docs, "may_be_in")
     keyed = may_be_in(docs.withColumn(key, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))), key, changed, key, flag)
-    touched = keyed.where(flag).join(changed, key, "left").withColumn(text_col, F.coalesce(new, text_col))
+    touched = keyed.where(flag).withColumn(own, F.col(id_col).cast("long")).join(changed, [key, own], "left").withColumn(text_col, F.coalesce(new, text_col))
     if length_col in docs.columns:
         touched = touched.withColumn(length_col, F.when(F.col(new).isNull(), F.col(length_col)).otherwise(F.length(new)).cast(docs.schema[length_col].dataType))
     return touched.select(docs.columns).unionByName(keyed.where(f"not {flag}").select(docs.columns))

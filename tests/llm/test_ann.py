@@ -43,6 +43,12 @@ def test_all_cells_give_brute_force(spark, rows):
         assert [r for r, *_ in sorted(hits)] == list(range(1, 8))
 
 
+def test_blocks_of_queries(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole, blocks = (sorted(map(tuple, A.search(df, lambda i: i % 100 == 0, k=7, most_centroids=8, part_rows=64, block_queries=b).collect())) for b in (20_000, 4))
+    assert whole == blocks
+
+
 def test_recall_of_part_of_the_cells(spark):
     """On 50,000 vectors without structure, with far fewer than half of the entries visited."""
     rng = np.random.default_rng(9)

@@ -129,6 +129,33 @@ def test_prefixes_share_enough():
             assert len(np.intersect1d(p, q)) >= min(m, k)
 
 
+def test_the_prefix_adapts_when_the_buckets_are_full():
+    """Every bucket holds thousands of other shingles, so its counts tell nothing; sets that 200 near copies share are still foretold, others aren't."""
+    rng = np.random.default_rng(6)
+    table = rng.poisson(5000, 1 << J.BUCKET_BITS).astype(np.uint32)
+    noise = float(np.median(table)) * 1.5 + 2
+    found = {}
+    for copies in (1, 200):
+        for _ in range(50):
+            shingles = np.unique(mix(rng.integers(0, 1 << 60, 300).astype(np.uint64)))
+            counted = J.Rarity(table, shingles[: J.LOWEST] if copies > 1 else shingles[:0], np.full(J.LOWEST if copies > 1 else 0, float(copies)))
+            assert J.prefix(shingles, table, noise, 80)[1] == 1
+            found.setdefault(copies, set()).add(J.prefix(shingles, table, noise, 80, counted.others(shingles[: J.LOWEST]))[1])
+    assert found[1] == {1} and min(found[200]) > 20
+
+
+def test_frequent_lowest_shingles_are_counted(spark):
+    rng = random.Random(12)
+    base = sentence(rng, 80)
+    rows = [(i, f"{base} x{i}", "", "", 0) for i in range(40)] + [(100 + i, sentence(rng, 80), "", "", 0) for i in range(40)]
+    counted = documents(spark, rows).select("text").mapInArrow(lambda b: J.count_buckets(b, 5), J.COUNTS)
+    heavy, held = J.heavy_shingles(counted)
+    shingles = shingle_set([w.encode() for w in f"{base} x7".split()], 5)
+    known = J.Rarity(np.zeros(0, np.uint32), heavy, held).others(shingles[: J.LOWEST])
+    assert heavy.tolist() == sorted(heavy.tolist()) and len(heavy) <= 2 * J.LOWEST and sum(k == 39 for k in known) >= J.LOWEST - 2
+    assert J.heavy_shingles(counted.where("false"))[0].tolist() == []
+
+
 def test_an_id_with_two_texts(spark):
     """One text of the id has an earlier near copy and goes; the other stays."""
     text = sentence(random.Random(1), 60)

@@ -68,6 +68,20 @@ def test_plan_places_every_rank():
         assert len(used) == len(spaces)
 
 
+def test_salts_follow_each_length(spark):
+    """Ranks are gapless within a length, and only lengths with many pieces get many salts."""
+    rows = [(i, 0, 9 if i % 3 else i % 7 + 1) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    packed = P.pack_pieces(pieces, 10, salt_rows=50).collect()
+    used = defaultdict(list)
+    for r in packed:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert len(packed) == 3000 and all(sorted(parts)[i][0] == sum(n for _, n in sorted(parts)[:i]) for parts in used.values() for i in range(len(parts)))
+    counts = {n: 1000 for n in range(1, 2048)} | {2048: 12_000_000_000}
+    salts = dict(P.length_salts(counts, 500_000))
+    assert salts[2048] == 24_000 and sum(salts.values()) <= 16 * 2048 + sum(counts.values()) // 500_000
+
+
 def test_sequences_hold_the_tokens(spark):
     tokenizer = Tokenizer.from_file(PATH)
     wanted = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for d, t, *_ in hard_documents()}

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import DOCS, clashing, documents, hard_documents, sentence
 
@@ -114,6 +115,26 @@ def test_result_comes_from_the_search(spark, monkeypatch):
     assert all(r["earliest"] == r["piece"] for r in runs())
 
 
+def test_segments_with_one_hash_are_told_apart_by_their_anchors(spark, monkeypatch):
+    """Hashes of few bits: many of the corpus's segments share one, but none of those with one anchor do."""
+    rng = random.Random(31)
+    passages = [sentence(rng, 25, 5000) for _ in range(150)]
+    rows = [(i, " ".join(rng.sample(passages, 6)), "", "", 0) for i in range(60)]
+    plain, hashes, few = S.find_anchors, set(), (1 << 14) - 1
+
+    def short_hashes(batches, window, anchor):
+        for batch in plain(batches, window, anchor):
+            at = batch.schema.get_field_index("segment")
+            yield batch.set_column(at, "segment", pa.array([x & few for x in batch.column(at).to_pylist()], pa.int64()))
+
+    for _, text, *_ in rows:
+        a, s, _, _ = S.segments_of(word_hashes(text.encode().split()), 20, 6)
+        hashes |= set(zip(a.tolist(), s.tolist()))
+    assert len({(a, s & few) for a, s in hashes}) == len(hashes) > len({s & few for _, s in hashes}) + 10
+    monkeypatch.setattr(S, "find_anchors", short_hashes)
+    assert found(spark.createDataFrame(rows, DOCS), window=20, anchor=6) == brute(rows, 20)
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(2)
     symbols = rng.integers(0, 300, 1000)
