@@ -28,9 +28,20 @@ def bare_double(bare: Column) -> Column:
     return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
+def number_of(text: Column) -> Column:
+    """A finite decimal number, perhaps in white space, or null.
+
+    Text that begins and ends as a number does, which almost all does, is only cast: what a cast reads beyond numbers ends in a letter, has an x in it, or begins or ends in space.
+    Other text is stripped and held against the pattern. ``text`` is looked at several times and so should be a column.
+    """
+    plain = F.contains(F.lit("0123456789.+-"), F.substring(text, 1, 1)) & F.contains(F.lit("0123456789."), F.right(text, F.lit(1))) & ~F.contains(text, F.lit("x")) & ~F.contains(text, F.lit("X"))
+    number = F.when(plain, text.try_cast("double")).otherwise(bare_double(strip(text)))
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+
+
 def strict_double(text: Column) -> Column:
     """A finite decimal number, or null. Rejects grouping, type suffixes, NaN and infinities."""
-    return bare_double(strip(text.cast("string")))
+    return number_of(text.cast("string"))
 
 
 def access_key(text: Column) -> Column:
@@ -50,11 +61,16 @@ def day_first_timestamp(text: Column) -> Column:
 
 def comma_text(text: Column, *labels: str, thousands: bool = False) -> Column:
     """Labels removed, decimal comma turned into a point, stripped."""
+    return strip(point_text(text, *labels, thousands=thousands))
+
+
+def point_text(text: Column, *labels: str, thousands: bool = False) -> Column:
+    """Labels removed, decimal comma turned into a point."""
     for label in labels:
         text = F.replace(text, F.lit(label), F.lit(""))
     if thousands:
         text = F.when(F.contains(text, F.lit(",")), F.replace(text, F.lit("."), F.lit(""))).otherwise(text)
-    return strip(F.replace(text, F.lit(","), F.lit(".")))
+    return F.replace(text, F.lit(","), F.lit("."))
 
 
 def comma_double(text: Column, *labels: str, thousands: bool = False) -> Column:

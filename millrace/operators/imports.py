@@ -17,7 +17,10 @@ from millrace.functions.scalars import euro_thousands, strict_double
 
 def valid_imports(rows: DataFrame) -> DataFrame:
     """country, commodity, value of the rows whose value is a number; others leave no trace of their country."""
-    return rows.select("country", "commodity", strict_double(F.col("value")).alias("value")).where(F.col("value").isNotNull())
+    text = rows.select("country", "commodity", F.inline(F.array(F.struct(F.col("value").cast("string").alias("text")))))
+    # A filter doesn't pass a generator, so each text is made once and read once.
+    number = text.select("country", "commodity", F.inline(F.array(F.struct(strict_double(F.col("text")).alias("value")))))
+    return number.where(F.col("value").isNotNull())
 
 
 def commodity_totals(imports: DataFrame) -> DataFrame:

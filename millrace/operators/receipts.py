@@ -6,7 +6,9 @@ rejected with a reason and nothing of it is stored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,10 +21,10 @@ from millrace.functions.scalars import (
     QUANTITY_LABEL,
     UNIT_PRICE_LABEL,
     access_key,
-    comma_double,
-    comma_failed,
     day_first_timestamp,
     emission_text,
+    number_of,
+    point_text,
     strip,
 )
 from millrace.sources.folders import written
@@ -42,6 +44,7 @@ ITEM_AT = {
     "unit_price": [("td", 1), ("span", 5)],
     "total": [("td", 2), ("span", None)],
 }
+NUMBERS = ("quantity", "unit_price", "total")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -162,49 +165,170 @@ def note_fields(page: str | None) -> dict:
     return found | {"items": items, "missing": absent[0] if absent else None}
 
 
+# A tag whose attributes are written as they should be, a comment or a declaration; and what else may begin with an angle bracket.
+TOKEN = re.compile(r"""<(/?)([a-zA-Z][^\t\n\r\f />"'=<]*)((?:[\s/]+[^\s/>"'=<]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+(?=[\s>])))?)*[\s/]*)>|<!--(?!-?>).*?-->|<![a-zA-Z][^>\[]*>""", re.DOTALL)
+DOUBTFUL = re.compile(r"<[a-zA-Z/!?]")
+RAW = {name: re.compile(rf"</{name}(?=[\t\n\r\f />])", re.IGNORECASE) for name in ("script", "style")}
+SPECIAL = frozenset("title textarea xmp iframe noembed noframes noscript plaintext svg math".split())
+PATHS = {"emission": EMISSION_AT, "total": TOTAL_AT, "payment": PAYMENT_AT, "item": ROWS_AT}
+WITHIN = list(ITEM_AT.items())
+
+
+class Doubt(Exception):
+    """The page is written in a way that only the tree can be trusted with."""
+
+
+class Open:
+    """An element on the way from the root: children so far by name, how far it has come on each path, and what it collects the text for."""
+
+    __slots__ = ("tag", "counts", "states", "slots")
+
+    def __init__(self, tag: str, states: list, slots: list):
+        self.tag, self.counts, self.states, self.slots = tag, {}, states, slots
+
+
+def scan(page: str, below: list[tuple[str, int]]) -> tuple[bool, dict, list[dict]]:
+    """One pass over a page's tags, without a tree: whether the element at ``below`` is there, the texts of the first elements at PATHS below it, and the items' fields."""
+    start = [(below, 0, None, None)] if below else [(path, 0, name, None) for name, path in PATHS.items()]
+    stack, found, items, collecting, reached, at = [Open("", start, [])], {}, [], [], not below, 0
+
+    def close(element: Open) -> None:
+        for held, name, parts in element.slots:
+            held[name] = " ".join("".join(parts).split())
+            collecting.remove(parts)
+
+    def opened(tag: str) -> Open:
+        nonlocal reached
+        parent = stack[-1]
+        place = parent.counts[tag] = parent.counts.get(tag, 0) + 1
+        states, slots = [], []
+        for path, step, name, row in parent.states:
+            wanted, position = path[step]
+            if wanted != tag or (position is not None and position != place):
+                continue
+            if step + 1 < len(path):
+                states.append((path, step + 1, name, row))
+            elif name is None:
+                if not reached:
+                    reached = True
+                    states += [(p, 0, n, None) for n, p in PATHS.items()]
+            elif name == "item":
+                items.append({})
+                states += [(p, 0, n, items[-1]) for n, p in WITHIN]
+            else:
+                held = found if row is None else row
+                if name not in held:
+                    held[name], parts = None, []
+                    slots.append((held, name, parts))
+                    collecting.append(parts)
+        return Open(tag, states, slots)
+
+    def text(a: int, b: int, raw: bool = False) -> None:
+        if a < b:
+            piece = page[a:b]
+            if not raw and "<" in piece and DOUBTFUL.search(piece):
+                raise Doubt
+            if collecting:
+                piece = piece if raw else unescape(piece)
+                for parts in collecting:
+                    parts.append(piece)
+
+    while token := TOKEN.search(page, at):
+        text(at, token.start())
+        at = token.end()
+        if token[2] is None:
+            continue
+        tag = token[2].lower()
+        if token[1]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    for element in reversed(stack[i:]):
+                        close(element)
+                    del stack[i:]
+                    break
+            continue
+        element = opened(tag)
+        if tag in VOID or token[3].endswith("/"):
+            close(element)
+            continue
+        stack.append(element)
+        if tag in RAW:
+            end = RAW[tag].search(page, at)
+            if not end:
+                raise Doubt
+            text(at, end.start(), raw=True)
+            at = end.start()
+        elif tag in SPECIAL and not page[page.find("<", at) :][: len(tag) + 3].lower().startswith(f"</{tag}>"):
+            raise Doubt
+    text(at, len(page))
+    for element in reversed(stack):
+        close(element)
+    return reached, found, items
+
+
+def scanned_fields(page: str | None) -> dict:
+    """What ``note_fields`` gives, in one pass where a page is written as most are."""
+    try:
+        for below in ([("html", 1), ("body", 1)], [("body", 1)], []):
+            reached, found, items = scan(page or "", below)
+            if reached:
+                break
+    except Doubt:
+        return note_fields(page)
+    found = {n: found.get(n) for n in ("emission", "total", "payment")}
+    items = [{n: item.get(n) for n in ITEM_AT} for item in items]
+    absent = [n for n, v in found.items() if v is None] + ["items"] * (not items)
+    absent += [f"item {i + 1}" for i, item in enumerate(items) if None in item.values()]
+    return found | {"items": items, "missing": absent[0] if absent else None}
+
+
 @F.pandas_udf(NOTE)
 def read_note(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
-        yield pd.DataFrame([note_fields(p) for p in batch], columns=NOTE.names)
+        yield pd.DataFrame([scanned_fields(p) for p in batch], columns=NOTE.names)
 
 
 def extract_notes(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` (url, html) as raw notes: url, emission, total, payment, items, missing.
 
-    A step of a place without a position means any element of that name, so items may stand in several tables. Pages are sent to
-    Python in batches of spark.sql.execution.arrow.maxRecordsPerBatch: lower it where pages are large.
+    A step of a place without a position means any element of that name, so items may stand in several tables. A page is scanned once, without a
+    tree of it; one with markup that leaves room for doubt is read by the tree. Pages are sent to Python in batches of
+    spark.sql.execution.arrow.maxRecordsPerBatch, or of spark.sql.execution.arrow.maxBytesPerBatch if that is less.
     """
     return pages.select("url", read_note(F.col(html_col)).alias("note")).select("url", "note.*")
 
 
 def parse_notes(notes: DataFrame, thousands: bool = False) -> DataFrame:
     """Raw notes with an access_key as typed ones: access_key, sold_at, payment, total, items, status, reason."""
-    number = lambda c, *labels: comma_double(c, *labels, thousands=thousands)
-    failed = lambda c, *labels: comma_failed(c, *labels, thousands=thousands)
+    point = lambda c, *labels: point_text(c, *labels, thousands=thousands)
     sold = emission_text(F.col("emission"))
-    items = F.transform(
+    # Each text is cleaned once and read once; only where that gives no number is it looked at again.
+    cleaned = F.transform(
         "items",
         lambda i: F.struct(
-            i.product.alias("product"),
-            number(i.quantity, QUANTITY_LABEL).alias("quantity"),
-            number(i.unit_price, UNIT_PRICE_LABEL).alias("unit_price"),
-            number(i.total).alias("total"),
+            i.product.alias("product"), point(i.quantity, QUANTITY_LABEL).alias("quantity"), point(i.unit_price, UNIT_PRICE_LABEL).alias("unit_price"), point(i.total).alias("total")
         ),
     )
-    bad_item = F.exists("items", lambda i: failed(i.quantity, QUANTITY_LABEL) | failed(i.unit_price, UNIT_PRICE_LABEL) | failed(i.total))
+    read = F.transform("_cleaned", lambda i: F.struct(i.product.alias("product"), *(number_of(i[n]).alias(n) for n in NUMBERS), F.struct(*(i[n].alias(n) for n in NUMBERS)).alias("texts")))
+    failed = lambda i, n: i[n].isNull() & F.coalesce(strip(i.texts[n]) != "", F.lit(False))
+    notes = notes.withColumn("_cleaned", cleaned).withColumn("_read", read).withColumn("_total", point(F.col("total")))
+    notes = notes.withColumn("_number", number_of(F.col("_total")))
+    bad_item = F.exists("_read", lambda i: failed(i, "quantity") | failed(i, "unit_price") | failed(i, "total"))
+    bad_total = F.col("_number").isNull() & F.coalesce(strip(F.col("_total")) != "", F.lit(False))
+    items = F.transform("_read", lambda i: F.struct(i.product.alias("product"), *(i[n].alias(n) for n in NUMBERS)))
     missing = F.col("missing") if "missing" in notes.columns else F.lit(None).cast("string")
     reason = (
         F.when(missing.isNotNull(), F.concat(F.lit("missing: "), missing))
         .when(F.col("access_key").isNull(), F.lit("no access key"))
         .when(sold.isNotNull() & day_first_timestamp(sold).isNull(), F.lit("impossible date"))
-        .when(failed(F.col("total")), F.lit("total isn't a number"))
+        .when(bad_total, F.lit("total isn't a number"))
         .when(bad_item, F.lit("an item isn't a number"))
     )
     typed = notes.select(
         "access_key",
         day_first_timestamp(sold).alias("sold_at"),
         "payment",
-        number(F.col("total")).alias("total"),
+        F.col("_number").alias("total"),
         items.alias("items"),
         reason.alias("reason"),
     )

@@ -18,18 +18,6 @@ FRAME_FIELDS = [
 ]
 
 
-def words_of(frame: str) -> str:
-    """The words from byte 2 on. Three words are read at a time: six bytes are a number that fits."""
-    threes = ", ".join(f"cast(conv(hex(substring({frame}, {3 + 6 * i}, 6)), 16, 10) as bigint)" for i in range(len(FRAME_FIELDS) // 3))
-    return f"flatten(transform(array({threes}), x -> array(cast(shiftright(x, 32) as int), cast(shiftright(x, 16) & 65535 as int), cast(x & 65535 as int))))"
-
-
-def sound_words(words: str, head: str) -> str:
-    """Whether the last word is the sum of all bytes before it; ``head`` is the sum of the two bytes before the words."""
-    last = len(FRAME_FIELDS) - 1
-    return f"exists(array({words}), w -> aggregate(slice(w, 1, {last}), {head}, (s, x) -> s + shiftright(x, 8) + (x & 255)) = w[{last}])"
-
-
 def decode_frames(frames: DataFrame, frame: str = "frame", verify_header: bool = False) -> DataFrame:
     """``frames`` with the fields of each valid frame; others are dropped.
 
@@ -37,13 +25,17 @@ def decode_frames(frames: DataFrame, frame: str = "frame", verify_header: bool =
     for the second start byte and the payload length.
     """
     start = f"{START_BYTE:02X}{SECOND_BYTE:02X}{PAYLOAD_BYTES:04X}" if verify_header else f"{START_BYTE:02X}"
-    head = f"{START_BYTE} + cast(conv(hex(substring({frame}, 2, 1)), 16, 10) as int)"
     sound = (F.octet_length(frame) == FRAME_BYTES) & (F.expr(f"hex(substring({frame}, 1, {len(start) // 2}))") == start)
-    valid = frames.where(sound).where(F.expr(sound_words(words_of(frame), head)))
-    held = "_words"
-    while held in frames.columns:
+    held = "_w"
+    while any(c.startswith(held) for c in frames.columns):
         held += "_"
-    return valid.withColumn(held, F.expr(words_of(frame))).select(*frames.columns, *(F.col(held)[i].alias(n) for i, n in enumerate(FRAME_FIELDS)))
+    number = lambda at, n: f"cast(conv(hex(substring({frame}, {at}, {n})), 16, 10) as bigint)"
+    # Three words are read at a time: six bytes are a number that fits. The sum is asked of what a generator gives, as filters don't pass it: else each frame would be read twice.
+    parts = {f"{held}{i}": number(3 + 6 * i, 6) for i in range(len(FRAME_FIELDS) // 3)} | {f"{held}second": number(2, 1)}
+    read = frames.where(sound).select(*frames.columns, F.expr(f"inline(array(named_struct({', '.join(f"'{n}', {v}" for n, v in parts.items())})))"))
+    words = [F.shiftright(f"{held}{i}", 16 * (2 - k)).bitwiseAND(65535).cast("int") for i in range(len(FRAME_FIELDS) // 3) for k in range(3)]
+    total = sum((F.shiftright(w, 8) + w.bitwiseAND(255) for w in words[:-1]), F.lit(START_BYTE) + F.col(f"{held}second"))
+    return read.where(total == words[-1]).select(*frames.columns, *(w.alias(n) for w, n in zip(words, FRAME_FIELDS)))
 
 
 def take_frames(buffer: bytes) -> tuple[list[bytes], bytes]:

@@ -93,3 +93,44 @@ def test_upserts_are_idempotent(spark):
     items = R.item_rows(notes)
     assert sorted((r.access_key, r.line_no) for r in items.collect()) == [(K[0], 1), (K[0], 2), (K[1], 1)]
     assert R.upsert_items(items, notes).count() == 3
+
+
+def page_of(rng):
+    """A receipt page with something odd in it."""
+    item = lambda i: f"<tr><td><span>P{i} &amp; x</span><span>a</span><span>Qtde.:{i}</span><span>b</span><SPAN class='c'>Vl. Unit.: {i},50</span></td><td><span>{i},50</span></td></tr>"
+    odd = ["", "<br>", "<br/>", "<!-- <div> -->", "<script>if (a < b) { x('</div>') }</script>", "a < b", "&lt;&#233;&nbsp;", "</p>", "<p>", "<img src='a>b'>", "<div/>", "<b><i>x</b></i>", "<style>td > span {}</style>", "<a href=x/y>z</a>"]
+    bad = ["<div", "<!--", "<?x?>", "<a b='c>", "</ div>", "<title>a<b>c</title>", "<div a=b'c'>", "<![CDATA[x]]>", "<textarea><div></textarea>", "<!-->", "<script>", "<svg><p></svg>"]
+    o = lambda: rng.choice(bad) if rng.random() < 0.03 else rng.choice(odd) if rng.random() < 0.25 else ""
+    items = "".join(o() + item(i) for i in range(rng.randrange(4)))
+    body = f"""<div>{o()}<div></div><div></div>{o()}<div></div><div>{o()}<div>1</div><div>{o()}<div><div></div><table><tbody>{items}{o()}</tbody></table>
+      <div></div>{o()}<div>{o()}<div></div><div><span> 12,00{o()} </span></div><div></div><div><label>Dinheiro {o()}</label></div></div></div>
+      <div><div>{o()}<div><ul><li>Série{o()}</li><li>x</li></ul></div></div></div></div></div></div>"""
+    return rng.choice([f"<html><head><title>t</title></head><body>{body}</body></html>", f"<body>{body}</body>", body, f"<!DOCTYPE html>\n<HTML><body class=\"a\">{body}", body[: rng.randrange(len(body))]])
+
+
+def test_scan_gives_what_the_tree_gives():
+    import random
+
+    rng, trusted = random.Random(3), 0
+    for _ in range(3000):
+        page = page_of(rng)
+        assert R.scanned_fields(page) == R.note_fields(page), page
+        try:
+            R.scan(page, [])
+            trusted += 1
+        except R.Doubt:
+            pass
+    assert trusted > 1500
+    for page in (None, "", "x", "<", "<div", "a<b"):
+        assert R.scanned_fields(page) == R.note_fields(page)
+
+
+def test_scan_keeps_no_tree():
+    """A page of 4 MB: what the scan holds doesn't grow with the page."""
+    import tracemalloc
+
+    receipt = "<html><body>" + "<div>x<p>y</p></div>" * 200_000 + "</body></html>"
+    tracemalloc.start()
+    assert R.scan(receipt, [("html", 1), ("body", 1)])[0]
+    assert tracemalloc.get_traced_memory()[1] < 500_000
+    tracemalloc.stop()
