@@ -117,6 +117,7 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+@lru_cache(maxsize=8)
 def id_type(path: str, separator: int) -> str:
     """The type of a piece's ids: two bytes where all ids fit, as pieces are moved twice."""
     return "<u2" if max(len(word_cache(path).ends_word) - 1, separator) < 1 << 16 else "<u4"
@@ -209,8 +210,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
 
 
 def assemble(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> Iterator[pa.RecordBatch]:
-    """A row of SEQUENCES for each sequence and its parts in order of offset."""
+    """A row of SEQUENCES for each sequence and its parts in order of offset. All texts are tokens by now, so the worker lets go of its words."""
     kept = id_type(path, separator)
+    word_cache.cache_clear()
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         parts = batch.column("parts")
         each, ends = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
