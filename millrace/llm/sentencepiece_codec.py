@@ -8,8 +8,8 @@ position; two pieces may stand next to each other when their concatenation encod
 Pieces hold the space mark only in front, and some control characters not at all, so a text falls into
 segments that no merge crosses; segments met before are taken from a bounded cache.
 
-A null text counts as empty, whose ids are the begin and end ids alone. Repeated rows and null ids pass
-through; an empty table gives no rows. Only models of this kind are accepted: BPE with byte fallback,
+A null text counts as empty, whose ids are the begin and end ids alone. A very long text is coded whole, in memory that grows with it. Repeated rows and null ids pass
+through; an empty table gives no rows. Only the id and text columns are read, so other columns may have any name. Only models of this kind are accepted: BPE with byte fallback,
 identity normalisation with a dummy prefix, no user-defined pieces.
 """
 

@@ -1,11 +1,12 @@
 """The pipeline's stages against brute force on hard documents; its registered queries import without the subpackage."""
 
+import random
 import subprocess
 import sys
 from pathlib import Path
 
 import pytest
-from fixtures import DOCS, clashing, hard_documents
+from fixtures import DOCS, clashing, hard_documents, sentence
 from test_exact_dedup import groups
 from test_ngram_join import brute as components
 from test_substring_dedup import brute as without
@@ -61,6 +62,17 @@ def test_clashing_names(spark, folder, tmp_path):
     assert sorted(tuple(r)[:5] for r in packed) == sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, folder).collect())
 
 
+def test_toxic_rows_go(spark, tmp_path):
+    """Half of the rows are labelled, half of those toxic by two words; the words tell on rows that aren't labelled, too."""
+    rng = random.Random(9)
+    bad = lambda i: i % 2 == 0
+    texts = [f"{sentence(rng, 20, 5000)} {'vile scum' if bad(i) else 'kind folk'} {sentence(rng, 20, 5000)}" for i in range(240)]
+    spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(bad(i))) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {i for i in range(240) if not bad(i)} <= left and not any(bad(i) for i in left)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -72,7 +84,7 @@ def test_empty_tables(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
