@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as
 the next one's docs. All but the last return the columns of documents.
+
+In every stage a null text counts as empty and texts are read whole, however long. An empty text is scored like any other, stays once of all empty ones (exact dedup), links with
+nothing, loses nothing, and is packed as its end token. Ties: of rows that repeat id and text exact dedup keeps one; later stages find no equal texts. A null id
+is smallest; the similarity join keeps the smallest id of a component, and substring dedup takes nothing from a row without an id. Empty tables give empty results.
 """
 
 from __future__ import annotations
