@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import QUANTITY_LABEL, UNIT_PRICE_LABEL, comma_double, comma_failed, day_first_timestamp, emission_text
-from millrace.operators import imports, profile, receipts, sales, sensors
+from millrace.operators import distinct, imports, profile, receipts, sales, sensors
+from millrace.sources import stored_imports, stored_sales
 from millrace.sources.folders import shared_folder
 from millrace.sources.imports_csv import load_imports
 from millrace.sources.packets import record_messages, recorded_messages
@@ -109,6 +110,31 @@ def countries_by_commodity(spark, sf_dir):
     return imports.countries_by_commodity(import_rows(spark, sf_dir, "p_brand"), "Brand#12")
 
 
+def stored_commodity_lookup(spark, sf_dir):
+    """Who imports a commodity, asked of imports stored in the order of their commodities: one that is there, and one that would lie between two of them."""
+    folder = shared_folder(spark, "imports")
+    stored_imports.store_by_commodity(import_rows(spark, sf_dir, "p_brand"), folder)
+    stored = stored_imports.stored_imports(spark, folder, "decimal(18,2)")
+    told = [imports.countries_by_commodity(stored, c).select(F.lit(c).alias("asked"), "country") for c in ("Brand#12", "Brand#121")]
+    return told[0].unionByName(told[1])
+
+
+def country_commodity_bits(spark, sf_dir):
+    rows = import_rows(spark, sf_dir)
+    return distinct.commodity_bitmaps(rows, distinct.commodity_numbers(rows))
+
+
+def country_commodity_counts(spark, sf_dir):
+    return distinct.commodity_counts(country_commodity_bits(spark, sf_dir))
+
+
+def region_commodity_counts(spark, sf_dir):
+    """Distinct commodities of each region, from its countries' bitmaps."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    bits = country_commodity_bits(spark, sf_dir).join(places.select(F.col("n_name").alias("country"), F.col("r_name").alias("region")), "country")
+    return distinct.commodity_counts(distinct.merged_bitmaps(bits, ["region"]), ["region"])
+
+
 def import_value_guard(spark, sf_dir):
     text = (
         F.when(F.col("l_linenumber") == 1, "bad")
@@ -209,6 +235,23 @@ def sales_filtered_whole_last_day(spark, sf_dir):
     return sales.filter_sales(sale_rows(spark, sf_dir), START, END, inclusive_end_day=True)
 
 
+def sales_stored_range(spark, sf_dir):
+    """The sales of a range of dates, read from the months it touches."""
+    rows, folder = sale_rows(spark, sf_dir), shared_folder(spark, "sales")
+    stored_sales.store_by_month(rows, folder)
+    return stored_sales.sales_between(stored_sales.stored_sales(spark, folder, rows.schema.toDDL()), START, END, URGENT).drop("month")
+
+
+def sales_on_weekends(spark, sf_dir):
+    """Sums of payments on the weekends of the last quarters, which a calendar made from the sales knows."""
+    rows, folder = in_cents(sale_rows(spark, sf_dir)), shared_folder(spark, "sales")
+    stored_sales.store_by_month(rows, f"{folder}/sales")
+    stored_sales.store_calendar(rows, f"{folder}/calendar")
+    stored, days = stored_sales.stored_sales(spark, f"{folder}/sales", rows.schema.toDDL()), stored_sales.stored_calendar(spark, f"{folder}/calendar")
+    chosen = stored_sales.sales_on(stored, days.where("quarter = 4 AND weekday >= 6"))
+    return sales.sales_by(chosen, "payment")
+
+
 def sales_metrics(spark, sf_dir):
     return sales.sales_metrics(in_cents(sales.filter_sales(sale_rows(spark, sf_dir), START, END)))
 
@@ -636,6 +679,7 @@ QUERIES = [
     sales_by_payment, exact_country_totals, exact_commodity_totals, exact_sales_by_day, exact_sales_metrics, payment_null_survives, access_key_extract, registry_new_keys, registry_listing, url_key_lookup, pending_notes,
     locale_number_parse, emission_timestamp_parse, note_status, note_items_exploded, note_header_upsert, note_items_upsert, note_html_extract,
     import_csv_line_breaks, sales_report, repeated_key_gate, answered_posts, telemetry_stamp, packet_messages, packet_stream, pms_live_frames,
+    stored_commodity_lookup, country_commodity_counts, region_commodity_counts, sales_stored_range, sales_on_weekends,
     registry_stream, note_store, climate_lines, telemetry_decode, telemetry_dead_letter, required_field_gate, telemetry_stream_append, pms_decode, failed_reading_guard,
 ]
 

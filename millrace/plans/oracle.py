@@ -97,6 +97,10 @@ SQL = {
     "country_lookup_missing": "SELECT 'nation_7' AS country, false AS found, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS BIGINT) AS n_commodities",
     "country_commodities": f"WITH {BRANDS} SELECT DISTINCT country, commodity FROM imports WHERE country = 'NATION_7'",
     "countries_by_commodity": f"WITH {BRANDS} SELECT DISTINCT country FROM imports WHERE commodity = 'Brand#12'",
+    "stored_commodity_lookup": f"WITH {BRANDS} SELECT DISTINCT commodity AS asked, country FROM imports WHERE commodity IN ('Brand#12', 'Brand#121')",
+    "country_commodity_counts": f"WITH {TYPES} SELECT country, count(DISTINCT commodity) AS n_commodities FROM imports GROUP BY country",
+    "region_commodity_counts": f"""WITH {TYPES}
+        SELECT r_name AS region, count(DISTINCT commodity) AS n_commodities FROM imports JOIN nation ON n_name = country JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""",
     "import_value_guard": """
         WITH t AS (
           SELECT l_returnflag AS country, l_linestatus AS commodity, CAST(l_quantity AS INT) AS q, l_linenumber AS n FROM lineitem
@@ -179,6 +183,8 @@ SQL = {
     "sales_filtered": f"WITH {SALES} SELECT * FROM sales WHERE {IN_RANGE} AND payment = '1-URGENT'",
     "sales_filtered_all": f"WITH {SALES} SELECT * FROM sales WHERE {IN_RANGE}",
     "sales_filtered_whole_last_day": f"WITH {SALES} SELECT * FROM sales WHERE sold_at >= TIMESTAMP '1996-01-01' AND sold_at < TIMESTAMP '1998-01-01'",
+    "sales_stored_range": f"WITH {SALES} SELECT * FROM sales WHERE {IN_RANGE} AND payment = '1-URGENT'",
+    "sales_on_weekends": f"WITH {SALES} SELECT payment, {MONEY} AS total FROM sales WHERE quarter(sold_at) = 4 AND isodow(sold_at) >= 6 AND payment IS NOT NULL GROUP BY payment",
     "sales_metrics": f"WITH {SALES} SELECT {MONEY} AS total, count(*) AS n, CASE WHEN count(*) > 0 THEN {MONEY} / count(*) ELSE 0 END AS mean FROM sales WHERE {IN_RANGE}",
     "sales_metrics_empty": "SELECT CAST(0 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS mean",
     "sales_metric_tiles": f"WITH {SALES} SELECT printf('R$ %.2f', {MONEY}) AS total, printf('R$ %.2f', {MONEY} / count(*)) AS mean FROM sales",
