@@ -100,6 +100,49 @@ def test_the_cut_decides_on_the_test_pages():
     assert flipped > 0.1 * total
 
 
+def by_all_evidence(page):
+    """The text without edges between blocks: a block's own odds and those of the promising element around it."""
+    blocks = H.text_blocks(page)
+    H.clear_wrappers(blocks)
+    return "\n".join(b[0] for b in blocks if H.content_odds(*b) + (max(b[1].promise.odds, 0) if b[1].promise else 0) > 0)
+
+
+LONG = "A paragraph of a story has many words in it, for it tells what happened on that day, and then it ends."
+#: Where the text stands on pages that mark it by neither article, main nor a name.
+PLAIN_TEMPLATES = {
+    "div": '<nav><a href="/">Home</a></nav><div>{}</div><footer>&copy; site</footer>',
+    "body": '<nav><a href="/">Home</a></nav>{}<footer>&copy; site</footer>',
+    "table": '<table><tr><td class="menu"><a href="/">Home</a></td><td>{}</td></tr></table><div class="footer">About us</div>',
+    "nested": '<div class="navbar"><a href="/">Home</a></div><div><div><section><div>{}</div></section></div></div><aside><p>' + LONG + "</p></aside>",
+    "wrapper": '<div class="sidebar"><p>Sign up</p></div><div id="c17"><div>{}</div></div><div class="related"><ul><li><a href="/a">Other</a></li></ul></div>',
+}
+
+
+@pytest.mark.parametrize("template", PLAIN_TEMPLATES)
+def test_only_the_cut_finds_short_blocks_without_marks(template):
+    """A heading, a short paragraph and a quotation have all evidence but their neighbours against them."""
+    body = f"<h1>What came next</h1><p>{LONG}</p><p>Nothing.</p><p>{LONG}</p><blockquote>So they say</blockquote><p>{LONG}</p>"
+    page = f"<html><body>{PLAIN_TEMPLATES[template].format(body)}</body></html>"
+    assert H.main_text(page) == f"What came next\n{LONG}\nNothing.\n{LONG}\nSo they say\n{LONG}"
+    assert by_all_evidence(page) == f"{LONG}\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("marked", ["<{}div>", "", "<{}section>"])
+def test_the_cut_decides_on_the_test_pages_without_their_marks(marked):
+    """With the article's tag taken away, all evidence by itself seldom gives the text; the cut nearly always does."""
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    pages = pd.read_parquet(folder)["html"].dropna()
+    cut = alone = 0
+    for page in pages:
+        wanted = H.main_text(page)
+        plain = page.replace("<article>", marked.format("")).replace("</article>", marked.format("/"))
+        cut += H.main_text(plain) == wanted
+        alone += by_all_evidence(plain) == wanted
+    assert cut > 0.95 * len(pages) and alone < 0.1 * len(pages)
+
+
 @pytest.mark.parametrize(
     "page",
     ["<span>" * 80_000 + "x", "<span><p>x" * 40_000, '<a href="' * 60_000, "<a href='x\" " * 60_000, "<a " * 100_000, "</p>" * 100_000, "<div>" * 3_000 + "</p>x" * 60_000]
