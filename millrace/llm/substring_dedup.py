@@ -28,7 +28,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +54,22 @@ def run_hashes(whole: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(whole[start] * P1 + whole[end - 1] * P2 + (end - start).astype(np.uint64)).view(np.int64)
 
 
+def smallest_places(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest value, the leftmost if equal, among each run of ``width`` values. Takes a few arrays as long as ``values``, whatever the width."""
+    at, size = np.arange(len(values)), 1
+    while size < width:
+        step = min(size, width - size)  # two runs of ``size``, which overlap in the last round, cover one of ``size + step``
+        left, right = at[: len(at) - step], at[step:]
+        at = np.where(values[left] <= values[right], left, right)
+        size += step
+    return at
+
+
 def segments_of(words: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Anchor, segment hash, first window and number of windows of each run of windows with one anchor occurrence."""
     runs = mix(window_hashes(words, anchor))
     n = len(words) - window + 1
-    at = sliding_window_view(runs, window - anchor + 1).argmin(axis=1) + np.arange(n)
+    at = smallest_places(runs, window - anchor + 1)
     cuts = np.flatnonzero(np.diff(at)) + 1
     start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [n]])
     count = end - start

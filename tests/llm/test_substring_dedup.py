@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,23 @@ def test_hard_documents(spark):
     assert found(clashing(documents(spark))) == brute(hard_documents())
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 8, 36])
+def test_smallest_places(width):
+    rng = np.random.default_rng(width)
+    for n in (width, width + 1, 200):
+        values = rng.integers(0, 5, n).astype(np.uint64)
+        assert S.smallest_places(values, width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(n - width + 1)]
+
+
+def test_a_very_long_text_takes_memory_in_proportion():
+    words = np.random.default_rng(2).integers(0, 50_000, 500_000).astype(np.uint64)
+    tracemalloc.start()
+    S.segments_of(words, 50, 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 15 * words.nbytes
+
+
 def test_small_alphabet_and_null_ids(spark):
     rng = random.Random(9)
     rows = [(rng.choice([None, *range(30)]), " ".join(rng.choices("ab", k=rng.randrange(0, 40))), "", "", 0) for _ in range(80)]
