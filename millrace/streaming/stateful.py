@@ -1,14 +1,17 @@
-"""Streams with a state for each key: frames of sensors' byte streams, and a registry that admits a key once.
+"""Streams that remember: frames of sensors' byte streams, and a registry that admits a key once.
 
-Both keep their state in RocksDB, so it may be larger than memory, and both survive restarts: what a batch that is repeated would change is undone with it.
+Framing keeps its state in RocksDB, the registry in the files it appends, so either may be larger than memory. Both survive restarts: what a batch that is repeated would change is
+undone with it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
 from millrace.operators.sensors import take_frames
@@ -120,38 +123,37 @@ def frames_of_streams(chunks: DataFrame, first: int = 0, patience: int = 60_000)
     return grouped.transformWithStateInPandas(Framing(first, patience), f"sensor {kind}, frame binary", "Append", "ProcessingTime")
 
 
-class FirstOnly(StatefulProcessor):
-    """Gives the first row of a key; of several in one batch the one with the smallest url. A key of the stored registry is known from the start."""
+@dataclass(frozen=True)
+class NewKeys:
+    """A stream of scans (url, access_key) that has keys, and the stored registry it is held against."""
 
-    def init(self, handle) -> None:
-        self.known = handle.getValueState("known", "known boolean")
+    scans: DataFrame
+    registry: DataFrame
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.known.update((True,))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.known.exists():
-            self.known.update((True,))
-            url = min((u for batch in rows for u in batch["url"] if u is not None), default=None)
-            yield pd.DataFrame({"url": [url], "access_key": [key[0]]})
+def new_keys(scans: DataFrame, registry: DataFrame) -> NewKeys:
+    """url, access_key of a stream of scans: each key once, unless the stored registry has it. Scans without a key are left out. Start it with ``append_keys``."""
+    return NewKeys(scans.select("url", "access_key").where("access_key is not null"), registry)
 
-    def close(self) -> None:
-        pass
 
+def unknown_keys(firsts: DataFrame, known: DataFrame) -> DataFrame:
+    """``firsts`` without the known keys. Only known keys that are among them are kept to compare with, so a small batch moves no registry."""
+    return firsts.join(known.join(firsts.select("access_key"), "access_key", "left_semi"), "access_key", "left_anti")
 
-def new_keys(scans: DataFrame, registry: DataFrame) -> DataFrame:
-    """url, access_key of a stream of scans: each key once, unless the stored registry has it. Scans without a key are left out.
 
-    The registry is read once, when the stream first starts; from then on the state knows its keys. Start it with ``start``.
-    """
-    seed = registry.select("access_key").where("access_key is not null").distinct().groupBy("access_key")
-    keyed = scans.select("url", "access_key").where("access_key is not null").groupBy("access_key")
-    return keyed.transformWithStateInPandas(FirstOnly(), "url string, access_key string", "Append", "None", initialState=seed)
+def append_keys(keys: NewKeys, path: str, checkpoint: str) -> StreamingQuery:
+    """Append new keys to the registry's files, stamped, until nothing is left: of several urls of a key in a batch the smallest.
 
+    The registry is read once, with the first batch; its keys then lie beside the checkpoint. A later batch is held against these and against what earlier batches have appended.
+    Each batch has a folder of its own below ``path``, written anew if the batch is repeated, so nothing is appended twice. The registry must lie elsewhere.
+    """
+    spark, seed = keys.scans.sparkSession, f"{checkpoint}/registered"
 
-def append_keys(keys: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append new keys to the registry's files, stamped, until nothing is left. A batch that is repeated appends nothing twice."""
-    from pyspark.sql import functions as F
+    def append(scans: DataFrame, batch: int) -> None:
+        if batch == 0:
+            keys.registry.select("access_key").where("access_key is not null").write.mode("overwrite").parquet(seed)
+        known = spark.read.schema("access_key string").parquet(seed, *(f"{path}/batch={b}" for b in range(batch)))
+        firsts = scans.groupBy("access_key").agg(F.min("url").alias("url"))
+        unknown_keys(firsts, known).select("url", "access_key", F.localtimestamp().alias("read_at")).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
-    stamped = keys.withColumn("read_at", F.localtimestamp())
-    return start(stamped.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    return keys.scans.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -88,6 +88,24 @@ def test_a_key_is_registered_once(spark, tmp_path):
     assert spark.conf.get(S.PROVIDER, "") != S.ROCKS_DB
 
 
+def test_keys_are_registered_without_python_or_state(spark, tmp_path):
+    """Batches are joined with the stored keys by Spark itself; a batch killed before its commit is written anew, and the registry is read with the first batch only."""
+    registry = tmp_path / "registry"
+    spark.createDataFrame([("k0",), (None,)], "access_key string").write.parquet(str(registry))
+    landing = Landing(spark, tmp_path / "in", "url string, access_key string")
+    landing.add([("b", "k1"), ("a", "k1"), ("x", "k0")])
+    landing.add([(str(i), f"n{i}") for i in range(3000)] + [("c", "k1")])
+    for again in range(2):
+        S.append_keys(S.new_keys(landing.stream(), spark.read.parquet(str(registry))), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        if not again:
+            (tmp_path / "c" / "commits" / "1").unlink()
+            (tmp_path / "c" / "commits" / ".1.crc").unlink(missing_ok=True)
+            spark.createDataFrame([("n7",), ("late",)], "access_key string").write.mode("append").parquet(str(registry))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.access_key, r.url) for r in rows) == sorted([("k1", "a")] + [(f"n{i}", str(i)) for i in range(3000)])
+    assert not (tmp_path / "c" / "state").exists()
+
+
 def packets_of(messages):
     return b"".join(P.packet(t, p, q, n % 2 == 1, n + 1) for n, (t, p, q) in enumerate(messages))
 
