@@ -28,14 +28,24 @@ def bare_double(bare: Column) -> Column:
     return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
-def number_of(text: Column) -> Column:
-    """A finite decimal number, perhaps in white space, or null.
+def finite(number: Column) -> Column:
+    """Null instead of an infinity. ``number`` is looked at several times and so should be a column."""
+    return F.when((number < float("inf")) & (number > float("-inf")), number)
+
+
+def perhaps_infinite(text: Column) -> Column:
+    """A decimal number, perhaps in white space or beyond what a double holds, or null.
 
     Text that begins and ends as a number does, which almost all does, is only cast: what a cast reads beyond numbers ends in a letter, has an x in it, or begins or ends in space.
     Other text is stripped and held against the pattern. ``text`` is looked at several times and so should be a column.
     """
     plain = F.contains(F.lit("0123456789.+-"), F.substring(text, 1, 1)) & F.contains(F.lit("0123456789."), F.right(text, F.lit(1))) & ~F.contains(text, F.lit("x")) & ~F.contains(text, F.lit("X"))
-    number = F.when(plain, text.try_cast("double")).otherwise(bare_double(strip(text)))
+    return F.when(plain, text.try_cast("double")).otherwise(bare_double(strip(text)))
+
+
+def number_of(text: Column) -> Column:
+    """A finite decimal number, perhaps in white space, or null. ``text`` is looked at several times and so should be a column."""
+    number = perhaps_infinite(text)
     return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 

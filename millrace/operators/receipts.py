@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
+from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -23,7 +26,9 @@ from millrace.functions.scalars import (
     access_key,
     day_first_timestamp,
     emission_text,
+    finite,
     number_of,
+    perhaps_infinite,
     point_text,
     strip,
 )
@@ -275,27 +280,184 @@ def scanned_fields(page: str | None) -> dict:
                 break
     except Doubt:
         return note_fields(page)
-    found = {n: found.get(n) for n in ("emission", "total", "payment")}
-    items = [{n: item.get(n) for n in ITEM_AT} for item in items]
-    absent = [n for n, v in found.items() if v is None] + ["items"] * (not items)
-    absent += [f"item {i + 1}" for i, item in enumerate(items) if None in item.values()]
-    return found | {"items": items, "missing": absent[0] if absent else None}
+    return told({n: found.get(n) for n in HEADS}, [{n: item.get(n) for n in FIELDS} for item in items])
+
+
+TAG, TAGS = re.compile(r"<[^<>]*>"), re.compile(r"((?:<[^<>]*>)+)")
+HEADS, FIELDS = ("emission", "total", "payment"), tuple(ITEM_AT)
+#: Children of a name are counted up to one more than any path asks for.
+COUNTED = 1 + max(place or 0 for path in (*PATHS.values(), *ITEM_AT.values()) for _, place in path)
+#: Ways through pages that a worker remembers; and the open elements, or names of their children, and the characters of a page that are read along them.
+REMEMBERED, DEEP, LONG = 20_000, 64, 1_000_000
+
+
+class Spot:
+    """Where a page's reader stands: the open elements, what has been found, and where each run of tags met here leads.
+
+    ``stack`` has for each open element its name, its children counted so far, how far it has come on which paths, and the fields that it holds. Pages of a kind lead through the same
+    spots, so most runs of tags cost one look into ``ways``.
+    """
+
+    __slots__ = ("stack", "reached", "found", "collecting", "ways")
+
+    def __init__(self, stack: tuple, reached: bool, found: frozenset):
+        self.stack, self.reached, self.found, self.ways = stack, reached, found, {}
+        self.collecting = tuple(slot for element in stack for slot in element[3])
+
 
+class Spots:
+    """The spots met lately. A slot is (whether it is an item's, name of the field)."""
 
-@F.pandas_udf(NOTE)
-def read_note(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for batch in pages:
-        yield pd.DataFrame([scanned_fields(p) for p in batch], columns=NOTE.names)
+    def __init__(self):
+        self.known: dict[tuple, Spot] = {}
+        self.starts: list[Spot] = []
+        self.ways = 0
+
+    def spot(self, stack: tuple, reached: bool, found: frozenset) -> Spot:
+        key = (stack, reached, found)
+        if key not in self.known:
+            self.known[key] = Spot(*key)
+        return self.known[key]
+
+    def begin(self) -> list[Spot]:
+        if not self.starts or max(len(self.known), self.ways) > REMEMBERED:
+            self.known, self.ways = {}, 0
+            heads = tuple((path, 0, False, name) for name, path in SLOTS.items())
+            bodies = [(("html", 1), ("body", 1)), (("body", 1),)]
+            self.starts = [self.spot((("", (), ((b, 0, False, None),), ()),), False, frozenset()) for b in bodies] + [self.spot((("", (), heads, ()),), True, frozenset())]
+        return self.starts
+
+    def way(self, spot: Spot, written: str) -> tuple[Spot, tuple] | None:
+        """The spot behind tags that follow each other, and what is to be done there: whether an item begins, and the slots that are opened and closed. None where only ``scan`` can tell."""
+        to_do = []
+        for tag in TAG.findall(written):
+            leads = self.led(spot, tag)
+            if leads is None:
+                return None
+            spot, *step = leads
+            if any(step):
+                to_do.append(tuple(step))
+        return spot, tuple(to_do)
+
+    def led(self, spot: Spot, written: str) -> tuple[Spot, bool, tuple, tuple] | None:
+        token = TOKEN.fullmatch(written)
+        if not token:
+            return None
+        if token[2] is None:
+            return None if spot.stack[-1][0] in SPECIAL else (spot, False, (), ())
+        tag, stack = token[2].lower(), spot.stack
+        if stack[-1][0] in SPECIAL and written.lower() != f"</{stack[-1][0]}>":
+            return None
+        if token[1]:
+            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), len(stack))
+            return self.spot(stack[:at], spot.reached, spot.found), False, (), tuple(slot for element in stack[at:] for slot in element[3])
+        if tag in RAW:
+            return None
+        name, counts, paths, held = stack[-1]
+        if len(stack) > DEEP or len(counts) > DEEP:
+            return None
+        counts = dict(counts)
+        place = counts[tag] = min(counts.get(tag, 0) + 1, COUNTED)
+        stack = (*stack[:-1], (name, tuple(sorted(counts.items())), paths, held))
+        on, slots, begins, reached, found = [], [], False, spot.reached, spot.found
+        for path, step, within, field in paths:
+            wanted, position = path[step]
+            if wanted != tag or (position is not None and position != place):
+                continue
+            if step + 1 < len(path):
+                on.append((path, step + 1, within, field))
+            elif field is None:
+                reached = True
+                on += [(p, 0, False, n) for n, p in SLOTS.items()]
+            elif field == "item":
+                begins, found = True, frozenset(f for f in found if not f[0])
+                on += [(p, 0, True, n) for n, p in ITEM_SLOTS.items()]
+            elif (within, field) not in found:
+                found |= {(within, field)}
+                slots.append((within, field))
+        if tag in VOID or token[3].endswith("/"):
+            return self.spot(stack, reached, found), begins, tuple(slots), tuple(slots)
+        return self.spot((*stack, (tag, (), tuple(on), tuple(slots))), reached, found), begins, tuple(slots), ()
+
+    def fields(self, page: str) -> dict | None:
+        """What ``scanned_fields`` gives; None where a page isn't plain enough."""
+        if len(page) > LONG:
+            return None
+        pieces = TAGS.split(page)
+        texts, tags = pieces[::2], pieces[1::2]
+        if "<" in "".join(texts):
+            return None
+        for spot in self.begin():
+            heads, items, parts = dict.fromkeys(HEADS), [], {}
+            item = heads
+            for text, written in zip(texts, tags):
+                if text and spot.collecting:
+                    if "&" in text:
+                        text = unescape(text)
+                    for slot in spot.collecting:
+                        parts[slot].append(text)
+                way = spot.ways.get(written)
+                if way is None:
+                    way = self.way(spot, written)
+                    if way is None:
+                        return None
+                    if len(written) <= 2000 and self.ways <= REMEMBERED:
+                        spot.ways[written] = way
+                        self.ways += 1
+                spot, to_do = way
+                for begins, opened, closed in to_do:
+                    if begins:
+                        item = dict.fromkeys(FIELDS)
+                        items.append(item)
+                    for slot in opened:
+                        parts[slot] = []
+                    for slot in closed:
+                        (item if slot[0] else heads)[slot[1]] = " ".join("".join(parts[slot]).split())
+            if spot.stack[-1][0] in SPECIAL:
+                return None
+            for slot in spot.collecting:
+                parts[slot].append(unescape(pieces[-1]))
+                (item if slot[0] else heads)[slot[1]] = " ".join("".join(parts[slot]).split())
+            if spot.reached:
+                return told(heads, items)
+        return None  # not reached: the last start is always there
+
+
+SLOTS, ITEM_SLOTS = ({name: tuple(path) for name, path in paths.items()} for paths in (PATHS, ITEM_AT))
+
+
+def told(heads: dict, items: list[dict]) -> dict:
+    absent = [n for n, v in heads.items() if v is None] + ["items"] * (not items)
+    if not absent:
+        absent = [f"item {i + 1}" for i, item in enumerate(items) if None in item.values()]
+    return heads | {"items": items, "missing": absent[0] if absent else None}
+
+
+def read_notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spots = Spots()
+    for batch in batches:
+        notes = [spots.fields(page or "") or scanned_fields(page) for page in batch.column(1).to_pylist()]
+        texts = [pa.array([n[name] for n in notes], pa.string()) for name in (*HEADS, "missing")]
+        each = pa.StructArray.from_arrays([pa.array([item[f] for n in notes for item in n["items"]], pa.string()) for f in FIELDS], list(FIELDS))
+        ends = list(accumulate((len(n["items"]) for n in notes), initial=0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *texts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["url", *HEADS, "missing", "items"])
 
 
 def extract_notes(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` (url, html) as raw notes: url, emission, total, payment, items, missing.
 
-    A step of a place without a position means any element of that name, so items may stand in several tables. A page is scanned once, without a
-    tree of it; one with markup that leaves room for doubt is read by the tree. Pages are sent to Python in batches of
+    A step of a place without a position means any element of that name, so items may stand in several tables. A page is read once, without a tree of it, along ways that a worker
+    remembers from pages before; one that isn't plain enough is scanned tag by tag, and one with markup that leaves room for doubt is read by the tree. Pages are sent to Python in batches of
     spark.sql.execution.arrow.maxRecordsPerBatch, or of spark.sql.execution.arrow.maxBytesPerBatch if that is less.
     """
-    return pages.select("url", read_note(F.col(html_col)).alias("note")).select("url", "note.*")
+    texts = pages.select(F.col("url").cast("string"), F.col(html_col).cast("string").alias("html"))
+    return texts.mapInArrow(read_notes, StructType([StructField("url", StringType()), *NOTE.fields]))
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with more columns that are computed once a row. A generator gives them, as filters on them don't pass it: they would compute them anew wherever they name them."""
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return rows.drop(*columns).select("*", F.inline(F.array(made)))
 
 
 def parse_notes(notes: DataFrame, thousands: bool = False) -> DataFrame:
@@ -309,29 +471,23 @@ def parse_notes(notes: DataFrame, thousands: bool = False) -> DataFrame:
             i.product.alias("product"), point(i.quantity, QUANTITY_LABEL).alias("quantity"), point(i.unit_price, UNIT_PRICE_LABEL).alias("unit_price"), point(i.total).alias("total")
         ),
     )
-    read = F.transform("_cleaned", lambda i: F.struct(i.product.alias("product"), *(number_of(i[n]).alias(n) for n in NUMBERS), F.struct(*(i[n].alias(n) for n in NUMBERS)).alias("texts")))
-    failed = lambda i, n: i[n].isNull() & F.coalesce(strip(i.texts[n]) != "", F.lit(False))
-    notes = notes.withColumn("_cleaned", cleaned).withColumn("_read", read).withColumn("_total", point(F.col("total")))
-    notes = notes.withColumn("_number", number_of(F.col("_total")))
-    bad_item = F.exists("_read", lambda i: failed(i, "quantity") | failed(i, "unit_price") | failed(i, "total"))
+    numbers = F.transform("_cleaned", lambda i: F.struct(*(perhaps_infinite(i[n]).alias(n) for n in NUMBERS)))
+    read = F.zip_with("_cleaned", "_numbers", lambda i, x: F.struct(i.product.alias("product"), *(finite(x[n]).alias(n) for n in NUMBERS)))
+    failed = F.zip_with("_cleaned", "_read", lambda i, x: reduce(or_, (x[n].isNull() & F.coalesce(strip(i[n]) != "", F.lit(False)) for n in NUMBERS)))
+    notes = once(notes, _cleaned=cleaned, _total=point(F.col("total")), _sold=sold)
+    notes = once(notes, _numbers=numbers, _number=number_of(F.col("_total")), _sold_at=day_first_timestamp(F.col("_sold")))
+    notes = once(notes, _read=read)
+    bad_item = F.array_contains(failed, True)
     bad_total = F.col("_number").isNull() & F.coalesce(strip(F.col("_total")) != "", F.lit(False))
-    items = F.transform("_read", lambda i: F.struct(i.product.alias("product"), *(i[n].alias(n) for n in NUMBERS)))
     missing = F.col("missing") if "missing" in notes.columns else F.lit(None).cast("string")
     reason = (
         F.when(missing.isNotNull(), F.concat(F.lit("missing: "), missing))
         .when(F.col("access_key").isNull(), F.lit("no access key"))
-        .when(sold.isNotNull() & day_first_timestamp(sold).isNull(), F.lit("impossible date"))
+        .when(F.col("_sold").isNotNull() & F.col("_sold_at").isNull(), F.lit("impossible date"))
         .when(bad_total, F.lit("total isn't a number"))
         .when(bad_item, F.lit("an item isn't a number"))
     )
-    typed = notes.select(
-        "access_key",
-        day_first_timestamp(sold).alias("sold_at"),
-        "payment",
-        F.col("_number").alias("total"),
-        items.alias("items"),
-        reason.alias("reason"),
-    )
+    typed = once(notes, reason=reason).select("access_key", F.col("_sold_at").alias("sold_at"), "payment", F.col("_number").alias("total"), F.col("_read").alias("items"), "reason")
     return typed.withColumn("status", F.when(F.col("reason").isNull(), "saved").otherwise("rejected"))
 
 

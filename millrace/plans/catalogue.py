@@ -396,22 +396,26 @@ def emission_timestamp_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("emission"), day_first_timestamp(found).alias("sold_at"))
 
 
+def comma_money(amount: str) -> Column:
+    """An amount with two decimals and a comma. Casts give the same digits as formats, faster; what a decimal can't hold is formatted."""
+    plain = (F.col(amount) >= 0.01) & (F.col(amount) < 1e15)
+    return F.replace(F.when(plain, F.col(amount).cast("decimal(18,2)").cast("string")).otherwise(F.format_string("%.2f", amount)), F.lit("."), F.lit(","))
+
+
 def raw_notes(spark, sf_dir) -> DataFrame:
     """A note for each order: items of its lines in order of their fields."""
-    comma = lambda c: F.replace(F.format_string("%.2f", c), F.lit("."), F.lit(","))
     lines = table(spark, sf_dir, "lineitem")
     item = F.struct(
         F.col("l_linenumber"),
         F.col("l_extendedprice"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product"),
         F.concat(F.lit(QUANTITY_LABEL), F.col("l_quantity").cast("int").cast("string")).alias("quantity"),
-        F.concat(F.lit(UNIT_PRICE_LABEL), comma("l_extendedprice")).alias("unit_price"),
-        comma("l_extendedprice").alias("total"),
+        comma_money("l_extendedprice").alias("total"),
     )
-    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    strip_order = F.transform("items", lambda i: F.struct(i.product.alias("product"), i.quantity.alias("quantity"), i.unit_price.alias("unit_price"), i.total.alias("total")))
+    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    strip_order = F.transform("items", lambda i: F.struct(i.product.alias("product"), i.quantity.alias("quantity"), F.concat(F.lit(UNIT_PRICE_LABEL), i.total).alias("unit_price"), i.total.alias("total")))
     orders = table(spark, sf_dir, "orders")
-    total = F.when(F.col("o_orderkey") % 5 == 0, "1.234,56").otherwise(comma("o_totalprice"))
+    total = F.when(F.col("o_orderkey") % 5 == 0, "1.234,56").otherwise(comma_money("o_totalprice"))
     return orders.join(listed, orders.o_orderkey == listed.l_orderkey).select(
         key_of("o_orderkey").alias("access_key"),
         F.concat(F.lit("Emissão: "), F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss")).alias("emission"),

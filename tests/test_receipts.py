@@ -134,3 +134,34 @@ def test_scan_keeps_no_tree():
     assert R.scan(receipt, [("html", 1), ("body", 1)])[0]
     assert tracemalloc.get_traced_memory()[1] < 500_000
     tracemalloc.stop()
+
+
+def test_remembered_ways_give_what_the_tree_gives(monkeypatch):
+    """Pages are read along the ways of others, also where few are remembered."""
+    import random
+
+    rng = random.Random(5)
+    pages = [page_of(rng) for _ in range(2000)] + ["<div>" * 300 + "x", "".join(f"<x{i}>" for i in range(300)), "".join(f"<br id={i}>" for i in range(300)), "<html><body>" + "<p></p>" * 300_000]
+    for most in (20_000, 50):
+        monkeypatch.setattr(R, "REMEMBERED", most)
+        spots, plain = R.Spots(), 0
+        for p in pages:
+            found = spots.fields(p)
+            plain += found is not None
+            assert found in (None, R.note_fields(p) if len(p) < 10_000 else None), p
+        assert plain > 300 and spots.ways <= most + 1
+
+
+def test_notes_are_parsed_once(spark):
+    """Filters on the outcome don't repeat the parsing: each text is cast once in the plan, and pages are read once."""
+    pages = spark.createDataFrame([(K[0], page(total="1e999"))] + [(K[i], page()) for i in range(1, 4)], "url string, html string")
+    items = R.item_rows(R.parse_notes(R.extract_notes(pages).withColumnRenamed("url", "access_key")))
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("PythonUDF") <= 1 and plan.count("transform(") == 2
+    assert sorted((r.access_key, r.line_no, r.quantity) for r in items.collect()) == [(K[i], 1, 2.0) for i in range(1, 4)]
+    table = spark.createDataFrame([(x,) for x in (0.0, -0.0, 0.005, 0.01, 1.005, 2.675, 12345678.125, 999999999999999.0, 1e15, 1e300, -3.5, float("nan"), float("inf"), None)], "x double")
+    from pyspark.sql import functions as F
+
+    from millrace.plans.catalogue import comma_money
+
+    assert all(a == b for a, b in table.select(comma_money("x"), F.replace(F.format_string("%.2f", "x"), F.lit("."), F.lit(","))).collect())
