@@ -46,7 +46,9 @@ def take_frames(buffer: bytes) -> tuple[list[bytes], bytes]:
     frames, at = [], 0
     while at < len(buffer):
         if buffer[at] != START_BYTE:
-            at += 1
+            at = buffer.find(START_BYTE, at)
+            if at < 0:
+                at = len(buffer)
             continue
         if len(buffer) - at < FRAME_BYTES:
             break

@@ -6,8 +6,10 @@ undone with it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 #: Frames that are handed on at a time.
 PIECE = 10_000
+#: Seqs whose early chunks are stored together.
+BLOCK = 1024
 
 
 def start(writer: DataStreamWriter, idle_batches: bool = False) -> StreamingQuery:
@@ -43,8 +47,9 @@ def start(writer: DataStreamWriter, idle_batches: bool = False) -> StreamingQuer
 class Framing(StatefulProcessor):
     """Chunks of a sensor in order of seq, from ``first`` on.
 
-    The state is the next seq, the bytes that wait for more (31 at most), and chunks that came too early, each under its seq. A chunk is framed as it comes and forgotten, so a
-    task holds one at a time beside its Arrow batch. A seq that has been used already is dropped. If the next chunk is missing for ``patience`` milliseconds, the
+    The state is the next seq, the bytes that wait for more (31 at most), and chunks that came too early: those of BLOCK numbers in a row that come in one Arrow batch are one
+    entry, and ``blocks`` has the number of entries of each block. So a task asks the store some times a block and batch, not a chunk, and holds one block and its Arrow batch at a time. A seq that
+    has been used already is dropped; of chunks with one seq that both came early, or of which one waits already, the last counts. If the next chunk is missing for ``patience`` milliseconds, the
     frame it belongs to is given up and the first chunk that waits is next.
     """
 
@@ -54,19 +59,48 @@ class Framing(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", "seq bigint, tail binary")
-        self.early = handle.getMapState("early", "seq bigint", "data binary")
-
-    def framed(self, seq: int, tail: bytes, chunk: bytes) -> tuple[int, bytes, list[bytes]]:
-        """The state after a chunk and those that waited for it, and their frames."""
-        frames, tail = take_frames(tail + chunk)
-        seq += 1
-        while self.early.containsKey((seq,)):
-            data = self.early.getValue((seq,))[0]
-            self.early.removeKey((seq,))
-            more, tail = take_frames(tail + bytes(data))
-            frames += more
-            seq += 1
-        return seq, tail, frames
+        self.blocks = handle.getMapState("blocks", "block bigint", "entries int")
+        self.early = handle.getMapState("early", "block bigint, entry int", "chunks binary")
+
+    def keep(self, chunks: dict[int, bytes], waiting: set[int]) -> None:
+        """Store chunks, in ascending order of their seqs, by block."""
+        for block, seqs in groupby(sorted(chunks), lambda seq: seq // BLOCK):
+            n = self.blocks.getValue((block,))[0] if block in waiting else 0
+            self.early.updateValue((block, n), (pickle.dumps([(seq, chunks[seq]) for seq in seqs]),))
+            self.blocks.updateValue((block,), (n + 1,))
+            waiting.add(block)
+
+    def taken(self, block: int, waiting: set[int]) -> dict[int, bytes]:
+        """The chunks of a block, which are no longer stored."""
+        if block not in waiting:
+            return {}
+        waiting.remove(block)
+        n, chunks = self.blocks.getValue((block,))[0], {}
+        self.blocks.removeKey((block,))
+        for entry in range(n):
+            chunks.update(pickle.loads(bytes(self.early.getValue((block, entry))[0])))
+            self.early.removeKey((block, entry))
+        return chunks
+
+    def waiting(self) -> set[int]:
+        return {block for (block,) in self.blocks.keys()} if self.blocks.exists() else set()
+
+    def framed(self, sensor, seq: int, tail: bytes, chunks: dict[int, bytes], waiting: set[int]) -> Iterator[pd.DataFrame]:
+        """Frames of ``chunks`` and those that waited for them; ``place`` is where it ends, and what is too early yet is stored."""
+        chunks = {at: chunk for at, chunk in chunks.items() if at >= seq}
+        while seq in chunks or seq // BLOCK in waiting:
+            stored = self.taken(seq // BLOCK, waiting)
+            chunks = {at: chunk for at, chunk in stored.items() if at >= seq} | chunks
+            parts, before = [tail], seq
+            while seq in chunks and len(parts) <= BLOCK:
+                parts.append(chunks.pop(seq))
+                seq += 1
+            frames, tail = take_frames(b"".join(parts))
+            yield from self.given(sensor, frames)
+            if seq == before:
+                break
+        self.keep(chunks, waiting)
+        self.place.update((seq, tail))
 
     def given(self, sensor, frames: list[bytes]) -> Iterator[pd.DataFrame]:
         for i in range(0, len(frames), PIECE):
@@ -75,21 +109,20 @@ class Framing(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seq, tail = self.place.get() if self.place.exists() else (self.first, b"")
-        tail, before = bytes(tail), seq
+        before, waiting = seq, self.waiting()
         for batch in rows:
-            for at, chunk in zip(batch["seq"], batch["data"]):
-                chunk = b"" if chunk is None else bytes(chunk)
-                if at == seq:
-                    seq, tail, frames = self.framed(seq, tail, chunk)
-                    yield from self.given(key[0], frames)
-                elif at > seq:
-                    self.early.updateValue((int(at),), (chunk,))
-        self.place.update((seq, tail))
-        self.watch(seq != before, timerValues)
-
-    def watch(self, moved: bool, timerValues) -> None:
+            chunks, reached = {}, seq
+            for at, chunk in zip(batch["seq"].tolist(), batch["data"]):
+                if at >= reached:  # else it has been used
+                    chunks[at] = b"" if chunk is None else bytes(chunk)
+                    while reached in chunks:
+                        reached += 1
+            yield from self.framed(key[0], seq, bytes(tail), chunks, waiting)
+            seq, tail = self.place.get()
+        self.watch(seq != before, bool(waiting), timerValues)
+
+    def watch(self, moved: bool, waiting: bool, timerValues) -> None:
         """A timer runs while chunks wait; it starts anew when the sequence has moved on."""
-        waiting = self.early.exists()
         timers = list(self.handle.listTimers())
         if timers and (moved or not waiting):
             for t in timers:
@@ -99,14 +132,11 @@ class Framing(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.early.exists():
-            seq = min(k[0] for k in self.early.keys())
-            data = bytes(self.early.getValue((seq,))[0])
-            self.early.removeKey((seq,))
-            seq, tail, frames = self.framed(seq, b"", data)
-            self.place.update((seq, tail))
-            yield from self.given(key[0], frames)
-            if self.early.exists():
+        waiting = self.waiting()
+        if waiting:
+            chunks = self.taken(min(waiting), waiting)
+            yield from self.framed(key[0], min(chunks), b"", chunks, waiting)
+            if waiting:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
 
     def close(self) -> None:

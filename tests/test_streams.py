@@ -74,6 +74,74 @@ def test_a_gap_is_given_up_in_time(spark, tmp_path):
     assert [bytes(r.frame) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [frame(range(1, 13))]
 
 
+class Store:
+    """A state handle that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.data = 0, {}
+
+    def getValueState(self, name, schema):
+        return State(self, name)
+
+    def getMapState(self, name, key, value):
+        return State(self, name)
+
+    def listTimers(self):
+        return []
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+
+class State:
+    def __init__(self, store, name):
+        self.store, self.data = store, store.data.setdefault(name, {})
+
+    def exists(self):
+        self.store.calls += 1
+        return bool(self.data)
+
+    def get(self):
+        return self.getValue(())
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.data[key]
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.data[key] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        del self.data[key]
+
+    def keys(self):
+        self.store.calls += 1
+        return iter(list(self.data))
+
+
+def test_the_store_is_asked_by_block(monkeypatch):
+    """Chunks that come early cost some calls a block and batch, none a chunk; of equal seqs the one that was used first stays."""
+    import pandas as pd
+
+    clock = type("Clock", (), {"getCurrentProcessingTimeInMs": lambda self: 0})()
+    data = b"".join(frame(range(i, i + 12)) for i in range(2000))
+    chunks = [(i, data[i * 20 : i * 20 + 20]) for i in range(len(data) // 20)]
+    store, found = Store(), []
+    framing = S.Framing(0, 1)
+    framing.init(store)
+    for part in (chunks[1::3], chunks[2::3], chunks[0:1] + [(0, b"used")] + chunks[3::3]):
+        batches = [pd.DataFrame(part[i : i + 400], columns=["seq", "data"]) for i in range(0, len(part), 400)]
+        for rows in framing.handleInputRows(("s",), iter(batches), clock):
+            found += list(rows["frame"])
+    assert found == take_frames(data)[0] and len(found) == 2000
+    assert not store.data["early"] and not store.data["blocks"] and store.calls < 200
+
+
 def test_a_key_is_registered_once(spark, tmp_path):
     registry = spark.createDataFrame([("u0", "k0"), ("u0", None), ("u1", "k0")], "url string, access_key string")
     landing = Landing(spark, tmp_path / "in", "url string, access_key string")
