@@ -68,3 +68,18 @@ def test_plan_prunes_and_takes_ordered(rows, tmp_path, spark):
     rows.withColumn("unused", rows.value * 2).write.parquet(path)
     plan = I.import_ranking(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "unused" not in plan
+
+
+def test_made_files_are_not_sorted(spark):
+    """The files of the CSV queries are written where their rows are read, each with its header; without rows there is the header alone."""
+    from pyspark.sql import functions as F
+
+    from millrace.plans import catalogue
+
+    jobs = []
+    for keep in (True, False):
+        folder = catalogue.import_lines_file(spark, "/root/testdata/sf0.001", lambda plain: F.when(F.lit(keep), plain))
+        lines = spark.read.text(folder).where("value <> ''").groupBy("value").count().collect()
+        jobs.append({r.value[:1]: r["count"] for r in lines if r.value.startswith("a,")})
+        files = spark.read.text(folder, wholetext=True).collect()
+        assert all(f.value.startswith("a,b,c") for f in files if f.value.strip()) and jobs[-1]["a"] == len([f for f in files if f.value.strip()])
