@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,6 +97,15 @@ def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, salt
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def hand_back() -> None:
+    """Give freed memory of this worker back to the machine: workers outlive their tasks, and what they hold counts beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class RecentCache:
     """Values by key for the keys met lately: at most two generations of ``most`` entries each.
 
@@ -106,6 +117,9 @@ class RecentCache:
         self.young: dict = {}
         self.old: dict = {}
 
+    def forget_old(self) -> None:
+        self.old = {}
+
     def peek(self, key):
         """The value of a key met lately, or None."""
         value = self.young.get(key)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import RecentCache, bounded_batches, materialize, salted_rank
+from millrace.llm.common import RecentCache, bounded_batches, hand_back, materialize, salted_rank
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 SEQUENCES = "sequence_id long, length long, ids binary, pieces array<struct<offset: long, doc_id: long, piece: int, start: long, length: long>>"
@@ -126,6 +126,7 @@ def id_type(path: str, separator: int) -> str:
 def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, separator: int) -> Iterator[pa.RecordBatch]:
     cache, end = word_cache(path), separator.to_bytes(4, "little")
     kept = id_type(path, separator)
+    hand_back()
     for batch in batches:
         rows = []
         for doc_id, ids in zip(batch.column(0).to_pylist(), cache.ids(batch.column(1))):
@@ -136,6 +137,8 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, sepa
         columns = list(zip(*rows)) or [[]] * 5
         types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids"])
+    cache.recent.forget_old()  # words that the last texts had stay
+    hand_back()
 
 
 def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -213,7 +216,7 @@ def assemble(batches: Iterator[pa.RecordBatch], path: str, separator: int) -> It
     """A row of SEQUENCES for each sequence and its parts in order of offset. All texts are tokens by now, so the worker lets go of its words."""
     kept = id_type(path, separator)
     word_cache.cache_clear()
-    pa.default_memory_pool().release_unused()
+    hand_back()
     for batch in batches:
         parts = batch.column("parts")
         each, ends = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()

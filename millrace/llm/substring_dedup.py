@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, fresh, materialize, may_be_in, salted_lookup
+from millrace.llm.common import bounded_batches, fresh, hand_back, materialize, may_be_in, salted_lookup
 from millrace.llm.shingles import P1, P2, mix, split_words, window_hashes, word_hashes
 
 #: Words of an index; distinct segments of a shard before it is split.
@@ -240,6 +240,7 @@ class ShardIndex:
 
 def search_shards(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows with their earliest document, of rows (shard, piece, split, count, doc_id, words) sorted by shard; an index takes whole shards."""
+    hand_back()
     held, size, last = [], 0, None
 
     def results():

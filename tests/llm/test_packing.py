@@ -99,3 +99,14 @@ def test_sequences_hold_the_tokens(spark):
 
 def test_empty_table(spark):
     assert P.pack_documents(documents(spark).where("false"), PATH).collect() == []
+
+
+def test_a_worker_lets_go_of_old_words_between_tasks():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two"])], ["doc_id", "text"])
+    P.word_cache.cache_clear()
+    cache = P.word_cache(PATH)
+    cache.recent.old = {b"old": b""}
+    assert [b.num_rows for b in P.cut_pieces(iter([batch]), PATH, 2048, 0)] == [1]
+    assert not cache.recent.old and b"one" in cache.recent.young
